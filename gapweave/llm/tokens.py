@@ -92,10 +92,9 @@ def token_ids(
         for b in batches:
             ids, open_ = [], []
             for at, last, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                begin = _RESYNC.search(t, 0, overlap_chars) if at else re.match("", t)
-                end = re.search(r"\Z", t) if last else _RESYNC.search(t, spread_chars, spread_chars + overlap_chars)
-                # The character before the chunk is kept with it from the second chunk on, so that both
-                # neighbours judge the shared place by the same two characters.
+                # The place shared with the chunk before lies at 1 or later here, so both see the character before it.
+                begin = _RESYNC.search(t, 1, overlap_chars) if at else re.match("", t)
+                end = re.search(r"\Z", t) if last else _RESYNC.search(t, spread_chars + 1, spread_chars + overlap_chars)
                 open_.append(begin is None or end is None)
                 ids.append(np.zeros(0, np.uint32) if open_[-1] else encode(enc, t[begin.start() : end.start()], piece_chars))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(open_), _lists(ids)], names=["_key", "_at", "_open", "ids"])
