@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _COMMAND = re.compile(r"\\[a-z]*")
+_GAP = re.compile(rb"[^a-z0-9]")
 _WORD = np.zeros(256, bool)
 _WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -29,13 +30,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of each text, in order, and the text each word is from.
+#: Characters hashed at once; bounds the memory of a task whatever the size of its texts.
+AT_ONCE = 1_000_000
 
-    Words are the runs of a-z and 0-9 in lower case, after every backslash and the letters right after
-    it have become a blank.
-    """
-    parts = [_COMMAND.sub(" ", t.lower()).encode("ascii", "replace") if t else b"" for t in texts]
+
+def _hash_words(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each part, and the part each word is from."""
     buffer = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends = np.cumsum([len(p) + 1 for p in parts])
     word = _WORD[buffer]
@@ -53,6 +53,44 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(hashes + lengths.astype(np.uint64)), np.searchsorted(ends, starts, side="right")
 
 
+def word_hashes(texts: list[str | None], at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of each text, in order, and the text each word is from.
+
+    Words are the runs of a-z and 0-9 in lower case, after every backslash and the letters right after
+    it have become a blank. Long texts are hashed piece by piece, cut where no word is.
+    """
+    found, of, parts, ids, size = [], [], [], [], 0
+
+    def flush() -> None:
+        nonlocal size
+        if parts:
+            h, p = _hash_words(parts)
+            found.append(h)
+            of.append(np.asarray(ids, np.int64)[p])
+        parts.clear()
+        ids.clear()
+        size = 0
+
+    for i, t in enumerate(texts):
+        plain = _COMMAND.sub(" ", t.lower()).encode("ascii", "replace") if t else b""
+        at = 0
+        while at < len(plain):
+            end = at + at_once
+            if end < len(plain):
+                gap = _GAP.search(plain, end)
+                end = gap.start() if gap else len(plain)
+            parts.append(plain[at:end])
+            ids.append(i)
+            size += end - at
+            at = end
+            if size >= at_once:
+                flush()
+    flush()
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(of)
+
+
 def fingerprints(words: np.ndarray, text: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed fingerprints: (hash, place of the first word), the least gram hash of each window.
 

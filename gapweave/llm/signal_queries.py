@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapweave.llm.history import HistoryIndex, integer_token, repeats_between_batches, same_path
 from gapweave.llm.setsketch import near_duplicates
-from gapweave.runtime import materialize, table
+from gapweave.operators.windows import sliding
+from gapweave.runtime import materialize, shared_dir, table
 
 MIN_SERIES, MIN_RATIO = 20, 0.9
 
@@ -46,7 +49,55 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return close_durations(pairs.unionByName(same), members, MIN_RATIO)
 
 
-QUERIES = {"p1_found": p1_found}
+MIN_GAPS, GAP_RUN = 12, 3
+
+
+def gap_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(set, token): the different runs of three gaps in whole seconds of each file with 12 gaps or more."""
+    runs = sliding(table(spark, d, "hashes").where("not isnan(hash)"), "filename_id", "frame", "hash", GAP_RUN)
+    token = integer_token([F.floor(F.col("values")[i]) for i in range(GAP_RUN)])
+    counted = runs.select(F.col("filename_id").alias("set"), token.alias("token")).groupBy("set", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted, "gap-tokens")
+    long_enough = counted.groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GAPS - GAP_RUN + 1).select("set")
+    return counted.join(long_enough, "set", "left_semi").select("set", "token")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "filenames").select("id", "name", "batch_no")
+    by_name = same_path(files, "id", "name", "batch_no")
+    batches = files.where("id is not null").groupBy(F.col("id").alias("set")).agg(F.min("batch_no").alias("batch"))
+    by_gaps = repeats_between_batches(gap_tokens(spark, d), batches)
+    found = by_name.unionByName(by_gaps).distinct()
+    return found.select(F.col("first").alias("filename_id1"), F.col("second").alias("filename_id2"))
+
+
+def p2_last_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The last batch against an index of all batches before it: what a nightly run does."""
+    files = table(spark, d, "filenames").where("id is not null and batch_no is not null").select(F.col("id").alias("set"), "batch_no")
+    last = files.agg(F.max("batch_no")).first()[0]
+    tokens = gap_tokens(spark, d)
+    sized = tokens.join(tokens.groupBy("set").agg(F.count(F.lit(1)).alias("size")), "set").join(files, "set")
+    sized = materialize(sized.select("set", "size", "token", "batch_no"), "sized-tokens")
+    index = HistoryIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:10]}")
+    index.create(sized.where(F.col("batch_no") < F.lit(last)).drop("batch_no"))
+    found = index.probe(sized.where(F.col("batch_no") == F.lit(last)).drop("batch_no"))
+    return found.select(F.col("accepted").alias("filename_id1"), F.col("new").alias("filename_id2"))
+
+
+_PATHS = r"""(select id, batch_no, case when x like '/%' then '/' else '' end || array_to_string(list_filter(string_split(x, '/'), lambda s: s <> '' and s <> '.'), '/') as k
+  from (select id, batch_no, lower(nfc_normalize(replace(trim(name, ' ' || chr(9)), chr(92), '/'))) as x from filenames where name is not null) y)"""
+_NAMES = f"select a.id as filename_id1, b.id as filename_id2 from {_PATHS} a join {_PATHS} b on a.k = b.k and a.batch_no < b.batch_no"
+_GAPS = """
+  select x.id as filename_id1, y.id as filename_id2 from filenames x join (
+    with g as (select filename_id as id, frame, cast(floor(min(hash)) as bigint) as s from hashes
+        where filename_id is not null and frame is not null and hash is not null group by 1, 2),
+      w as (select id, s, lead(s) over o as s2, lead(s, 2) over o as s3, count(*) over (partition by id) as n from g window o as (partition by id order by frame)),
+      r as (select distinct id, s, s2, s3 from w where s3 is not null and n >= 12),
+      n as (select id, count(*) as n from r group by id),
+      c as (select a.id as i1, b.id as i2, count(*) as c from r a join r b on a.s = b.s and a.s2 = b.s2 and a.s3 = b.s3 and a.id <> b.id group by 1, 2)
+    select i1, i2 from c join n p on p.id = i1 join n q on q.id = i2 where c >= 0.5 * (p.n + q.n - c)) z on x.id = z.i1
+  join filenames y on y.id = z.i2 and x.batch_no < y.batch_no"""
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_last_batch": p2_last_batch}
 ORACLES = {
     "p1_found": """with latest as (
         select filename_id, brightness, row_number() over (partition by filename_id order by loaded_at desc nulls last) as rn from brightness where filename_id is not null),
@@ -57,4 +108,6 @@ ORACLES = {
       both_ as (select a.id as i1, b.id as i2, count(*) as c from runs a join runs b on a.r = b.r and a.id < b.id
         and least(a.dur, b.dur) >= 0.9 * greatest(a.dur, b.dur) group by 1, 2)
       select i1 as filename_id1, i2 as filename_id2 from both_ join n x on x.id = i1 join n y on y.id = i2 where c >= 0.5 * (x.n + y.n - c)""",
+    "p2_found": f"select distinct * from ({_NAMES} union all {_GAPS}) x",
+    "p2_last_batch": f"select * from ({_GAPS}) x where filename_id2 in (select id from filenames where batch_no = (select max(batch_no) from filenames))",
 }
