@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapweave.llm import record_queries, signal_queries, text_queries
+from gapweave.llm import record_queries, signal_queries, text_queries, vector_queries
 
-MODULES = [record_queries, signal_queries, text_queries]
+MODULES = [record_queries, signal_queries, text_queries, vector_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
