@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapweave.runtime import materialize
+
 #: Frames per chunk. A group has at most one row per frame, so a chunk has at most so many rows.
 CHUNK = 1 << 18
 
@@ -42,3 +44,70 @@ def sliding(df: DataFrame, group: str, order: str, value: str, length: int, spar
         "_g", "_o", "_v", F.col(f"_v{ahead}").isNull().alias("_tail"), *[F.lead("_v", j).over(across).alias(f"_v{j}") for j in range(1, ahead + 1)]
     ).where(F.col("_tail") & F.col(f"_v{ahead}").isNotNull())
     return inner.unionByName(stitched.select(F.col("_g").alias(group), F.col("_o").alias(order), values.alias("values")))
+
+
+def playable_range(gaps: DataFrame, files: DataFrame, key: str, frame: str, ignore_start: float = 0.0, ignore_end: float = 0.0) -> DataFrame:
+    """Gaps whose frame lies in the part of the file that is not ignored, both ends included.
+
+    ``files`` has columns ``key``, fps and duration. Bounds are cut to whole frames towards zero. A gap keeps
+    its length although the peak before it may be left out. Files without fps or duration have no rows.
+    """
+    low = (F.lit(float(ignore_start)) * F.col("fps")).cast("bigint")
+    high = ((F.col("duration") - F.lit(float(ignore_end))) * F.col("fps")).cast("bigint")
+    bounds = files.where(F.col("fps").isNotNull() & F.col("duration").isNotNull()).select(key, low.alias("_low"), high.alias("_high"))
+    return gaps.join(bounds, key).where(F.col(frame).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+
+
+def long_enough(gaps: DataFrame, key: str, least: int = 5) -> DataFrame:
+    """Gaps of groups with ``least`` rows or more."""
+    counted = gaps.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key)
+    return gaps.join(counted, key, "left_semi")
+
+
+def truncate_scene(values: str, seconds: float) -> Column:
+    """Window values with each set to 0 once those before it sum to more than ``seconds``."""
+    def keep(x: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(F.col(values), F.lit(1), i), F.lit(0.0), lambda a, v: a + v)
+        return F.when(before > F.lit(float(seconds)), F.lit(0.0)).otherwise(x)
+
+    return F.transform(values, keep)
+
+
+def normalise_speed(values: str) -> Column:
+    """Window values times 128 over their mean; unchanged if the mean is 0."""
+    mean = F.aggregate(F.col(values), F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    return F.when(mean == 0, F.col(values)).otherwise(F.transform(values, lambda v: F.lit(128.0) * v / mean))
+
+
+def window_stats(values: str) -> list[Column]:
+    """Length, sum and mean of a window."""
+    total = F.aggregate(F.col(values), F.lit(0.0), lambda a, v: a + v)
+    return [F.size(values).alias("length"), total.alias("total"), (total / F.greatest(F.size(values), F.lit(1))).alias("mean")]
+
+
+def number_items(df: DataFrame, order: list[str], name: str = "item") -> DataFrame:
+    """Number all rows from 0 in the order of the columns, without bringing them together.
+
+    Rows are range-partitioned and sorted, written with their place in the partition, and moved by the
+    number of rows in the partitions before, of which there is one row each.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = sorted_.withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed.select("*", F.shiftright("_id", 33).alias("_part")), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + local).drop("_part", "_id", "_before")
+
+
+def hash_windows(gaps: DataFrame, key: str, frame: str, hash_: str, length: int = 12, scene_seconds: float | None = 300.0, least: int = 5) -> DataFrame:
+    """Numbered windows for the radius join: (item, key, frame, values).
+
+    Groups with fewer than ``least`` gaps have none, and the last possible window of a group is not made.
+    Values after ``scene_seconds`` are set to 0. Items are numbered by key and frame.
+    """
+    rows = sliding(long_enough(gaps.where(F.col(frame).isNotNull() & F.col(hash_).isNotNull()), key, least), key, frame, hash_, length, spare=1)
+    if scene_seconds is not None:
+        rows = rows.withColumn("values", truncate_scene("values", scene_seconds))
+    return number_items(rows, [key, frame]).select("item", key, frame, "values")
