@@ -56,8 +56,9 @@ def moving_maximum(df: DataFrame, group: str, frame: str, value: str, order: Col
     spread = own.withColumn("_at", F.explode(F.sequence(first, last)))
     # In units of the order the frame is one step to either side, whatever the group's order; the excess
     # lies far below one frame and far above rounding.
-    w = Window.partitionBy(group, "_at").orderBy(F.col(frame) / F.col("_order")).rangeBetween(-(1 + 1e-7), 1 + 1e-7)
-    return spread.withColumn(name, F.max(value).over(w)).where("_at = _chunk").drop("_at", "_chunk", "_order")
+    spread = spread.withColumn("_scaled", F.col(frame).cast("double") / F.col("_order"))
+    high = f"max(`{value}`) over (partition by `{group}`, _at order by _scaled range between 1.0000001D preceding and 1.0000001D following)"
+    return spread.withColumn(name, F.expr(high)).where("_at = _chunk").drop("_at", "_chunk", "_order", "_scaled")
 
 
 def peaks(df: DataFrame, group: str, frame: str, value: str, min_seconds: float, fps: Column, chunk: int = CHUNK) -> DataFrame:

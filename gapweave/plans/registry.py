@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapweave.plans import orphan_queries
+from gapweave.plans import catalogue_queries, event_queries, orphan_queries
 
-MODULES = [orphan_queries]
+MODULES = [event_queries, catalogue_queries, orphan_queries]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p5_found"](spark, d)
+    return queries()["duplicate_groups"](spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
