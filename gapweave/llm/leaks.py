@@ -184,7 +184,7 @@ def leaks(
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                a, o = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
+                a, o = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, 2 * span - gram) for i in (2, 3))
                 ok = spans_match(a, o, gram, span) if b.num_rows else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["_key", "_item"])
 
@@ -193,7 +193,7 @@ def leaks(
         known = prints.toArrow()
         hashes = known["_hash"].to_numpy().view(np.uint64)
         order = np.argsort(hashes, kind="stable")
-        around = np.frombuffer(b"".join(known["_around"].to_pylist()), np.uint64).reshape(len(hashes), -1)[order]
+        around = np.frombuffer(b"".join(known["_around"].to_pylist()), np.uint64).reshape(len(hashes), 2 * span - gram)[order]
         shared = spark.sparkContext.broadcast((hashes[order], around, known["_item"].combine_chunks().take(pa.array(order))))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

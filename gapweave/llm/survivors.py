@@ -50,12 +50,13 @@ def choose_bundles(
     list gets the better record, by trust, then the later ``recency`` (null last), then the larger
     record id. ``dependencies`` are pairs (A, B) of bundle names, A before B in the list and each B in
     one pair at most: the values chosen for A and B must occur together in some record of the group,
-    in which both are usable. Where nothing usable agrees with A's choice, B stays empty.
+    in which both are usable. A bundle is never left empty for the sake of others: B stays empty only
+    where nothing usable agrees with A's choice, and is free where A is empty.
 
     The search is branch and bound, run level by level over all groups at once. The bound of a partial
     choice is its trust plus the best trust of each open bundle. A bundle without dependencies is
-    settled at the root by its best value. The rest starts from a lower bound, the best complete choice
-    from within single records; a partial choice whose bound lies below it is cut, and of partial
+    settled at the root by its best value. The rest starts from a lower bound, the best single record in
+    which all of them are usable; a partial choice whose bound lies below it is cut, and of partial
     choices that agree in all values later bundles depend on, only the best goes on. Records are reduced
     to their distinct values by aggregation first, so a group may hold any share of all rows and no
     group is ever gathered in one place.
@@ -104,9 +105,12 @@ def _search(rows: DataFrame, group: str, record: str, rank: Column, tied: list[B
     # Distinct value combinations with the best record that shows each.
     slim = materialize(slim.groupBy("_g", *[f"_v{i}" for i in range(len(tied))]).agg(F.max("_rank").alias("_rank")), "bundle-values")
     t = F.col("_rank.t")
-    one = sum((F.when(F.col(f"_v{i}").isNotNull(), t).otherwise(0) for i in range(len(tied))), F.lit(0))
+    whole = F.lit(True)
+    for i in range(len(tied)):
+        whole = whole & F.col(f"_v{i}").isNotNull()
+    one = F.coalesce(F.max(F.when(whole, t * len(tied))), F.lit(-(1 << 62)))
     bounds = slim.groupBy("_g").agg(
-        F.max(one).alias("_low"), *[F.max(F.when(F.col(f"_v{i}").isNotNull(), t)).alias(f"_top{i}") for i in range(len(tied))]
+        one.alias("_low"), *[F.max(F.when(F.col(f"_v{i}").isNotNull(), t)).alias(f"_top{i}") for i in range(len(tied))]
     )
     front = bounds.withColumn("_sum", F.lit(0).cast("long"))
     for i, b in enumerate(tied):
