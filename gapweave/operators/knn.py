@@ -84,12 +84,14 @@ def radius_pairs(items: DataFrame, item: str, vector: str, radius: float, step:
     parts = max(1, blocks // max(1, step))
     left = queries.withColumn("part", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # Both sides stem from one table; new names keep their columns apart in the plan.
+    right = right.select(*[F.col(c).alias(f"right_{c}") for c in ("item", "v", "block", "part")])
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        i, j, d2 = _pairs(_matrix(a["v"]), _matrix(b["v"]), limit) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"q": a["item"].combine_chunks().take(pa.array(i)), "item": b["item"].combine_chunks().take(pa.array(j)), "d2": pa.array(d2, pa.float64())})
+        i, j, d2 = _pairs(_matrix(a["v"]), _matrix(b["right_v"]), limit) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"q": a["item"].combine_chunks().take(pa.array(i)), "item": b["right_item"].combine_chunks().take(pa.array(j)), "d2": pa.array(d2, pa.float64())})
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, schema)
+    return left.groupBy("block", "part").cogroup(right.groupBy("right_block", "right_part")).applyInArrow(meet, schema)
 
 
 def grid_pairs(items: DataFrame, item: str, vector: str, length: int, radius: float, step: int = 1) -> DataFrame:
