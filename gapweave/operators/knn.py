@@ -15,12 +15,20 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS, BATCH_ROWS = 50_000, 512
 
 
-def squared_distance(a: str, b: str, length: int) -> Column:
-    """Squared Euclidean distance of two arrays of known length, unrolled so that it stays in generated code."""
-    terms = [(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(length)]
+def squared_distance(a: list[str], b: list[str]) -> Column:
+    """Squared Euclidean distance of two lists of columns, unrolled so that it stays in generated code."""
+    terms = [(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(a, b, strict=True)]
     return sum(terms[1:], terms[0])
 
 
+def _spread(rows: DataFrame, prefix: str, length: int) -> DataFrame:
+    """The values of the array column v as columns, a missing one as NaN.
+
+    Array accesses with their checks would make the generated join larger than the JVM compiles.
+    """
+    return rows.select("item", *[F.coalesce(F.get("v", F.lit(i)), F.lit(float("nan"))).alias(f"{prefix}{i}") for i in range(length)])
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -97,23 +105,29 @@ def radius_pairs(items: DataFrame, item: str, vector: str, radius: float, step:
 def grid_pairs(items: DataFrame, item: str, vector: str, length: int, radius: float, step: int = 1) -> DataFrame:
     """The result of ``radius_pairs`` by an equi-join on cells, for radii small against the spread of the values.
 
-    Sums of the first and second half of a vector move by at most radius * sqrt(half) within the radius, so
-    two items meet only if both sums fall into the same or neighbouring steps of that width. Everything
-    stays in generated code.
+    Sums of up to three blocks of coordinates move by at most radius * sqrt(block length) within the radius.
+    They cut the space into cells four times as wide; an item lies in one cell and is sought in those it can
+    reach, a few at most. Everything stays in generated code.
     """
-    half = max(1, length // 2)
-    parts = [(0, half), (half, length)] if length > 1 else [(0, 1)]
+    blocks = min(3, length)
+    edges = [i * length // blocks for i in range(blocks + 1)]
     rows = items.where(F.col(item).isNotNull() & F.col(vector).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
-    right = rows
-    for n, (a, b) in enumerate(parts):
-        total = sum((F.col("v")[i] for i in range(a + 1, b)), F.col("v")[a])
-        # A hair wider than the bound, so that rounding of the sums cannot part a pair.
-        right = right.withColumn(f"c{n}", F.floor(total / F.lit(radius * (b - a) ** 0.5 * (1 + 1e-9) + 1e-9)).cast("long"))
-    left = right.where(F.col("item") % step == 0).withColumnsRenamed({"item": "q", "v": "w"})
-    for n in range(len(parts)):
-        left = left.withColumn(f"c{n}", F.explode(F.array(F.col(f"c{n}") - 1, F.col(f"c{n}"), F.col(f"c{n}") + 1)))
-    met = left.join(right, [f"c{n}" for n in range(len(parts))])
-    return met.withColumn("d2", squared_distance("w", "v", length)).where(F.col("d2") < float(radius) ** 2).select("q", "item", "d2")
+    right = _spread(rows, "v", length)
+    left = _spread(rows.where(F.col("item") % step == 0), "w", length).withColumnRenamed("item", "q")
+    for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        # A hair more than the bound, so that rounding of the sums cannot part a pair.
+        reach = radius * (b - a) ** 0.5 * (1 + 1e-9) + 1e-9
+
+        def total(prefix: str, a: int = a, b: int = b) -> Column:
+            return sum((F.col(f"{prefix}{i}") for i in range(a + 1, b)), F.col(f"{prefix}{a}"))
+
+        def cell(x: Column, width: float = 4 * reach) -> Column:
+            return F.floor(x / F.lit(width)).cast("long")
+
+        right = right.withColumn(f"c{n}", cell(total("v")))
+        left = left.withColumn(f"c{n}", F.explode(F.sequence(cell(total("w") - F.lit(reach)), cell(total("w") + F.lit(reach)))))
+    met = left.join(right, [f"c{n}" for n in range(blocks)])
+    return met.withColumn("d2", squared_distance([f"w{i}" for i in range(length)], [f"v{i}" for i in range(length)])).where(F.col("d2") < float(radius) ** 2).select("q", "item", "d2")
 
 
 def nearest(pairs: DataFrame, k: int = 20) -> DataFrame:

@@ -15,12 +15,25 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str = "frame") -
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
 
 
-def with_neighbours(df: DataFrame, group: str, order: str, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+def fits_one_chunk(df: DataFrame, order: str, chunk: int = CHUNK) -> bool:
+    """Whether all order values lie in one chunk, so that every group is small enough to be sorted as a whole.
+
+    This reads one column, once; it saves the pass that matches the ends of chunks.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    return low is None or low // chunk == high // chunk
+
+
+def with_neighbours(df: DataFrame, group: str, order: str, columns: list[str], chunk: int | None = CHUNK) -> DataFrame:
     """Add ``prev_x`` and ``next_x`` for each named column: its value in the row before and after, in the group.
 
     Both are null at the ends of a group. A group is sorted in chunks of the order column; only the first and
-    last rows of chunks are matched across chunks. (group, order) must be unique and not null.
+    last rows of chunks are matched across chunks. With ``chunk`` None every group is sorted as a whole.
+    (group, order) must be unique and not null.
     """
+    if chunk is None:
+        w = Window.partitionBy(group).orderBy(order)
+        return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns], *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     w = Window.partitionBy(group, "_chunk").orderBy(order)
     cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     near = cut.select(
@@ -45,12 +58,17 @@ def peak_order(min_seconds: float, fps: Column) -> Column:
     return (F.lit(float(min_seconds)) * fps).cast("long")
 
 
-def moving_maximum(df: DataFrame, group: str, frame: str, value: str, order: Column, name: str = "window_max", chunk: int = CHUNK) -> DataFrame:
+def moving_maximum(df: DataFrame, group: str, frame: str, value: str, order: Column, name: str = "window_max", chunk: int | None = CHUNK) -> DataFrame:
     """Add the greatest value at most ``order`` frames away, ``order`` being constant within a group and 1 or more.
 
     Frames are whole numbers without gaps, so that frames and rows count alike.
     """
-    own = df.withColumn("_order", order).withColumn("_chunk", F.floor(F.col(frame) / F.lit(chunk)))
+    own = df.withColumn("_order", order)
+    if chunk is None:
+        own = own.withColumn("_scaled", F.col(frame).cast("double") / F.col("_order"))
+        high = f"max(`{value}`) over (partition by `{group}` order by _scaled range between 1.0000001D preceding and 1.0000001D following)"
+        return own.withColumn(name, F.expr(high)).drop("_order", "_scaled")
+    own = own.withColumn("_chunk", F.floor(F.col(frame) / F.lit(chunk)))
     first = F.floor((F.col(frame) - F.col("_order")) / F.lit(chunk))
     last = F.floor((F.col(frame) + F.col("_order")) / F.lit(chunk))
     spread = own.withColumn("_at", F.explode(F.sequence(first, last)))
@@ -75,6 +93,8 @@ def peaks(df: DataFrame, group: str, frame: str, value: str, min_seconds: float,
     """
     rows = df.select(F.col(group).alias("g"), F.col(frame).cast("long").alias("f"), F.col(value).alias("v"), fps.alias("fps"))
     rows = rows.where("g is not null and f is not null and v is not null and fps > 0").where(peak_order(min_seconds, F.col("fps")) >= 1)
+    if fits_one_chunk(rows, "f", chunk):
+        return _bounded_peaks(rows, min_seconds).select(F.col("g").alias(group), F.col("f").cast("int").alias(frame), "hash")
     near = with_neighbours(rows, "g", "f", ["v"], chunk)
     starts = near.where("prev_v is null or prev_v <> v").drop("prev_v", "next_v")
     runs = with_neighbours(starts, "g", "f", ["f", "v"], chunk)
@@ -87,6 +107,26 @@ def peaks(df: DataFrame, group: str, frame: str, value: str, min_seconds: float,
     )
 
 
+def _bounded_peaks(rows: DataFrame, min_seconds: float) -> DataFrame:
+    """``peaks`` of series that are each sorted as a whole: all windows share one partitioning, so one shuffle does."""
+    starts = with_neighbours(rows, "g", "f", ["v"], None).withColumn("start", F.col("prev_v").isNull() | (F.col("prev_v") != F.col("v")))
+    high = moving_maximum(starts.drop("next_v"), "g", "f", "v", peak_order(min_seconds, F.col("fps")), chunk=None)
+    w = Window.partitionBy("g").orderBy("f")
+    # Each row gets the start of its run and the values of the runs before and after.
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    # Backwards, so that the frame grows row by row instead of being formed anew for each.
+    ahead = Window.partitionBy("g").orderBy(F.col("f").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    marked = high.select(
+        "g", "f", "v", "fps", "window_max",
+        F.last(F.when(F.col("start"), F.struct("f", F.col("prev_v").alias("before"))), True).over(run).alias("own"),
+        F.last(F.when(F.col("start"), F.struct("f", "v")), True).over(ahead).alias("next"),
+    )
+    tops = marked.where("own.before < v and next.v < v and v = window_max and f = floor((own.f + next.f - 1) / 2)")
+    return with_neighbours(tops.select("g", "f", "fps"), "g", "f", ["f"], None).select(
+        "g", "f", ((F.col("f") - F.coalesce("prev_f", F.lit(0))) / F.col("fps")).alias("hash")
+    )
+
+
 def peak_counts(found: DataFrame, group: str) -> DataFrame:
     """How many peaks each series has."""
     return found.groupBy(group).agg(F.count(F.lit(1)).alias("peaks"))

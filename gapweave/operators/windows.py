@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapweave.operators.signal import fits_one_chunk
 from gapweave.runtime import materialize
 
 #: Frames per chunk. A group has at most one row per frame, so a chunk has at most so many rows.
@@ -30,12 +31,14 @@ def sliding(df: DataFrame, group: str, order: str, value: str, length: int, spar
     )
     rows = rows.repartition("_g", "_c").groupBy("_g", "_c", "_o").agg(F.min("_v").alias("_v"))
     w = Window.partitionBy("_g", "_c").orderBy("_o")
-    following: list[Column] = [F.lead("_v", j).over(w).alias(f"_v{j}") for j in range(1, ahead + 1)]
     if not ahead:
         return rows.select(F.col("_g").alias(group), F.col("_o").alias(order), F.array("_v").alias("values"))
+    following: list[Column] = [F.lead("_v", j).over(w).alias(f"_v{j}") for j in range(1, ahead + 1)]
     chunked = rows.select("_g", "_c", "_o", "_v", *following, F.row_number().over(w).alias("_i"))
     values = F.array("_v", *[f"_v{j}" for j in range(1, length)])
     inner = chunked.where(F.col(f"_v{ahead}").isNotNull()).select(F.col("_g").alias(group), F.col("_o").alias(order), values.alias("values"))
+    if fits_one_chunk(df.where(F.col(order).isNotNull()), order, chunk):
+        return inner
     # Ends of chunks: rows without enough followers, and first rows that may follow them.
     many = rows.groupBy("_g").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi").select("_g")
     ends = chunked.where(F.col(f"_v{ahead}").isNull() | (F.col("_i") <= ahead)).join(many, "_g", "left_semi")
@@ -107,7 +110,9 @@ def hash_windows(gaps: DataFrame, key: str, frame: str, hash_: str, length: int
     Groups with fewer than ``least`` gaps have none, and the last possible window of a group is not made.
     Values after ``scene_seconds`` are set to 0. Items are numbered by key and frame.
     """
-    rows = sliding(long_enough(gaps.where(F.col(frame).isNotNull() & F.col(hash_).isNotNull()), key, least), key, frame, hash_, length, spare=1)
+    # Several passes follow (sizes, chunks, the sample for numbering), so the gaps are formed once.
+    known = materialize(gaps.where(F.col(frame).isNotNull() & F.col(hash_).isNotNull()).select(key, frame, hash_), "gaps")
+    rows = sliding(long_enough(known, key, least), key, frame, hash_, length, spare=1)
     if scene_seconds is not None:
         rows = rows.withColumn("values", truncate_scene("values", scene_seconds))
     return number_items(rows, [key, frame]).select("item", key, frame, "values")
