@@ -31,9 +31,9 @@ def upsert_by_name(files: DataFrame, new: DataFrame, key: str = "id", name: str
     ids = files.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias(key))
     kept = files.join(fresh.select(name), name, "left_anti").select(key, *columns)
     changed = fresh.join(ids, name).select(key, *columns)
-    top = files.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    top = files.agg(F.max(key)).first()[0] or 0
     added = number_items(fresh.join(ids, name, "left_anti").select(*columns), [name], "_n")
-    added = added.crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n") + 1).cast(files.schema[key].dataType).alias(key), *columns)
+    added = added.select((F.lit(top) + F.col("_n") + 1).cast(files.schema[key].dataType).alias(key), *columns)
     return kept.unionByName(changed).unionByName(added)
 
 
@@ -61,14 +61,15 @@ def keep_known(rows: DataFrame, files: DataFrame, key: str, columns: Iterable[st
     return out
 
 
-def whitelist_pairs(files: DataFrame, names: DataFrame, whitelist: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """Pairs (id1, id2), id1 below id2, of all named files, without those the whitelist has already.
+def whitelist_pairs(files: DataFrame, lists: DataFrame, whitelist: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
+    """Pairs (id1, id2), id1 below id2, of the files named in one list, without those the whitelist has already.
 
-    The list of names is what a user types. Names the catalogue lacks are left out; below two files no pair comes.
+    ``lists`` has rows (list, name), a list being what a user would name at once. Names the catalogue lacks are left
+    out; of lists with fewer than two files no pair comes, and a pair that several lists hold comes once.
     """
-    ids = files.join(names.select(name).distinct(), name, "left_semi").select(key).distinct()
-    a, b = ids.select(F.col(key).alias("id1")), ids.select(F.col(key).alias("id2"))
-    pairs = a.join(F.broadcast(b), F.col("id1") < F.col("id2"))
+    ids = lists.join(files.select(key, name), name).where(F.col(key).isNotNull()).select("list", key).distinct()
+    a, b = ids.select("list", F.col(key).alias("id1")), ids.select("list", F.col(key).alias("id2"))
+    pairs = a.join(b, "list").where("id1 < id2").select("id1", "id2").distinct()
     have = whitelist.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
     return pairs.join(have, ["id1", "id2"], "left_anti")
 
@@ -268,7 +269,7 @@ class Catalogue:
 
     def whitelist(self, names: Iterable[str]) -> DataFrame:
         """Whitelist all pairs of the named files; returns the new pairs."""
-        named = self.spark.createDataFrame([(n,) for n in names], "name string")
+        named = self.spark.createDataFrame([(1, n) for n in names], "list int, name string")
         pairs = whitelist_pairs(self.table("files"), named, self.table("whitelist"))
         new = self.spark.createDataFrame(pairs.collect(), _SCHEMAS["whitelist"])  # as many as the names typed allow
         self.commit({"whitelist": self.table("whitelist").unionByName(new)})

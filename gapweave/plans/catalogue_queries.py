@@ -114,10 +114,11 @@ def replaced_media(spark: SparkSession, d: str) -> DataFrame:
 
 
 def new_whitelist(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that whitelisting the deleted files together would add."""
+    """Pairs that whitelisting the two files of each reported match would add."""
     rows = named(spark, d)
-    names = rows.where("deleted_at is not null").select("name")
-    return catalog.whitelist_pairs(rows, names, whitelist(spark, d).where("id2 is not null"))
+    ends = table(spark, d, "scene_pairs").select(F.col("pair_id").alias("list"), F.explode(F.array("id1", "id2")).alias("id"))
+    lists = ends.join(rows.select("id", "name"), "id").select("list", "name")
+    return catalog.whitelist_pairs(rows, lists, whitelist(spark, d).where("id2 is not null"))
 
 
 def purge(spark: SparkSession, d: str) -> DataFrame:
@@ -307,8 +308,10 @@ ORACLES = {
         _left(n, c, "({c} is null or {c} not in (select id from filenames where deleted_at is not null))") for n, c in [("filenames", ["id"]), *_TABLES]
     ),
     "orphan_tidy": " union all ".join(_left(n, c, "{c} in (select id from filenames)") for n, c in _TABLES),
-    "whitelist_pairs": """with i as (select distinct id from filenames where name in (select name from filenames where deleted_at is not null))
-      select a.id as id1, b.id as id2 from i a join i b on a.id < b.id where not exists (select 1 from whitelist w where least(w.id1, w.id2) = a.id and greatest(w.id1, w.id2) = b.id and w.id2 is not null)""",
+    "whitelist_pairs": """with l as (select p.pair_id as list, n.name from scene_pairs p join filenames n on n.id in (p.id1, p.id2) where n.name is not null),
+      i as (select distinct l.list, f.id from l join filenames f using (name))
+      select distinct a.id as id1, b.id as id2 from i a join i b on a.list = b.list and a.id < b.id
+      where not exists (select 1 from whitelist w where least(w.id1, w.id2) = a.id and greatest(w.id1, w.id2) = b.id and w.id2 is not null)""",
     "purge_counts": "select count(*) filter (name not in (select name from filenames where deleted_at is null and name is not null)) as to_delete, count(*) as files from filenames where name is not null",
     "delete_media": "select distinct filename_id from media_info where filename_id is not null and filename_id not in (select id from filenames where deleted_at is not null)",
 }

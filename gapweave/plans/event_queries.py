@@ -63,12 +63,11 @@ def reps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, d: str, whitelist: bool = False) -> Catalog:
-    """The events as a catalogue; the whitelist holds every pair of users whose numbers differ by a multiple of 7."""
-    ids = files(spark, d).select("filename_id")
+    """The events as a catalogue; the whitelist holds the found pairs whose numbers sum to a multiple of 3."""
     listed = None
     if whitelist:
-        ids = ids.withColumn("r", F.col("filename_id") % 7)
-        listed = ids.select(F.col("filename_id").alias("id2"), "r").join(ids.select(F.col("filename_id").alias("id1"), "r"), "r").where("id1 < id2").select("id1", "id2")
+        pairs = groups.first_reports(groups.file_pairs(reps(spark, d))).where("(file1 + file2) % 3 = 0")
+        listed = materialize(pairs.select(F.col("file2").alias("id1"), F.col("file1").alias("id2")), "whitelist")
     brightness = frames(spark, d).groupBy("filename_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("brightness"))
     return Catalog(files(spark, d), gaps(spark, d), brightness, listed)
 
@@ -158,7 +157,7 @@ def _group_sql(pairs: str) -> str:
   select m.q as "group", m.fid as filename_id, r.item, r.frame, r.frame / {FPS} as "offset" from members m join reps r on r.q = m.q and r.fid = m.fid"""
 
 
-_WHITE = "kept as (select * from pairs where f1 % 7 <> f2 % 7)"
+_WHITE = "kept as (select * from pairs where (f1 + f2) % 3 <> 0)"
 _SEGMENTS = f"""series as (select fid, list(b order by frame) as s from frames group by fid),
   segs as (select item, s[frame + 1 : frame + greatest(1, cast(round_even(list_sum(list_filter(v, lambda x: x > 0)) * {FPS}, 0) as int))] as part from items join series using (fid))"""
 _SCORED = f"""{_REPS}, {_SEGMENTS},
@@ -208,7 +207,7 @@ ORACLES = {
     "brightness_segments": f"{_BASE}, {_SEGMENTS} select item, len(part) as points, round(coalesce(list_sum(part), 0.0), 4) as total from segs",
     "brightness_corr": f"{_SCORED} select q, file1, file2, round(score, 6) as score from scored",
     "verified_groups": _verified_sql(THRESHOLD),
-    "verified_groups_loose": _verified_sql(LOOSE, "and file1 % 7 <> file2 % 7"),
+    "verified_groups_loose": _verified_sql(LOOSE, "and (file1 + file2) % 3 <> 0"),
     "verify_counts": f"""{_SCORED}, w as (select *, min(case when score >= {THRESHOLD} then q end) over (partition by file1, file2) as f from scored)
       select count(*) as checked, count(*) filter (score < {THRESHOLD}) as rejected from w where f is null or q <= f""",
 }
