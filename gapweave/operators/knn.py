@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -147,19 +148,31 @@ def lsh_pairs(items: DataFrame, item: str, vector: str, radius: float, bucket: f
     return met.select(F.col("datasetA.item").alias("q"), F.col("datasetB.item").alias("item"), (F.col("d") * F.col("d")).alias("d2")).where(F.col("d2") < radius * radius)
 
 
-#: Ways to find neighbours, in order of preference, and whether each is exact.
-BACKENDS = {"block": True, "grid": True, "topk20": True, "lsh": False}
+@dataclass(frozen=True)
+class Backend:
+    """A way to find neighbours: (items, item, vector, radius, length, step) -> (q, item, d2)."""
+
+    find: Callable[[DataFrame, str, str, float, int | None, int], DataFrame]
+    exact: bool
+
+
+def _grid(items: DataFrame, item: str, vector: str, radius: float, length: int | None, step: int) -> DataFrame:
+    if length is None:
+        raise ValueError("the grid backend needs the length of the vectors")
+    return grid_pairs(items, item, vector, length, radius, step)
+
+
+#: The known ways, in order of preference; ``topk20`` keeps the 20 nearest of each query. More may be added.
+BACKENDS: dict[str, Backend] = {
+    "block": Backend(lambda df, i, v, r, n, step: radius_pairs(df, i, v, r, step), True),
+    "grid": Backend(_grid, True),
+    "topk20": Backend(lambda df, i, v, r, n, step: nearest(radius_pairs(df, i, v, r, step), 20), True),
+    "lsh": Backend(lambda df, i, v, r, n, step: lsh_pairs(df, i, v, r).where(F.col("q") % step == 0), False),
+}
 
 
 def neighbours(items: DataFrame, item: str, vector: str, radius: float, backend: str = "block", length: int | None = None, step: int = 1) -> DataFrame:
-    """Neighbours by a named backend; an unknown name is an error. ``topk20`` keeps the 20 nearest of each query."""
+    """Neighbours (q, item, d2) by a named backend; an unknown name is an error."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}; there are {', '.join(BACKENDS)}")
-    if backend == "grid":
-        if length is None:
-            raise ValueError("the grid backend needs the length of the vectors")
-        return grid_pairs(items, item, vector, length, radius, step)
-    if backend == "lsh":
-        return lsh_pairs(items, item, vector, radius).where(F.col("q") % step == 0)
-    found = radius_pairs(items, item, vector, radius, step)
-    return nearest(found, 20) if backend == "topk20" else found
+    return BACKENDS[backend].find(items, item, vector, radius, length, step)

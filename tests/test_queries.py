@@ -37,3 +37,12 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_known_counts(spark):
+    """Counts that independent implementations found on these tables."""
+    q = registry.queries()
+    assert q["hash_windows"](spark, D).select("item").distinct().count() == 152
+    assert q["knn_radius"](spark, D).count() == 158
+    assert q["duplicate_pairs"](spark, D).count() == 2
+    assert q["group_sizes"](spark, D).count() == 2
