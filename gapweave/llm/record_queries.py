@@ -47,9 +47,11 @@ def consistent_bundles() -> list[Bundle]:
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One built record per file; what no probe supplies is -1 or empty."""
     probes, bundles = rated_probes(spark, d).withColumn("codec", plain_codec()), consistent_bundles()
     chosen = choose_bundles(probes, "filename_id", "probe_id", "trust", "probed_at", bundles, [("codec", "extension")])
-    return build_survivors(probes, chosen, "filename_id", "probe_id", bundles)
+    built = build_survivors(probes, chosen, "filename_id", "probe_id", bundles)
+    return built.fillna(-1, NUMBERS).fillna("", ["codec", "extension"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +65,24 @@ _FIELD = """
   select filename_id, '{f}' as field_name, probe_id,
     row_number() over (partition by filename_id order by trust desc, probed_at desc nulls last, probe_id desc) as rn
   from rated where {ok}"""
+_RANK = "{'t': trust, 'r': coalesce(probed_at, timestamp '0001-01-01'), 'id': probe_id}"
+_BEST = "select filename_id, arg_max({{{values}}}, {rank}) as x from rated where {ok} group by 1"
 ORACLES = {
+    "p4_survivors": f"""with rated as (select m.filename_id, m.probe_id, m.probed_at, coalesce(p.trust, 0) as trust, m.width, m.height, m.file_size,
+        case when lower(trim(m.codec)) not in ('', 'unknown', 'n/a', 'none') then lower(trim(m.codec)) end as codec, case when trim(m.extension) <> '' then m.extension end as extension
+        from media_info m left join probers p on m.prober = p.prober
+        where m.filename_id in (select filename_id from media_info where filename_id is not null group by 1 having count(distinct probe_id) >= 2)),
+      cv as (select filename_id, codec, max({_RANK}) as rc from rated where codec is not null group by 1, 2),
+      ev as (select filename_id, extension, max({_RANK}) as re from rated where extension is not null group by 1, 2),
+      ce as (select distinct filename_id, codec, extension from rated where codec is not null and extension is not null),
+      options as (select cv.filename_id, cv.codec, ce.extension, rc, re, rc.t + coalesce(re.t, 0) as s from cv left join ce using (filename_id, codec) left join ev on ev.filename_id = cv.filename_id and ev.extension = ce.extension
+        union all select filename_id, null, extension, null, re, re.t from ev where filename_id not in (select filename_id from cv)),
+      pick as (select filename_id, codec, extension from (select *, row_number() over (partition by filename_id order by s desc, rc desc nulls last, re desc nulls last) as i from options) o where i = 1),
+      size as ({_BEST.format(values="'w': width, 'h': height", rank=_RANK, ok="width > 0 and height > 0")}),
+      bytes as ({_BEST.format(values="'b': file_size", rank=_RANK, ok="file_size > 0")}),
+      ids as (select filename_id from pick union select filename_id from size union select filename_id from bytes)
+      select i.filename_id, coalesce(p.codec, '') as codec, coalesce(p.extension, '') as extension, coalesce(s.x.w, -1) as width, coalesce(s.x.h, -1) as height, coalesce(b.x.b, -1) as file_size
+      from ids i left join pick p using (filename_id) left join size s using (filename_id) left join bytes b using (filename_id)""",
     "p4_found": "with rated as (select m.*, coalesce(p.trust, 0) as trust from media_info m left join probers p on m.prober = p.prober where m.filename_id in (select filename_id from media_info where filename_id is not null group by 1 having count(distinct probe_id) >= 2)) select filename_id, field_name, probe_id from ("
     + " union all ".join(_FIELD.format(f=f, ok=f"{f} > 0") for f in NUMBERS)
     + " union all "

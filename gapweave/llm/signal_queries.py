@@ -18,7 +18,7 @@ MIN_SERIES, MIN_RATIO = 20, 0.9
 
 def latest_series(spark: SparkSession, d: str) -> DataFrame:
     """Each existing file of known duration with its latest brightness series of 20 values or more."""
-    files = table(spark, d, "filenames").where("id is not null and duration > 0 and not isnan(duration)")
+    files = table(spark, d, "filenames").where("id is not null and duration > 0 and duration < 1e12")
     files = files.groupBy(F.col("id").alias("filename_id")).agg(F.max("duration").alias("duration"))
     rows = table(spark, d, "brightness").where("filename_id is not null")
     last = rows.groupBy("filename_id").agg(F.max(F.struct("loaded_at", "brightness")).alias("last"))
@@ -50,11 +50,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 MIN_GAPS, GAP_RUN = 12, 3
+#: NaN and infinite gaps, and lengths beyond 30,000 years, count as unknown.
+FINITE_GAP = "hash > -1e12 and hash < 1e12"
 
 
 def gap_tokens(spark: SparkSession, d: str) -> DataFrame:
     """(set, token): the different runs of three gaps in whole seconds of each file with 12 gaps or more."""
-    runs = sliding(table(spark, d, "hashes").where("not isnan(hash)"), "filename_id", "frame", "hash", GAP_RUN)
+    runs = sliding(table(spark, d, "hashes").where(FINITE_GAP), "filename_id", "frame", "hash", GAP_RUN)
     token = integer_token([F.floor(F.col("values")[i]) for i in range(GAP_RUN)])
     counted = runs.select(F.col("filename_id").alias("set"), token.alias("token")).groupBy("set", "token").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "gap-tokens")
