@@ -37,7 +37,7 @@ def _spans(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def orphan_months(
-    references: Sequence[Reference], parents: DataFrame, key: str, start: str, end: str, parts: int = HEAVY_PARTS
+    references: Sequence[Reference], parents: DataFrame, key: str, start: str, end: str, parts: int = HEAVY_PARTS, counts: bool = True
 ) -> DataFrame:
     """References that resolve to no living parent: one row per table, field, month and id, with their number.
 
@@ -47,7 +47,8 @@ def orphan_months(
 
     Rows are counted per key and month before any other shuffle, with the first and last time, which
     decides nearly all months of a key at once. Only months in which a parent begins or ends are
-    looked at row by row. Keys with over 1 / ``parts`` of all references meet a broadcast (fewer than
+    looked at row by row, to count; without ``counts``, orphan_refs is null in those, as the first or last time
+    shows that there is an orphan. Keys with over 1 / ``parts`` of all references meet a broadcast (fewer than
     ``parts`` ids) and the others a shuffle join.
 
     Defined cases: a null id is no reference. A reference without a time never resolves and has a null
@@ -79,10 +80,10 @@ def orphan_months(
         .when(F.col("_n") > 1, "mixed")
         .when((F.col("_last") < F.col("_from")) | (F.col("_first") >= F.col("_to")), "all")
         .when((F.col("_first") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_last") < F.col("_to"))), "none")
-        .otherwise("mixed"),
+        .otherwise("mixed" if counts else "some"),
     )
     judged = materialize(judged.where("_state <> 'none'").select(*group, "_refs", "_state"), "reference-states")
-    whole = judged.where("_state = 'all'").select(*group, F.col("_refs").alias("orphan_refs"))
+    whole = judged.where("_state in ('all', 'some')").select(*group, F.when(F.col("_state") == "all", F.col("_refs")).alias("orphan_refs"))
     mixed = judged.where("_state = 'mixed'").select(*group)
     if mixed.isEmpty():
         return whole

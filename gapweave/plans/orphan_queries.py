@@ -17,13 +17,13 @@ REFERENCES = [
 ]
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str, counts: bool = True) -> DataFrame:
     refs = [Reference(t, f, time, table(spark, d, t)) for t, f, time in REFERENCES]
-    return orphan_months(refs, table(spark, d, "filenames"), "id", "imported_at", "deleted_at")
+    return orphan_months(refs, table(spark, d, "filenames"), "id", "imported_at", "deleted_at", counts=counts)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("ref_table", "ref_field", "ref_month", "ref_id")
+    return _orphans(spark, d, counts=False).select("ref_table", "ref_field", "ref_month", "ref_id")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

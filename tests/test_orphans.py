@@ -37,6 +37,8 @@ def test_against_brute_force(spark, parts):
             key = (table, field, t and t.strftime("%Y-%m"), i)
             want[key] = want.get(key, 0) + 1
     assert got == want
+    names = orphan_months(refs, p, "id", "imported", "deleted", parts, counts=False)
+    assert {(r.ref_table, r.ref_field, r.ref_month, r.ref_id) for r in names.collect()} == set(want) and names.count() == len(want)
 
 
 def test_empty_tables(spark):
