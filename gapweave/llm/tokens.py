@@ -103,6 +103,8 @@ def token_ids(
     length = F.coalesce(F.length("_text"), F.lit(0))
     short = rows.where(length <= spread_chars).mapInArrow(whole, schema)
     long = rows.where(length > spread_chars)
+    if long.isEmpty():
+        return short.withColumnRenamed("_key", key)
     chunks = (
         long.select("_key", "_text", F.explode(F.sequence(F.lit(0), length - 1, F.lit(spread_chars))).alias("_at"))
         .select(
