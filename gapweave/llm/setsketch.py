@@ -43,6 +43,24 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack_values(values: np.ndarray) -> bytes:
+    """Whole values in as few bytes as they allow: one each up to 254, four or eight beyond; a first byte tells which."""
+    known = values[values != UNKNOWN]
+    low, high = (int(known.min()), int(known.max())) if len(known) else (0, 0)
+    if low >= 0 and high < 255:
+        return b"\x01" + np.where(values == UNKNOWN, 255, values).astype(np.uint8).tobytes()
+    if -(2**31) < low and high < 2**31:
+        return b"\x04" + np.where(values == UNKNOWN, -(2**31), values).astype(np.int32).tobytes()
+    return b"\x08" + values.tobytes()
+
+
+def unpack_values(packed: bytes) -> np.ndarray:
+    """The values of ``pack_values``."""
+    kind, missing = {1: (np.uint8, 255), 4: (np.int32, -(2**31)), 8: (np.int64, UNKNOWN)}[packed[0]]
+    v = np.frombuffer(packed, kind, offset=1).astype(np.int64)
+    return np.where(v == missing, UNKNOWN, v)
+
+
 def run_set(values: np.ndarray, length: int) -> np.ndarray:
     """Hashes of the different runs of ``length`` successive values, sorted."""
     n = len(values) - length + 1
@@ -109,7 +127,7 @@ def sketch_series(series: DataFrame, key: str, values: str, run: int, s: Sketch)
             for i in range(b.num_rows):
                 v = flat[offsets[i] : offsets[i + 1]]
                 r = run_set(v, run)
-                whole.append(v.tobytes())
+                whole.append(pack_values(v))
                 sizes.append(len(r))
                 digests.append(hashlib.blake2b(r.tobytes(), digest_size=16).digest())
                 regs[i] = registers(r, s, factors)
@@ -155,7 +173,7 @@ def similar_classes(classes: DataFrame, run: int, threshold: float, s: Sketch) -
                 margin = 5 * np.sqrt(threshold * (1 - threshold) / s.size)
                 wa, wb = col["_whole_a"].to_pylist(), col["_whole_b"].to_pylist()
                 for i in np.flatnonzero(guess + margin >= threshold):
-                    p, q = (run_set(np.frombuffer(w[i], np.int64), run) for w in (wa, wb))
+                    p, q = (run_set(unpack_values(w[i]), run) for w in (wa, wb))
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep[i] = both >= threshold * (len(p) + len(q) - both)
             mask = pa.array(keep)

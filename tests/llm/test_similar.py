@@ -77,6 +77,12 @@ def test_registers_merge():
     assert (both == setsketch.registers(np.union1d(a, b), s, f)).all()
 
 
+@pytest.mark.parametrize("values", [[], [0, 254, setsketch.UNKNOWN], [255, 3, setsketch.UNKNOWN], [-1, 2**31 - 1], [2**31, setsketch.UNKNOWN], [-(2**31)], [setsketch.UNKNOWN]])
+def test_packed_values(values):
+    v = np.array(values, np.int64)
+    assert (setsketch.unpack_values(setsketch.pack_values(v)) == v).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     members, pairs = near_duplicates(spark.createDataFrame([], "id long, brightness array<double>"), "id", "brightness")
     assert members.count() == 0 and pairs.count() == 0
