@@ -203,8 +203,9 @@ def near_duplicates(series: DataFrame, key: str, values: str, run: int = 4, thre
     s = sketch or Sketch()
     rows = series.where(F.col(key).isNotNull())
     sketched = materialize(sketch_series(rows, key, values, run, s), "sketches")
-    named = sketched.groupBy("_digest").agg(F.min("_key").alias("_class"))
+    # Rows with one digest have the same set, size and registers, and any one's values stand for the set.
+    rest = [F.first(c).alias(c) for c in ("_size", "_whole", "_regs")]
+    classes = materialize(sketched.groupBy("_digest").agg(F.min("_key").alias("_class"), *rest), "sketch-classes")
+    named = classes.select("_digest", "_class")
     members = sketched.groupBy("_key").agg(F.min("_digest").alias("_digest")).join(named, "_digest").select(F.col("_key").alias(key), F.col("_class").alias("class"))
-    lead = sketched.join(named.withColumnRenamed("_digest", "_d"), (F.col("_digest") == F.col("_d")) & (F.col("_key") == F.col("_class")), "left_semi")
-    classes = materialize(lead.dropDuplicates(["_digest"]).withColumnRenamed("_key", "_class"), "sketch-classes")
     return members, similar_classes(classes, run, threshold, s)
