@@ -53,12 +53,15 @@ def playable_range(gaps: DataFrame, files: DataFrame, key: str, frame: str, igno
     """Gaps whose frame lies in the part of the file that is not ignored, both ends included.
 
     ``files`` has columns ``key``, fps and duration. Bounds are cut to whole frames towards zero. A gap keeps
-    its length although the peak before it may be left out. Files without fps or duration have no rows.
+    its length although the peak before it may be left out. A file of unknown duration has no upper bound, one
+    of unknown fps no bound at all; gaps without a row in ``files`` are left out.
     """
     low = (F.lit(float(ignore_start)) * F.col("fps")).cast("bigint")
     high = ((F.col("duration") - F.lit(float(ignore_end))) * F.col("fps")).cast("bigint")
-    bounds = files.where(F.col("fps").isNotNull() & F.col("duration").isNotNull()).select(key, low.alias("_low"), high.alias("_high"))
-    return gaps.join(bounds, key).where(F.col(frame).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    bounds = files.select(key, low.alias("_low"), high.alias("_high"))
+    after = F.col("_low").isNull() | (F.col(frame) >= F.col("_low"))
+    before = F.col("_high").isNull() | (F.col(frame) <= F.col("_high"))
+    return gaps.join(bounds, key).where(F.col(frame).isNotNull() & after & before).drop("_low", "_high")
 
 
 def long_enough(gaps: DataFrame, key: str, least: int = 5) -> DataFrame:

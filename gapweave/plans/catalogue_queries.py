@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,14 @@ def catalogue(spark: SparkSession, d: str) -> plan.Catalog:
     return plan.Catalog(files(spark, d), table(spark, d, "hashes"), table(spark, d, "brightness"), whitelist(spark, d))
 
 
+def measured(spark: SparkSession, d: str) -> plan.Catalog:
+    """The catalogue of the files with fps and duration, which is what the SQL of some queries asks for."""
+    return replace(catalogue(spark, d), files=files(spark, d).where("fps is not null and duration is not null"))
+
+
 def found(spark: SparkSession, d: str, **settings: object) -> DataFrame:
     params = SearchParams(radius=RADIUS, indexlength=LENGTH, knnlib="grid", ignore_start=30, ignore_end=30, scenelength=1e9, exclude_dirs=("/media/vault",), **settings)  # type: ignore[arg-type]
-    return plan.search(catalogue(spark, d), params)
+    return plan.search(measured(spark, d), params)
 
 
 def catalogue_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +186,8 @@ _CLOCK = "strftime(to_timestamp(cast(trunc({s}) as bigint)) at time zone 'UTC',
 _UNDER = " or ".join(f"name = '{r}' or starts_with(name, '{r}/')" for r in ROOTS)
 
 QUERIES = {
-    "catalogue_items": lambda s, d: plan.search_items(catalogue(s, d), SearchParams(indexlength=LENGTH)).select("item", "filename_id", "frame"),
+    "catalogue_items": lambda s, d: plan.search_items(measured(s, d), SearchParams(indexlength=LENGTH)).select("item", "filename_id", "frame"),
+    "catalogue_items_all": lambda s, d: plan.search_items(catalogue(s, d), SearchParams(indexlength=LENGTH)).select("item", "filename_id", "frame"),
     "catalogue_groups": catalogue_groups,
     "search_report": search_report,
     "saved_groups_filter": saved_groups,
@@ -253,8 +261,15 @@ _FOUND = f"""{_catalogue_sql(30, "coalesce(not (f.name = '/media/vault' or start
   firsts as (select f1, f2, min(q) as q from pairs group by f1, f2),
   members as (select q, f1 as fid from firsts union select q, f2 from firsts),
   groups as (select m.q, m.fid, r.item, r.frame from members m join reps r on r.q = m.q and r.fid = m.fid)"""
+#: The windows of all files: without fps or duration, what is not known bounds nothing.
+_ALL_ITEMS = f"""once as (select filename_id as fid, frame, min(hash) as hash from hashes where filename_id is not null and frame is not null and hash is not null group by 1, 2),
+  playable as (select o.* from once o join filenames f on f.id = o.fid
+    where f.fps is null or (o.frame >= 0 and (f.duration is null or o.frame <= cast(trunc(f.duration * f.fps) as bigint)))),
+  slid as (select fid, frame, {_LEADS}, lead(hash, {LENGTH}) over o as more, count(*) over (partition by fid) as n from playable window o as (partition by fid order by frame)),
+  items as (select row_number() over (order by fid, frame) - 1 as item, * from slid where more is not null and n >= 5)"""
 ORACLES = {
     "catalogue_items": f"with {_catalogue_sql(0, 'true')} select item, fid as filename_id, frame from items",
+    "catalogue_items_all": f"with {_ALL_ITEMS} select item, fid as filename_id, frame from items",
     "catalogue_groups": f'with {_FOUND} select q as "group", fid as filename_id, item, frame from groups',
     "search_report": f"""with {_FOUND} select g.q as "group", f.name, 'match=' || coalesce({_CLOCK.format(s="g.frame / f.fps")}, 'unknown') || ' duration=' || coalesce({_CLOCK.format(s="f.duration")}, 'unknown')
       || ' ext=' || coalesce(m.extension, coalesce(nullif({_EXT.format(n="f.name")}, ''), 'unknown')) || ' codec=' || coalesce(m.codec, 'unknown') || ' resolution=' || {_RES.format(w="m.width", h="m.height")}

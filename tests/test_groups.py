@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gapweave.config import SearchParams
 from gapweave.operators import groups, profile, report
-from gapweave.plans.search import Catalog, report_groups, search
+from gapweave.operators.windows import playable_range
+from gapweave.plans.search import Catalog, report_groups, search, search_items
 
 X = [10, 20, 15, 40, 25, 50, 20]
 
@@ -131,3 +132,31 @@ def test_search_end_to_end(spark):
     assert {r.filename_id for r in hit.collect()} == {0, 1, 2}
     assert search(Catalog(table, hashes.where("false"), profiles), SearchParams()).count() == 0
     assert found.where(F.col("offset").isNull()).count() == 0
+
+
+def test_search_keeps_files_of_unknown_length(spark):
+    rng = random.Random(5)
+    scene = [round(rng.uniform(10, 60), 3) for _ in range(20)]
+    # File 1 goes on for a quarter of all rows; of 2 and 3 one has no duration, the other no fps.
+    sizes = {1: 60, 2: 20, 3: 20, 4: 40, 5: 40, 6: 40}
+    rows = []
+    for f, n in sizes.items():
+        frame = 0
+        for g in [round(rng.uniform(10, 60), 3) for _ in range(n - 20)] + (scene if f < 5 else [round(rng.uniform(10, 60), 3) for _ in range(20)]):
+            frame += round(g * 25)
+            rows.append((f, frame, g))
+    known = {1: (25.0, None), 2: (25.0, None), 3: (None, 600.0)}
+    files = spark.createDataFrame([(f, f"/v/{f}.mkv", *known.get(f, (25.0, 9000.0))) for f in sizes], "filename_id long, name string, fps double, duration double")
+    hashes = spark.createDataFrame(rows, "filename_id long, frame int, hash double")
+    items = search_items(Catalog(files, hashes), SearchParams())
+    assert {r.filename_id: r["count"] for r in items.groupBy("filename_id").count().collect()} == {f: n - 12 for f, n in sizes.items()}
+    found = search(Catalog(files, hashes), SearchParams(scenelength=1e9)).collect()
+    assert {r.filename_id for r in found} == {1, 2, 3, 4}
+    assert {r.filename_id for r in found if r.offset is None} == {3}
+
+
+def test_bounds_of_files_of_unknown_length(spark):
+    gaps = spark.createDataFrame([(f, frame) for f in (1, 2, 3, 4) for frame in (5, 50, 95, 1000)], "f long, frame int")
+    files = spark.createDataFrame([(1, 1.0, 100.0), (2, 1.0, None), (3, None, 100.0)], "f long, fps double, duration double")
+    kept = playable_range(gaps, files, "f", "frame", 10, 10).collect()
+    assert sorted(map(tuple, kept)) == [(1, 50), (2, 50), (2, 95), (2, 1000), (3, 5), (3, 50), (3, 95), (3, 1000)]
