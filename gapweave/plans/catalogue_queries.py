@@ -59,6 +59,19 @@ def search_report(spark: SparkSession, d: str) -> DataFrame:
     return plan.report_groups(found(spark, d), media(spark, d))
 
 
+def found_all(spark: SparkSession, d: str) -> DataFrame:
+    """The search of all files with the settings it has from the start: nothing excluded, nothing ignored."""
+    return plan.search(catalogue(spark, d), SearchParams(knnlib="fine"))
+
+
+def catalogue_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    return found_all(spark, d).select("group", "filename_id", "item", "frame")
+
+
+def search_report_all(spark: SparkSession, d: str) -> DataFrame:
+    return plan.report_groups(found_all(spark, d), media(spark, d))
+
+
 def saved(spark: SparkSession, d: str) -> DataFrame:
     """Pairwise matches as saved groups of two, grouped by their first file and frame."""
     rows = table(spark, d, "scene_pairs").where("id2 is not null")
@@ -190,6 +203,8 @@ QUERIES = {
     "catalogue_items_all": lambda s, d: plan.search_items(catalogue(s, d), SearchParams(indexlength=LENGTH)).select("item", "filename_id", "frame"),
     "catalogue_groups": catalogue_groups,
     "search_report": search_report,
+    "catalogue_groups_all": catalogue_groups_all,
+    "search_report_all": search_report_all,
     "saved_groups_filter": saved_groups,
     "ext_filter": lambda s, d: named(s, d).where(paths.has_extension(F.col("name"), ["mp4", "ts", "mkv"])).select("id"),
     "path_prefix_filter": lambda s, d: named(s, d).where(paths.is_under(F.col("name"), ROOTS)).select("id", "name"),
@@ -251,30 +266,43 @@ def _catalogue_sql(ignore: float, excluded: str) -> str:
 
 _D2 = " + ".join(f"(a.g{i} - b.g{i}) * (a.g{i} - b.g{i})" for i in range(LENGTH))
 _SUM = " + ".join(f"g{i}" for i in range(LENGTH))
-_FOUND = f"""{_catalogue_sql(30, "coalesce(not (f.name = '/media/vault' or starts_with(f.name, '/media/vault/')), true)")},
-  cells as (select *, cast(floor(({_SUM}) / 2.1) as bigint) as z from items),
-  near as (select a.item as q, b.item from cells a join (select *, z + unnest([-1, 0, 1]) as y from cells) b on a.z = b.y where {_D2} < {RADIUS**2}),
-  found as (select n.q, i.fid, min(i.item) as item, arg_min(i.frame, i.item) as frame from near n join items i on i.item = n.item group by 1, 2),
+_GROUPED = """  found as (select n.q, i.fid, min(i.item) as item, arg_min(i.frame, i.item) as frame from near n join items i on i.item = n.item group by 1, 2),
   reps as (select * from found where q in (select q from found group by q having count(*) > 1)),
   pairs as (select a.q, a.fid as f1, b.fid as f2 from reps a join reps b on a.q = b.q and a.fid < b.fid
     where not exists (select 1 from whitelist w where least(w.id1, w.id2) = a.fid and greatest(w.id1, w.id2) = b.fid and w.id2 is not null)),
   firsts as (select f1, f2, min(q) as q from pairs group by f1, f2),
   members as (select q, f1 as fid from firsts union select q, f2 from firsts),
   groups as (select m.q, m.fid, r.item, r.frame from members m join reps r on r.q = m.q and r.fid = m.fid)"""
+_FOUND = f"""{_catalogue_sql(30, "coalesce(not (f.name = '/media/vault' or starts_with(f.name, '/media/vault/')), true)")},
+  cells as (select *, cast(floor(({_SUM}) / 2.1) as bigint) as z from items),
+  near as (select a.item as q, b.item from cells a join (select *, z + unnest([-1, 0, 1]) as y from cells) b on a.z = b.y where {_D2} < {RADIUS**2}),
+{_GROUPED}"""
 #: The windows of all files: without fps or duration, what is not known bounds nothing.
 _ALL_ITEMS = f"""once as (select filename_id as fid, frame, min(hash) as hash from hashes where filename_id is not null and frame is not null and hash is not null group by 1, 2),
   playable as (select o.* from once o join filenames f on f.id = o.fid
     where f.fps is null or (o.frame >= 0 and (f.duration is null or o.frame <= cast(trunc(f.duration * f.fps) as bigint)))),
   slid as (select fid, frame, {_LEADS}, lead(hash, {LENGTH}) over o as more, count(*) over (partition by fid) as n from playable window o as (partition by fid order by frame)),
   items as (select row_number() over (order by fid, frame) - 1 as item, * from slid where more is not null and n >= 5)"""
+#: The search of all files: radius 3, values after 300 s set to 0, cells by the sums of both halves of a window.
+_CUT = ", ".join(f"case when {' + '.join(['0.0', *(f'g{j}' for j in range(i))])} > 300 then 0.0 else g{i} end as g{i}" for i in range(LENGTH))
+_HALVES = ", ".join(f"cast(floor(({' + '.join(f'g{i}' for i in h)}) / 7.35) as bigint) as z{n}" for n, h in enumerate([range(6), range(6, LENGTH)]))
+_FOUND_ALL = f"""{_ALL_ITEMS},
+  cut as (select item, fid, frame, {_CUT} from items),
+  cells as (select *, {_HALVES} from cut),
+  reached as (select *, z0 + s.a as y0, z1 + t.b as y1 from cells, (select unnest([-1, 0, 1]) as a) s, (select unnest([-1, 0, 1]) as b) t),
+  near as (select a.item as q, b.item from cells a join reached b on a.z0 = b.y0 and a.z1 = b.y1 where {_D2} < 9),
+{_GROUPED}"""
+_LINES = f"""select g.q as "group", f.name, 'match=' || coalesce({_CLOCK.format(s="g.frame / f.fps")}, 'unknown') || ' duration=' || coalesce({_CLOCK.format(s="f.duration")}, 'unknown')
+      || ' ext=' || coalesce(m.extension, coalesce(nullif({_EXT.format(n="f.name")}, ''), 'unknown')) || ' codec=' || coalesce(m.codec, 'unknown') || ' resolution=' || {_RES.format(w="m.width", h="m.height")}
+      || ' size=' || {_SIZE.format(c="m.file_size")} || ' path=' || coalesce(f.name, '') as line
+      from groups g join filenames f on f.id = g.fid left join {_LATEST} m on m.filename_id = g.fid"""
 ORACLES = {
     "catalogue_items": f"with {_catalogue_sql(0, 'true')} select item, fid as filename_id, frame from items",
     "catalogue_items_all": f"with {_ALL_ITEMS} select item, fid as filename_id, frame from items",
     "catalogue_groups": f'with {_FOUND} select q as "group", fid as filename_id, item, frame from groups',
-    "search_report": f"""with {_FOUND} select g.q as "group", f.name, 'match=' || coalesce({_CLOCK.format(s="g.frame / f.fps")}, 'unknown') || ' duration=' || coalesce({_CLOCK.format(s="f.duration")}, 'unknown')
-      || ' ext=' || coalesce(m.extension, coalesce(nullif({_EXT.format(n="f.name")}, ''), 'unknown')) || ' codec=' || coalesce(m.codec, 'unknown') || ' resolution=' || {_RES.format(w="m.width", h="m.height")}
-      || ' size=' || {_SIZE.format(c="m.file_size")} || ' path=' || coalesce(f.name, '') as line
-      from groups g join filenames f on f.id = g.fid left join {_LATEST} m on m.filename_id = g.fid""",
+    "catalogue_groups_all": f'with {_FOUND_ALL} select q as "group", fid as filename_id, item, frame from groups',
+    "search_report_all": f"with {_FOUND_ALL} {_LINES}",
+    "search_report": f"with {_FOUND} {_LINES}",
     "saved_groups_filter": """with saved as (select id1 as g, id1 as f from scene_pairs where id2 is not null union select id1, id2 from scene_pairs where id2 is not null),
       alive as (select * from saved where f in (select id from filenames where deleted_at is null)),
       sized as (select g, count(*) as n from alive group by g having count(*) > 1),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapweave.config import SearchParams
 from gapweave.operators import groups, profile, report
 from gapweave.operators.windows import playable_range
+from gapweave.plans import registry
 from gapweave.plans.search import Catalog, report_groups, search, search_items
 
 X = [10, 20, 15, 40, 25, 50, 20]
@@ -160,3 +161,31 @@ def test_bounds_of_files_of_unknown_length(spark):
     files = spark.createDataFrame([(1, 1.0, 100.0), (2, 1.0, None), (3, None, 100.0)], "f long, fps double, duration double")
     kept = playable_range(gaps, files, "f", "frame", 10, 10).collect()
     assert sorted(map(tuple, kept)) == [(1, 50), (2, 50), (2, 95), (2, 1000), (3, 5), (3, 50), (3, 95), (3, 1000)]
+
+
+def test_whole_search_against_brute_force(spark, tmp_path):
+    """A pair under /media/vault, a scene within the first 30 s and file 1, which never ends, come out."""
+    rng = random.Random(6)
+    whole = [float(rng.randint(10, 60)) for _ in range(16)]
+    early = [float(rng.randint(1, 2)) for _ in range(16)]
+
+    def noise(n):
+        return [float(rng.randint(10, 60)) for _ in range(n)]
+
+    gaps = {1: noise(40) + whole + noise(10), 2: whole + noise(8), 3: noise(8) + [g + 0.5 for g in whole], 4: early + noise(4), 5: early + noise(6), 6: noise(20)}
+    names = {2: "/media/vault/2.mkv", 3: "/media/vault/3.mkv"}
+    hashes = [(f, int(sum(g[: i + 1])), x) for f, g in gaps.items() for i, x in enumerate(g)]
+    tables = {
+        "filenames": ([(f, names.get(f, f"/v/{f}.mkv"), 1.0, None if f == 1 else 9000.0) for f in gaps], "id long, name string, fps double, duration double"),
+        "hashes": (hashes, "filename_id long, frame int, hash double"),
+        "brightness": ([], "filename_id long, brightness array<double>, loaded_at timestamp"),
+        "whitelist": ([], "id1 long, id2 long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    items = [(f, [x if sum(g[i : i + j]) <= 300 else 0.0 for j, x in enumerate(g[i : i + 12])]) for f, g in gaps.items() for i in range(len(g) - 12)]
+    hoods = {q: sorted({f for f, v in items if sum((x - y) ** 2 for x, y in zip(w, v, strict=True)) < 9}) for q, (_, w) in enumerate(items)}
+    want = {(q, f) for q, fs in greedy({q: fs for q, fs in hoods.items() if len(fs) > 1}, set(), None, 0) for f in fs}
+    got = registry.queries()["catalogue_groups_all"](spark, str(tmp_path)).collect()
+    assert {(r.group, r.filename_id) for r in got} == want and len(got) == len(want)
+    assert {f for _, f in want} == {1, 2, 3, 4, 5}
