@@ -40,7 +40,7 @@ def parse_extensions(text: Column) -> Column:
 def parse_rate(text: Column) -> Column:
     """Frames per second of ``n/d`` or a plain number; null unless it is a number above 0 and at most 240."""
     parts = F.split(F.trim(text), "/")
-    top = parts[0].try_cast("double") if hasattr(Column, "try_cast") else F.expr("null")
+    top = parts[0].try_cast("double")
     value = F.when(F.size(parts) == 1, top).when(F.size(parts) == 2, F.try_divide(top, F.get(parts, F.lit(1)).try_cast("double")))
     return F.when((value > 0) & (value <= MAX_FPS), value)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.operators.skew import HEAVY_PARTS, heavy_keys, lookup_join
+from gapweave.operators.skew import HEAVY_PARTS, PIECE, heavy_keys, lookup_join, many_join
 from gapweave.runtime import materialize
 
 
@@ -37,7 +37,7 @@ def _spans(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def orphan_months(
-    references: Sequence[Reference], parents: DataFrame, key: str, start: str, end: str, parts: int = HEAVY_PARTS, counts: bool = True
+    references: Sequence[Reference], parents: DataFrame, key: str, start: str, end: str, parts: int = HEAVY_PARTS, piece: int = PIECE
 ) -> DataFrame:
     """References that resolve to no living parent: one row per table, field, month and id, with their number.
 
@@ -47,9 +47,9 @@ def orphan_months(
 
     Rows are counted per key and month before any other shuffle, with the first and last time, which
     decides nearly all months of a key at once. Only months in which a parent begins or ends are
-    looked at row by row, to count; without ``counts``, orphan_refs is null in those, as the first or last time
-    shows that there is an orphan. Keys with over 1 / ``parts`` of all references meet a broadcast (fewer than
-    ``parts`` ids) and the others a shuffle join.
+    looked at row by row, to count. Keys with over 1 / ``parts`` of all references meet a broadcast (fewer than
+    ``parts`` ids) and the others a shuffle join; row by row, a key with more than ``piece`` different times is cut
+    into pieces. The counts of heavy and other keys are united.
 
     Defined cases: a null id is no reference. A reference without a time never resolves and has a null
     month. A parent without a start never resolves anything. Parent rows that repeat count once; ids
@@ -80,22 +80,22 @@ def orphan_months(
         .when(F.col("_n") > 1, "mixed")
         .when((F.col("_last") < F.col("_from")) | (F.col("_first") >= F.col("_to")), "all")
         .when((F.col("_first") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_last") < F.col("_to"))), "none")
-        .otherwise("mixed" if counts else "some"),
+        .otherwise("mixed"),
     )
     judged = materialize(judged.where("_state <> 'none'").select(*group, "_refs", "_state"), "reference-states")
-    whole = judged.where("_state in ('all', 'some')").select(*group, F.when(F.col("_state") == "all", F.col("_refs")).alias("orphan_refs"))
+    whole = judged.where("_state = 'all'").select(*group, F.col("_refs").alias("orphan_refs"))
     mixed = judged.where("_state = 'mixed'").select(*group)
     if mixed.isEmpty():
         return whole
     # Row by row only here; times are counted first, so a hot key costs one row per time and its copies nothing.
-    times = (
-        rows.join(mixed, group, "left_semi").groupBy(*group, "_time").agg(F.count(F.lit(1)).alias("_refs"))
+    times = materialize(
+        rows.join(mixed, group, "left_semi").groupBy(*group, "_time").agg(F.count(F.lit(1)).alias("_refs")), "reference-times"
     )
     lives = parents.where(F.col(key).isNotNull()).select(
         F.col(key).alias("ref_id"), F.col(start).alias("_from"), F.col(end).alias("_to")
     ).distinct()
     alive = (
-        times.join(lives, "ref_id")
+        many_join(times, lives, ["ref_id"], piece)
         .where((F.col("_from") <= F.col("_time")) & (F.col("_to").isNull() | (F.col("_to") > F.col("_time"))))
         .select(*group, "_time")
         .distinct()

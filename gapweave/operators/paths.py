@@ -31,8 +31,11 @@ def is_listed_under(path: Column, roots: Iterable[str]) -> Column:
 
 
 def is_like_prefix(path: Column, root: str) -> Column:
-    """As the stored catalogue matched prefixes: ASCII case ignored below the root, and ``%`` and ``_`` are wildcards."""
-    return (path == root) | path.ilike(root.rstrip("/") + "/%")
+    """As the stored catalogue matched prefixes: ASCII case ignored below the root, and ``%`` and ``_`` are wildcards.
+
+    A backslash stands for itself.
+    """
+    return (path == root) | path.ilike((root.rstrip("/") + "/%").replace("\\", "\\\\"))
 
 
 def has_extension(path: Column, extensions: Iterable[str]) -> Column:

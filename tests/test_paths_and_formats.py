@@ -21,6 +21,8 @@ def test_prefixes(spark):
     assert values(spark, rows, "n string", paths.is_listed_under(F.col("n"), ["/"]))[:5] == [True] * 5
     assert values(spark, rows, "n string", paths.is_listed_under(F.col("n"), []))[:5] == [True] * 5
     assert values(spark, rows, "n string", paths.is_like_prefix(F.col("n"), "/a/Skip"))[:5] == [True, False, True, True, False]
+    slashed = [("C:\\a\\x",), ("c:\\A\\b/y",), ("C:a",), ("C:\\a\\b",)]
+    assert values(spark, slashed, "n string", paths.is_like_prefix(F.col("n"), "C:\\a\\b")) == [False, True, False, True]
 
 
 def test_extensions(spark):

@@ -23,11 +23,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
-    got = registry.queries()[name](spark, D).toPandas()
+    got = registry.queries()[name](spark, D).toArrow()
     sql = registry.oracle_sql().get(name)
     if sql is not None:
-        want = con.execute(sql).df()
-        assert sorted(got.columns) == sorted(want.columns)
+        want = con.sql(sql).to_arrow_table()
+        assert sorted(got.column_names) == sorted(want.column_names)
         assert rows(got) == rows(want)
 
 
