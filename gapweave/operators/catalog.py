@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 
 from gapweave.operators.paths import absolute, is_like_prefix, is_under
 from gapweave.operators.windows import number_items
-from gapweave.runtime import _fs
+from gapweave.runtime import Manifests, _fs
 
 # ---------------------------------------------------------------------------------------------------
 # Functions
@@ -138,23 +137,8 @@ class Catalogue:
 
     # -- versions ----------------------------------------------------------------------------------
 
-    def _manifests(self) -> list[int]:
-        fs, path = _fs(self.spark, f"{self.folder}/manifests")
-        if not fs.exists(path):
-            return []
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit())
-
-    def _read_manifest(self, version: int) -> dict[str, str]:
-        fs, path = _fs(self.spark, f"{self.folder}/manifests/{version}")
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
     def _manifest(self) -> tuple[int, dict[str, str]]:
-        versions = self._manifests()
-        return (versions[-1], self._read_manifest(versions[-1])) if versions else (0, {})
+        return Manifests(self.spark, f"{self.folder}/manifests").latest()
 
     def commit(self, changes: dict[str, DataFrame]) -> None:
         """Put new contents in place of the named tables, all or none."""
@@ -165,15 +149,7 @@ class Catalogue:
                 new[table] = f"{self.folder}/tables/{table}-{uuid.uuid4().hex}"
                 wanted = T._parse_datatype_string(_SCHEMAS[table])
                 df.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(new[table])
-            text = json.dumps(new).encode()
-            fs, staged = _fs(self.spark, f"{self.folder}/manifests/.{uuid.uuid4().hex}")
-            stream = fs.create(staged)
-            stream.write(bytearray(text))
-            stream.close()
-            _, target = _fs(self.spark, f"{self.folder}/manifests/{version + 1}")
-            if fs.exists(target) or not fs.rename(staged, target):
-                fs.delete(staged, False)
-                raise RuntimeError("the catalogue was changed meanwhile")
+            Manifests(self.spark, f"{self.folder}/manifests").put(version + 1, new)
         except BaseException:
             for table in changes:
                 if new.get(table) != manifest.get(table):

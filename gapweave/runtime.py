@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
@@ -55,6 +57,66 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(hadoop, True)
 
 
+def put_new(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Make a small file that must not exist yet; False if there is one already. Of two writers one succeeds."""
+    fs, hadoop = _fs(spark, path)
+    if fs.getScheme() == "file":
+        try:
+            fs.mkdirs(hadoop.getParent())
+            with open(hadoop.toUri().getPath(), "xb") as f:
+                f.write(data)
+            return True
+        except FileExistsError:
+            return False
+    try:
+        stream = fs.create(hadoop, False)
+    except Py4JJavaError:
+        if fs.exists(hadoop):
+            return False
+        raise
+    stream.write(bytearray(data))
+    stream.close()
+    return True
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """The whole of a small file."""
+    fs, hadoop = _fs(spark, path)
+    stream = fs.open(hadoop)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+class Manifests:
+    """The versions of something kept in a folder: small JSON files with rising numbers, none ever overwritten."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def numbers(self) -> list[int]:
+        fs, path = _fs(self.spark, self.folder)
+        if not fs.exists(path):
+            return []
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit())
+
+    def latest(self) -> tuple[int, dict]:
+        """The greatest number and its content; one that a writer left unfinished counts as a number, but has no content."""
+        numbers = self.numbers()
+        for n in reversed(numbers):
+            try:
+                return numbers[-1], json.loads(read_bytes(self.spark, f"{self.folder}/{n}"))
+            except ValueError:
+                continue
+        return (numbers[-1] if numbers else 0), {}
+
+    def put(self, number: int, content: dict) -> None:
+        """Make version ``number``; an error if another writer has made it."""
+        if not put_new(self.spark, f"{self.folder}/{number}", json.dumps(content).encode()):
+            raise RuntimeError(f"version {number} of {self.folder} was made by another writer meanwhile")
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Read one input table of a data folder."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
