@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.runtime import materialize
+
 #: Fixed value: the public pre-token pattern of the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -72,8 +74,8 @@ def token_ids(
     characters), that document is encoded in a single task instead.
 
     Defined cases: null and empty texts give an empty list. Strings of special tokens are ordinary text.
-    Repeated rows, and rows with a null key, each give a row while the text is at most ``spread_chars``
-    long. Other columns are ignored.
+    Repeated rows, and rows with a null or repeated key, each give a row, whatever their length: long texts are
+    written out with a number of their own, by which their chunks are joined. Other columns are ignored.
     """
     spark = documents.sparkSession
     with open(vocabulary, "rb") as f:
@@ -97,28 +99,29 @@ def token_ids(
                 end = re.search(r"\Z", t) if last else _RESYNC.search(t, spread_chars + 1, spread_chars + overlap_chars)
                 open_.append(begin is None or end is None)
                 ids.append(np.zeros(0, np.uint32) if open_[-1] else encode(enc, t[begin.start() : end.start()], piece_chars))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(open_), _lists(ids)], names=["_key", "_at", "_open", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(open_), _lists(ids)], names=["_row", "_at", "_open", "ids"])
 
     schema = f"_key {kind}, ids array<int>"
     length = F.coalesce(F.length("_text"), F.lit(0))
     short = rows.where(length <= spread_chars).mapInArrow(whole, schema)
-    long = rows.where(length > spread_chars)
+    long = materialize(rows.where(length > spread_chars).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
     if long.isEmpty():
         return short.withColumnRenamed("_key", key)
     chunks = (
-        long.select("_key", "_text", F.explode(F.sequence(F.lit(0), length - 1, F.lit(spread_chars))).alias("_at"))
+        long.select("_row", "_text", F.explode(F.sequence(F.lit(0), length - 1, F.lit(spread_chars))).alias("_at"))
         .select(
-            "_key", "_at", (F.col("_at") + spread_chars >= length).alias("_last"),
+            "_row", "_at", (F.col("_at") + spread_chars >= length).alias("_last"),
             F.expr(f"substring(_text, _at + 1, {spread_chars + overlap_chars})").alias("_text"),
         )
-        .repartition(F.xxhash64("_key", "_at"))
-        .mapInArrow(chunk, f"_key {kind}, _at int, _open boolean, ids array<int>")
+        .repartition(F.xxhash64("_row", "_at"))
+        .mapInArrow(chunk, "_row long, _at int, _open boolean, ids array<int>")
     )
-    joined = chunks.groupBy("_key").agg(
+    joined = chunks.groupBy("_row").agg(
         F.max("_open").alias("_open"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ids"))), lambda x: x["ids"])).alias("ids")
     )
-    stitched = joined.where("not _open").select("_key", "ids")
-    unbroken = long.join(joined.where("_open").select("_key"), "_key", "left_semi").mapInArrow(whole, schema)
+    joined = materialize(joined, "chunked-ids")
+    stitched = joined.where("not _open").join(long.select("_row", "_key"), "_row").select("_key", "ids")
+    unbroken = long.join(joined.where("_open").select("_row"), "_row", "left_semi").select("_key", "_text").mapInArrow(whole, schema)
     return short.unionByName(stitched).unionByName(unbroken).withColumnRenamed("_key", key)
 
 

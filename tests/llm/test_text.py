@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from gapweave.llm import leaks as L
 from gapweave.llm import truncation as T
 from gapweave.llm.leaks import leaks
+from gapweave.llm.text_queries import p7_ids
 from gapweave.llm.tokens import VOCABULARY, cuts, decode, encode, encoder, token_ids
 from gapweave.llm.truncation import stop_state, truncated, without_marks
 
@@ -47,6 +48,20 @@ def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "k long, text string")
     assert sorted((r["k"] is None, len(r["ids"])) for r in token_ids(df, "k", "text").collect()) == [(False, 2), (False, 2), (True, 1)]
     assert token_ids(df.where("false"), "k", "text").count() == 0
+    # Long texts alike: every row is a row, whatever keys it shares.
+    texts = ["one two " * 50, "three four five " * 40, "x" * 300, None]
+    long = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3])], "k long, text string")
+    got = sorted((r["k"] or 0, r["ids"]) for r in token_ids(long, "k", "text", spread_chars=100, overlap_chars=20).collect())
+    assert got == sorted((k, ENC.encode_ordinary(t) if t else []) for k, t in [(1, texts[0]), (1, texts[1]), (1, texts[0]), (0, texts[1]), (0, texts[2]), (2, None)])
+
+
+def test_query_with_a_text_of_over_a_million_characters(spark, tmp_path):
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choices("abcdeé漢", k=rng.randint(1, 9))) for _ in range(400_000))
+    assert len(long) > 2_000_000
+    spark.createDataFrame([(1, long), (1, "short"), (None, long[:1_500_000])], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(r["ids"] for r in p7_ids(spark, f"file://{tmp_path}").collect())
+    assert got == sorted(ENC.encode_ordinary(t) for t in (long, "short", long[:1_500_000]))
 
 
 # -- leaks -------------------------------------------------------------------------------------------
