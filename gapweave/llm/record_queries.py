@@ -31,6 +31,12 @@ def rated_probes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The probe that supplies each field.
+
+    The definition lets every field choose for itself. Each is then a bundle that no dependency ties to another, so
+    the bound at the root of the search is reached by the best value of each, and nothing is left to branch on.
+    ``p4_survivors`` has dependent fields and branches.
+    """
     bundles = [Bundle("codec", ("codec",), (usable_codec(),)), *[Bundle(f, (f,), (F.col(f) > 0,)) for f in NUMBERS]]
     chosen = choose_bundles(rated_probes(spark, d), "filename_id", "probe_id", "trust", "probed_at", bundles)
     return chosen.select("filename_id", F.col("bundle").alias("field_name"), "probe_id")

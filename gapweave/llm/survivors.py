@@ -30,6 +30,14 @@ class Bundle:
         return ok
 
 
+#: Trust is added up exactly; it counts to nine decimal places.
+TRUST = "decimal(28,9)"
+
+
+def _trust(value: Column) -> Column:
+    return F.coalesce(value.try_cast(TRUST), F.lit(0).cast(TRUST))
+
+
 def _value(b: Bundle) -> Column:
     return F.struct(*[F.col(f).alias(f"v{i}") for i, f in enumerate(b.fields)])
 
@@ -62,7 +70,8 @@ def choose_bundles(
     group is ever gathered in one place.
 
     Defined cases: a null group or record id takes no part. Rows that repeat a record id count as one
-    record for ``min_records``, and may each supply a value. A null trust counts as 0. A group without a
+    record for ``min_records``, and may each supply a value. A null trust, and one that is no finite number, counts as 0; fractions count to nine
+    places. A group without a
     usable value of a bundle has no row for it. An empty table gives an empty result; other columns are
     ignored.
     """
@@ -70,7 +79,7 @@ def choose_bundles(
     parent = {b: a for a, b in dependencies}
     if len(parent) < len(dependencies) or any(names.index(a) >= names.index(b) for a, b in dependencies):
         raise ValueError("a bundle may depend on one earlier bundle")
-    rank = F.struct(F.coalesce(F.col(trust), F.lit(0)).cast("long").alias("t"), F.col(recency).alias("r"), F.col(record).alias("id"))
+    rank = F.struct(_trust(F.col(trust)).alias("t"), F.col(recency).alias("r"), F.col(record).alias("id"))
     rows = records.where(F.col(group).isNotNull() & F.col(record).isNotNull())
     free = [b for b in bundles if b.name not in parent and b.name not in parent.values()]
     tied = [b for b in bundles if b not in free]
@@ -108,11 +117,11 @@ def _search(rows: DataFrame, group: str, record: str, rank: Column, tied: list[B
     whole = F.lit(True)
     for i in range(len(tied)):
         whole = whole & F.col(f"_v{i}").isNotNull()
-    one = F.coalesce(F.max(F.when(whole, t * len(tied))), F.lit(-(1 << 62)))
+    one = F.coalesce(F.max(F.when(whole, t * len(tied))), F.lit(-(10**18)))
     bounds = slim.groupBy("_g").agg(
         one.alias("_low"), *[F.max(F.when(F.col(f"_v{i}").isNotNull(), t)).alias(f"_top{i}") for i in range(len(tied))]
     )
-    front = bounds.withColumn("_sum", F.lit(0).cast("long"))
+    front = bounds.withColumn("_sum", F.lit(0).cast(TRUST))
     for i, b in enumerate(tied):
         own = slim.where(F.col(f"_v{i}").isNotNull())
         if b.name in parent:

@@ -30,6 +30,13 @@ def test_order_of_trust_recency_and_id(spark):
     assert got == {(1, "a"): 3, (1, "b"): 4, (1, "w"): 1, (1, "h"): 3, (4, "a"): 9, (4, "w"): 9, (4, "h"): 9}
 
 
+def test_fractions_of_trust_count(spark):
+    rows = [(1, 1, "0.1", 9, "x", "p"), (1, 2, "0.9", 1, "y", "q"), (2, 3, "NaN", 9, "x", "p"), (2, 4, "0.000001", 1, "y", "q"), (3, 5, None, 2, "x", "p"), (3, 6, "-1", 3, "y", "p")]
+    df = spark.createDataFrame(rows, "g long, id long, trust string, seen long, a string, b string").withColumn("trust", F.col("trust").cast("double"))
+    for dependencies in ([], [("a", "b")]):
+        assert chosen(df, plain("a", "b"), dependencies) == {(1, "a"): 2, (1, "b"): 2, (2, "a"): 4, (2, "b"): 4, (3, "a"): 5, (3, "b"): 5}
+
+
 def test_bundles_come_from_one_record(spark):
     rows = [(1, 1, 5, 1, "x", None, 10, None, ""), (1, 2, 1, 1, "y", None, 20, 30, "")]
     df = spark.createDataFrame(rows, SCHEMA)
