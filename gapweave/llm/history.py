@@ -188,11 +188,16 @@ def same_path(files: DataFrame, key: str, name: str, batch: str) -> DataFrame:
     return pairs.select("first", "second")
 
 
+def whole_seconds(gap: Column) -> Column:
+    """A finite number rounded down, as a double; numbers of 2^52 or more are whole already."""
+    return F.when(F.abs(gap) < float(1 << 52), F.floor(gap).cast("double")).otherwise(gap)
+
+
 def integer_token(parts: list[Column]) -> Column:
     """One long for three whole numbers: exact from 0 to 2^21 - 1, a negative hash beyond."""
     fits = F.lit(True)
     for p in parts:
         fits = fits & p.between(0, (1 << 21) - 1)
-    a, b, c = (p.cast("long") for p in parts)
-    packed = F.shiftleft(a, 42).bitwiseOR(F.shiftleft(b, 21)).bitwiseOR(c)
+    small = [F.when(fits, p).cast("long") for p in parts]
+    packed = F.shiftleft(small[0], 42).bitwiseOR(F.shiftleft(small[1], 21)).bitwiseOR(small[2])
     return F.when(fits, packed).otherwise(F.lit(-1) - F.xxhash64(*parts).bitwiseAND(F.lit((1 << 62) - 1)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm.history import HistoryIndex, integer_token, repeats_between_batches, same_path
+from gapweave.llm.history import HistoryIndex, integer_token, repeats_between_batches, same_path, whole_seconds
 from gapweave.llm.setsketch import near_duplicates
+from gapweave.operators.skew import many_join
 from gapweave.operators.windows import sliding
 from gapweave.runtime import materialize, shared_dir, table
 
@@ -18,7 +19,7 @@ MIN_SERIES, MIN_RATIO = 20, 0.9
 
 def latest_series(spark: SparkSession, d: str) -> DataFrame:
     """Each existing file of known duration with its latest brightness series of 20 values or more."""
-    files = table(spark, d, "filenames").where("id is not null and duration > 0 and duration < 1e12")
+    files = table(spark, d, "filenames").where("id is not null and duration > 0 and not isnan(duration)")
     files = files.groupBy(F.col("id").alias("filename_id")).agg(F.max("duration").alias("duration"))
     rows = table(spark, d, "brightness").where("filename_id is not null")
     last = rows.groupBy("filename_id").agg(F.max(F.struct("loaded_at", "brightness")).alias("last"))
@@ -30,13 +31,13 @@ def close_durations(pairs: DataFrame, members: DataFrame, ratio: float) -> DataF
     """Pairs of members of paired classes whose durations are within ``ratio``.
 
     Members meet by class and by step of a logarithmic scale on which close durations are at most one step
-    apart, so members far apart in duration never meet.
+    apart, so members far apart in duration never meet. An infinite duration is near itself only.
     """
     step = F.floor(F.log("duration") / F.lit(-math.log(ratio))).cast("long")
-    m = members.withColumn("step", step)
+    m = members.withColumn("step", F.when(F.col("duration") < float("inf"), step).otherwise(1 << 40))
     left = m.select(F.col("class").alias("a"), F.col("filename_id").alias("p"), F.col("duration").alias("dp"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
     right = m.select(F.col("class").alias("b"), F.col("filename_id").alias("q"), F.col("duration").alias("dq"), "step")
-    met = pairs.join(left, "a").join(right, ["b", "step"]).where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
+    met = many_join(pairs.join(left, "a"), right, ["b", "step"]).where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
     met = met.where(F.least("dp", "dq") >= F.lit(ratio) * F.greatest("dp", "dq"))
     return met.select(F.least("p", "q").alias("filename_id1"), F.greatest("p", "q").alias("filename_id2"))
 
@@ -50,18 +51,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 MIN_GAPS, GAP_RUN = 12, 3
-#: NaN and infinite gaps, and lengths beyond 30,000 years, count as unknown.
-FINITE_GAP = "hash > -1e12 and hash < 1e12"
+
+
+def usable(gap: Column) -> Column:
+    """A gap that is a finite number. Others keep their place in a sequence, but nothing is told about them."""
+    return ~F.isnan(gap) & (F.abs(gap) < float("inf"))
 
 
 def gap_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """(set, token): the different runs of three gaps in whole seconds of each file with 12 gaps or more."""
-    runs = sliding(table(spark, d, "hashes").where(FINITE_GAP), "filename_id", "frame", "hash", GAP_RUN)
-    token = integer_token([F.floor(F.col("values")[i]) for i in range(GAP_RUN)])
+    """(set, token): the different runs of three gaps in whole seconds of each file with 12 gaps or more.
+
+    A gap that is NaN or infinite is unknown: it counts as a gap and parts its neighbours, and runs that hold it
+    are left out.
+    """
+    runs = sliding(table(spark, d, "hashes"), "filename_id", "frame", "hash", GAP_RUN)
+    gaps = [F.col("values")[i] for i in range(GAP_RUN)]
+    token = F.when(usable(gaps[0]) & usable(gaps[1]) & usable(gaps[2]), integer_token([whole_seconds(g) for g in gaps]))
     counted = runs.select(F.col("filename_id").alias("set"), token.alias("token")).groupBy("set", "token").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "gap-tokens")
     long_enough = counted.groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GAPS - GAP_RUN + 1).select("set")
-    return counted.join(long_enough, "set", "left_semi").select("set", "token")
+    return counted.where("token is not null").join(long_enough, "set", "left_semi").select("set", "token")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

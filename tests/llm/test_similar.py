@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gapweave.llm import hnsw, setsketch
 from gapweave.llm.history import HistoryIndex, integer_token, rare_prefixes, repeats_between_batches, same_path, spell, token_order
 from gapweave.llm.setsketch import near_duplicates, run_set
+from gapweave.llm.signal_queries import gap_tokens
+from gapweave.llm.vector_queries import gap_windows
 from gapweave.llm.vectors import near_vectors, nearest_windows
 
 
@@ -170,6 +172,22 @@ def test_tokens_are_exact(spark):
     assert len(set(got)) == len(rows) and got[0] == (1 << 42) + (2 << 21) + 3 and got[3] < 0 and got[4] < 0
 
 
+def test_unknown_gaps_keep_their_place(spark, tmp_path):
+    """A gap that is NaN or infinite parts its neighbours; only gaps that are null are not there."""
+    nan, inf = float("nan"), float("inf")
+    gaps = [1.0, 2.0, nan, 4.0, 5.0, 6.0, None, 7.0, inf, 1e300, 1e300, 1e300, -1e300, 9.5, 9.0]
+    rows = [(1, i, g) for i, g in enumerate(gaps)] + [(2, i, float(i)) for i in range(12)] + [(3, i, float(i)) for i in range(11)]
+    spark.createDataFrame(rows, "filename_id long, frame int, hash double").write.parquet(f"file://{tmp_path}/hashes.parquet")
+    got = {}
+    for r in gap_tokens(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r.set, set()).add(r.token)
+    # 4 5 6, 5 6 7, 1e300 three times, and those with -1e300; not 2 4 5, which are no neighbours.
+    assert {t for t in got[1] if t >= 0} == {(4 << 42) + (5 << 21) + 6, (5 << 42) + (6 << 21) + 7} and len(got[1]) == 6
+    assert len(got[2]) == 10 and 3 not in got
+    windows = gap_windows(spark, f"file://{tmp_path}").where("filename_id = 1").collect()
+    assert len(windows) == 2 and all(None in list(r)[2:] for r in windows)
+
+
 # -- nearest windows ---------------------------------------------------------------------------------
 
 
