@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,18 +74,62 @@ def run_set(values: np.ndarray, length: int) -> np.ndarray:
     return np.unique(h[ok])
 
 
-def registers(runs: np.ndarray, s: Sketch, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """SetSketch registers of a set: exponentially spaced, truncated minima of exponential draws."""
+def run_sets(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``run_set`` of many series at once: the hashes, series after series, and where each series' hashes start (and end)."""
+    n, rows = len(flat) - length + 1, len(offsets) - 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+    of = np.repeat(np.arange(rows), np.diff(offsets))
+    known = flat != UNKNOWN
+    h, ok = np.zeros(n, np.uint64), of[:n] == of[length - 1 :]
+    for j in range(length):
+        h = _spread(h * np.uint64(31) + flat[j : j + n].view(np.uint64))
+        ok &= known[j : j + n]
+    h, of = h[ok], of[:n][ok]
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[fresh], np.searchsorted(of[fresh], np.arange(rows + 1))
+
+
+def registers(runs: np.ndarray, s: Sketch, factors: tuple[np.ndarray, np.ndarray], starts: np.ndarray | None = None) -> np.ndarray:
+    """SetSketch registers of a set: exponentially spaced, truncated minima of exponential draws.
+
+    With ``starts``, of several sets that follow one another, none of them empty: a row each.
+    """
     a, b = factors
-    least = np.full(s.size, np.iinfo(np.uint64).max)
-    for at in range(0, len(runs), 4096):
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    least = np.full((len(starts), s.size), np.iinfo(np.uint64).max)
+    for at in range(0, len(runs), 4096):  # bounds the memory, also of one huge set
         part = runs[at : at + 4096, None] * a[None] + b[None]
-        np.minimum(least, part.min(0), out=least)
+        first = np.searchsorted(starts, at, side="right") - 1
+        inside = starts[(starts > at) & (starts < at + len(part))] - at
+        low = np.minimum.reduceat(part, np.concatenate([[0], inside]), axis=0)
+        np.minimum(least[first : first + len(low)], low, out=least[first : first + len(low)])
     draw = -np.log1p(-np.minimum(least.astype(np.float64) / 2.0**64, 1 - 2.0**-53)) / s.rate
     k = np.floor(1 - np.log(np.maximum(draw, 1e-300)) / np.log(s.base))
     return np.clip(k, 0, s.limit + 1).astype(np.uint16)
 
 
+def digests(runs: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each of several sets that follow one another, none of them empty."""
+    if not len(starts):
+        return []
+    parts = [np.bitwise_xor.reduceat(_spread(runs), starts), np.add.reduceat(_spread(runs ^ np.uint64(0x5851F42D4C957F2D)), starts)]
+    packed = np.stack(parts, 1).tobytes()
+    return [packed[i : i + 16] for i in range(0, len(packed), 16)]
+
+
+def pack_series(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """``pack_values`` of many series at once."""
+    known = flat[flat != UNKNOWN]
+    if len(known) and known.min() >= 0 and known.max() < 255:
+        small = np.where(flat == UNKNOWN, 255, flat).astype(np.uint8).tobytes()
+        return [b"\x01" + small[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return [pack_values(flat[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def band_keys(regs: np.ndarray, s: Sketch) -> np.ndarray:
     """One 64-bit key per band of each row of registers."""
     parts = regs.reshape(len(regs), s.bands, s.rows).astype(np.uint64)
@@ -120,25 +163,25 @@ def sketch_series(series: DataFrame, key: str, values: str, run: int, s: Sketch)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = s.factors()
         for b in batches:
-            whole, sizes, digests, regs = [], [], [], np.zeros((b.num_rows, s.size), np.uint16)
             lists = b.column(1)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            offsets, flat = offsets - offsets[0], flat[offsets[0] : offsets[-1]]
             flat = np.where(np.abs(flat) < 2.0**62, np.floor(flat), np.nan)
             flat = np.where(np.isnan(flat), float(UNKNOWN), flat).astype(np.int64)
-            for i in range(b.num_rows):
-                v = flat[offsets[i] : offsets[i + 1]]
-                r = run_set(v, run)
-                whole.append(pack_values(v))
-                sizes.append(len(r))
-                digests.append(hashlib.blake2b(r.tobytes(), digest_size=16).digest())
-                regs[i] = registers(r, s, factors)
+            runs, starts = run_sets(flat, offsets, run)
+            sizes = np.diff(starts)
+            some = sizes > 0
+            begin = starts[:-1][some]
+            keep = pa.array(some)
+            regs = registers(runs, s, factors, begin) if len(begin) else np.zeros((0, s.size), np.uint16)
+            packed = pa.array(pack_series(flat, offsets), pa.binary()).filter(keep)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())],
+                [b.column(0).filter(keep), packed, pa.array(sizes[some].astype(np.int32)), pa.array(digests(runs, begin), pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())],
                 names=["_key", "_whole", "_size", "_digest", "_regs"],
             )
 
     schema = f"_key {dict(series.dtypes)[key]}, _whole binary, _size int, _digest binary, _regs binary"
-    return series.where(F.col(values).isNotNull()).select(F.col(key).alias("_key"), F.col(values).cast("array<double>")).mapInArrow(work, schema).where("_size > 0")
+    return series.where(F.col(values).isNotNull()).select(F.col(key).alias("_key"), F.col(values).cast("array<double>")).mapInArrow(work, schema)
 
 
 def similar_classes(classes: DataFrame, run: int, threshold: float, s: Sketch) -> DataFrame:
@@ -184,7 +227,7 @@ def similar_classes(classes: DataFrame, run: int, threshold: float, s: Sketch) -
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([col["a"].filter(mask), col["b"].filter(mask)], names=["a", "b"])
 
-    return pairs.mapInArrow(verify, f"a {kind}, b {kind}")
+    return materialize(pairs.mapInArrow(verify, f"a {kind}, b {kind}"), "similar-classes")
 
 
 def near_duplicates(series: DataFrame, key: str, values: str, run: int = 4, threshold: float = 0.5, sketch: Sketch | None = None) -> tuple[DataFrame, DataFrame]:

@@ -37,7 +37,7 @@ def close_durations(pairs: DataFrame, members: DataFrame, ratio: float) -> DataF
     m = members.withColumn("step", F.when(F.col("duration") < float("inf"), step).otherwise(1 << 40))
     left = m.select(F.col("class").alias("a"), F.col("filename_id").alias("p"), F.col("duration").alias("dp"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
     right = m.select(F.col("class").alias("b"), F.col("filename_id").alias("q"), F.col("duration").alias("dq"), "step")
-    met = many_join(pairs.join(left, "a"), right, ["b", "step"]).where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
+    met = many_join(materialize(pairs.join(left, "a"), "class-pairs"), right, ["b", "step"]).where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
     met = met.where(F.least("dp", "dq") >= F.lit(ratio) * F.greatest("dp", "dq"))
     return met.select(F.least("p", "q").alias("filename_id1"), F.greatest("p", "q").alias("filename_id2"))
 
@@ -45,7 +45,7 @@ def close_durations(pairs: DataFrame, members: DataFrame, ratio: float) -> DataF
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     series = materialize(latest_series(spark, d), "series")
     members, pairs = near_duplicates(series, "filename_id", "brightness")
-    members = members.join(series.select("filename_id", "duration"), "filename_id")
+    members = materialize(members.join(series.select("filename_id", "duration"), "filename_id"), "members")
     same = members.select(F.col("class").alias("a"), F.col("class").alias("b")).groupBy("a", "b").count().where("count > 1").select("a", "b")
     return close_durations(pairs.unionByName(same), members, MIN_RATIO)
 

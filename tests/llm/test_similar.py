@@ -66,7 +66,7 @@ def test_likelihood_estimates_likeness():
     for shared, own in ((200, 0), (150, 50), (100, 100), (20, 180)):
         common = rng.integers(0, 2**63, shared, dtype=np.uint64)
         x, y = (np.concatenate([common, rng.integers(0, 2**63, own, dtype=np.uint64)]) for _ in range(2))
-        r = [setsketch.registers(v, s, factors)[None] for v in (x, y)]
+        r = [setsketch.registers(v, s, factors) for v in (x, y)]
         guess = setsketch.likeness_by_likelihood(*r, np.array([len(x)]), np.array([len(y)]), s.base)[0]
         assert abs(guess - shared / (shared + 2 * own)) < 0.12
 
@@ -79,6 +79,24 @@ def test_registers_merge():
     assert (both == setsketch.registers(np.union1d(a, b), s, f)).all()
 
 
+def test_sketches_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(1)
+    s = setsketch.Sketch()
+    f = s.factors()
+    lengths = [0, 3, 4, 30, 2, 9000, 50, 0]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    flat = rng.integers(0, 9, offsets[-1])
+    flat[rng.random(len(flat)) < 0.02] = setsketch.UNKNOWN
+    runs, starts = setsketch.run_sets(flat, offsets, 4)
+    one = [run_set(flat[i:j], 4) for i, j in zip(offsets, offsets[1:])]
+    assert [x.tolist() for x in one] == [runs[i:j].tolist() for i, j in zip(starts, starts[1:])]
+    begin = starts[:-1][np.diff(starts) > 0]
+    full = [x for x in one if len(x)]
+    assert (setsketch.registers(runs, s, f, begin) == np.concatenate([setsketch.registers(x, s, f) for x in full])).all()
+    assert len(set(setsketch.digests(runs, begin))) == len(full) and setsketch.digests(full[0], np.zeros(1, int)) == setsketch.digests(runs, begin)[:1]
+    assert [setsketch.unpack_values(p).tolist() for p in setsketch.pack_series(flat, offsets)] == [flat[i:j].tolist() for i, j in zip(offsets, offsets[1:])]
+
+
 @pytest.mark.parametrize("values", [[], [0, 254, setsketch.UNKNOWN], [255, 3, setsketch.UNKNOWN], [-1, 2**31 - 1], [2**31, setsketch.UNKNOWN], [-(2**31)], [setsketch.UNKNOWN]])
 def test_packed_values(values):
     v = np.array(values, np.int64)
