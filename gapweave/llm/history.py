@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gapweave.operators.skew import heavy_keys, lookup_join
-from gapweave.runtime import materialize
+from gapweave.operators.skew import HEAVY_PARTS, PIECE, heavy_keys, lookup_join, many_join
+from gapweave.runtime import Manifests, _fs, materialize
 
 #: Sets up to this size are ranked and compared in one task; larger ones are split over tasks.
 LARGE = 1 << 16
@@ -31,16 +34,15 @@ def token_order(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
+def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large: int = LARGE, heavy: DataFrame | None = None) -> DataFrame:
     """The prefix of each set in rare-first order: (set, size, token, pos), pos counted from 0.
 
     ``tokens`` has rows (set, size, token), each token once per set. Tokens that ``order`` lacks count as
-    the rarest. Sets of more than ``large`` tokens are ranked in two steps, by slices of the order.
+    the rarest. Sets of more than ``large`` tokens are ranked in two steps, by slices of the order. ``heavy`` names
+    tokens of so many sets that they are to meet their rank in a broadcast.
     """
-    heavy = heavy_keys(order, "token", "freq", tokens.count())
-    ranked = lookup_join(tokens, order, "token", "left", heavy).select(
-        "set", "size", "token", F.coalesce("freq", F.lit(0)).alias("f"), F.xxhash64("token").alias("h")
-    )
+    joined = tokens.join(order, "token", "left") if heavy is None else lookup_join(tokens, order, "token", "left", heavy)
+    ranked = joined.select("set", "size", "token", F.coalesce("freq", F.lit(0)).alias("f"), F.xxhash64("token").alias("h"))
     ordering = ["f", "h", "token"]
     small = ranked.where(F.col("size") <= large).withColumn("pos", F.row_number().over(Window.partitionBy("set").orderBy(*ordering)) - 1)
     big = ranked.where(F.col("size") > large).withColumn("slice", F.shiftright("h", 52))
@@ -54,106 +56,312 @@ def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large:
     return small.select(*columns).unionByName(big.select(*columns)).where(F.col("pos") < prefix_length(F.col("size"), threshold))
 
 
-def meet(probe: DataFrame, postings: DataFrame, threshold: float, extra: Column | None = None) -> DataFrame:
-    """Candidate pairs (a, na, b, nb): prefixes share a token, and sizes and positions allow the threshold."""
-    a = probe.select("token", *[F.col(c).alias(f"{n}a") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))], *[F.col(c).alias(f"{c}_a") for c in probe.columns if c not in ("set", "size", "token", "pos")])
-    b = postings.select("token", *[F.col(c).alias(f"{n}b") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))], *[F.col(c).alias(f"{c}_b") for c in postings.columns if c not in ("set", "size", "token", "pos")])
+def meet(probe: DataFrame, postings: DataFrame, threshold: float, piece: int = PIECE) -> DataFrame:
+    """Candidate pairs (a, na, b, nb): prefixes share a token, and sizes and positions allow the threshold.
+
+    A token of many sets is cut into pieces.
+    """
+    a = probe.select("token", *[F.col(c).alias(f"{n}a") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))])
+    b = postings.select("token", *[F.col(c).alias(f"{n}b") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))])
     allowed = F.lit(1) + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= overlap_needed(F.col("na"), F.col("nb"), threshold)
     sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
-    met = a.join(b, "token").where(sized & allowed)
-    return (met if extra is None else met.where(extra)).select("a", "na", "b", "nb").distinct()
+    return many_join(a, b, ["token"], piece).where(sized & allowed).select("a", "na", "b", "nb").distinct()
+
+
+def as_arrays(tokens: DataFrame, large: int = LARGE) -> DataFrame:
+    """Rows (set, size, token) as rows (set, size, tokens): one per set of up to ``large`` tokens, several for larger ones."""
+    part = F.when(F.col("size") > large, F.pmod(F.xxhash64("token"), F.ceil(F.col("size") / F.lit(large)))).otherwise(0).cast("int")
+    return tokens.groupBy("set", "size", part.alias("_part")).agg(F.collect_list("token").alias("tokens")).drop("_part")
 
 
 def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
-    """Candidate pairs whose exact overlap reaches the threshold; ``left`` and ``right`` have rows (set, size, token).
+    """Candidate pairs (a, na, b, nb) whose exact overlap reaches the threshold; both sides are as ``as_arrays`` gives them.
 
     Sets of up to ``large`` tokens are compared as arrays, larger ones token by token.
     """
-    def arrays(tokens: DataFrame, name: str) -> DataFrame:
-        return tokens.where(F.col("size") <= large).groupBy("set").agg(F.collect_list("token").alias(f"t{name}")).withColumnRenamed("set", name)
-
     small = (F.col("na") <= large) & (F.col("nb") <= large)
-    compared = pairs.where(small).join(arrays(left, "a"), "a").join(arrays(right, "b"), "b")
+    compared = pairs.where(small)
+    for side, x in ((left, "a"), (right, "b")):
+        compared = compared.join(side.where(F.col("size") <= large).select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")), x)
     compared = compared.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
-    one_by_one = (
-        pairs.where(~small)
-        .join(left.select(F.col("set").alias("a"), "token"), "a")
-        .join(right.select(F.col("set").alias("b"), "token"), ["b", "token"])
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count(F.lit(1)).cast("int").alias("both"))
-    )
+    one_by_one = pairs.where(~small)
+    one_by_one = one_by_one.join(left.select(F.col("set").alias("a"), F.explode("tokens").alias("token")), "a")
+    one_by_one = one_by_one.join(right.select(F.col("set").alias("b"), F.explode("tokens").alias("token")), ["b", "token"])
+    one_by_one = one_by_one.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).cast("int").alias("both"))
     return compared.unionByName(one_by_one).where(F.col("both") >= overlap_needed(F.col("na"), F.col("nb"), threshold)).select("a", "b")
 
 
+#: What the index keeps: for each kind of row the column that it is laid out by, and its columns as stored.
+_KINDS = {
+    "postings": ("token", {"token": "a", "set": "b", "size": "c", "pos": "d"}),
+    "sets": ("set", {"set": "a", "size": "b", "tokens": "tokens"}),
+    "heads": ("x", {"x": "a", "y": "b", "size": "c", "set": "d"}),
+    "members": ("class", {"class": "a", "set": "b"}),
+    "ids": ("set", {"set": "a"}),
+}
+_STORED = "a long, b long, c long, d long, tokens array<long>"
+#: Batches of fewer rows are joined without looking for heavy tokens, as a task could hold any one's.
+SPLIT_FROM = 1_000_000
+
+
+@dataclass(frozen=True)
+class Batch:
+    """A batch made ready: its sets with their classes, the tokens of one set per class, and their prefixes."""
+
+    members: DataFrame
+    rows: DataFrame
+    prefixes: DataFrame
+    size: int
+    id_buckets: list[int]
+
+
 class HistoryIndex:
     """Accepted sets in a folder, as an inverted index of rare-token prefixes partitioned by token.
 
-    ``create`` fixes the token order from a first load. ``probe`` finds the accepted sets that a batch
-    repeats, reading only the partitions of the batch's prefix tokens and the sets of its candidates.
-    ``append`` adds a batch's postings and sets; nothing written before is read or rewritten. Batches have
-    rows (set, size, token), each token once per set; a set id may be added once.
+    Batches have rows (set, size, token), each token once per set. Sets with equal tokens are one class, named by
+    the set that came first, and only that one has postings and tokens; so copies cost one small row each.
+
+    ``create`` fixes the token order from a first batch. ``prepare`` ranks a batch; ``probe`` finds the classes
+    it repeats; ``append`` adds it. Postings lie in folders by a hash of their token, sets by a hash of their id, and
+    so on: each step first finds which of the ``buckets`` its keys fall in, and reads no others. A batch is written as one
+    generation by one job and counts from the moment a manifest names it. Of every level of generations ``fan`` are
+    merged into one of the next, so that there are few, each set being rewritten a few times in all. When the index
+    has grown ``growth``-fold since the order was fixed, which tokens are rare is counted anew and postings are formed
+    by the new order, so that a token born since does not stay among the rarest. ``vacuum`` deletes what no
+    manifest names any more.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, threshold: float = 0.5, buckets: int = 64):
+    def __init__(
+        self, spark: SparkSession, folder: str, threshold: float = 0.5, buckets: int = 64, fan: int = 4, growth: int = 4, large: int = LARGE, piece: int = PIECE
+    ):
         self.spark, self.folder, self.threshold, self.buckets = spark, folder.rstrip("/"), threshold, buckets
+        self.fan, self.growth, self.large, self.piece = fan, growth, large, piece
+        self._versions = Manifests(spark, f"{self.folder}/manifests")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    # -- storage -----------------------------------------------------------------------------------
 
     def _bucket(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
-    def create(self, first: DataFrame) -> None:
-        token_order(first).write.parquet(f"{self.folder}/order")
-        self.append(first)
-
-    def prefixes(self, batch: DataFrame) -> DataFrame:
-        return rare_prefixes(batch, self._read("order", "token long, freq long"), self.threshold)
-
-    def append(self, batch: DataFrame, prefixes: DataFrame | None = None) -> None:
-        """Add a batch; hand over its ``prefixes`` if ``probe`` has formed them already."""
-        rows = (prefixes if prefixes is not None else self.prefixes(batch)).withColumn("bucket", self._bucket("token"))
-        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        batch.withColumn("bucket", self._bucket("set")).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/sets")
-
-    def probe(self, batch: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
-        """Pairs (accepted, new) of set ids with a likeness at or above the threshold."""
-        new = prefixes if prefixes is not None else self.prefixes(batch)
-        postings = self._read("postings", "set long, size long, token long, pos long, bucket int")
-        touched = [r[0] for r in new.select(self._bucket("token").alias("b")).distinct().collect()]  # at most ``buckets`` rows
-        pairs = materialize(meet(postings.where(F.col("bucket").isin(touched)).drop("bucket"), new, self.threshold), "candidates")
-        wanted = pairs.select(F.col("a").alias("set")).distinct()
-        sets = self._read("sets", "set long, size long, token long, bucket int").drop("bucket").join(wanted, "set", "left_semi")
-        return verify(pairs, sets, batch, self.threshold).select(F.col("a").alias("accepted"), F.col("b").alias("new"))
-
-
-def repeats_between_batches(tokens: DataFrame, batches: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """All pairs (first, second) of set ids of likeness ``threshold`` or more, the batch of the first below that of the second.
-
-    The result is that of probing and appending the batches one after another, formed in one pass: all
-    postings are made by the same functions, and a posting answers only probes of later batches. Sets with
-    equal tokens are one class, so copies add neither postings nor candidates. ``tokens`` has rows (set,
-    token), each token once per set; ``batches`` has one row (set, batch) per set. Sets with a null batch,
-    and sets missing on one side, take part in nothing.
+    def _buckets(self, rows: DataFrame, *columns: str) -> list[list[int]]:
+        """The buckets that the values of columns fall in: at most ``buckets`` numbers each."""
+        row = rows.agg(*[F.collect_set(self._bucket(c)).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+        return [sorted(x) for x in row]
+
+    def _stored(self, generations: list[dict], kind: str | None = None) -> DataFrame:
+        root = f"{self.folder}/generations"
+        paths = [f"{root}/gen={g['name']}" + (f"/kind={kind}" if kind else "") for g in generations if kind is None or kind in g["kinds"]]
+        schema = f"{_STORED}, gen string, kind string, bucket int"
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
+
+    def read(self, kind: str, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of a kind, of the given buckets only."""
+        df = self._stored(self._versions.latest()[1].get("generations", []), kind)
+        if buckets is not None:
+            df = df.where(F.col("bucket").isin(buckets))
+        return df.select(*[F.col(at).alias(c) for c, at in _KINDS[kind][1].items()])
+
+    def _rows(self, kind: str, df: DataFrame) -> DataFrame:
+        key, columns = _KINDS[kind]
+        stored = {at: F.col(c) for c, at in columns.items()}
+        fields = [stored.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in _STORED.split(", ")]
+        return df.select(*fields, F.lit(kind).alias("kind"), self._bucket(key).alias("bucket"))
+
+    def _write(self, rows: DataFrame, level: int) -> dict:
+        name = uuid.uuid4().hex[:12]
+        path = f"{self.folder}/generations/gen={name}"
+        rows.hint("rebalance", "kind", "bucket").write.partitionBy("kind", "bucket").parquet(path)
+        fs, hadoop = _fs(self.spark, path)
+        kinds = [s.getPath().getName().split("=")[1] for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("kind=")]
+        return {"name": name, "level": level, "kinds": kinds}
+
+    def _write_order(self, tokens: DataFrame) -> str:
+        name = uuid.uuid4().hex[:12]
+        order = token_order(tokens).withColumn("bucket", self._bucket("token"))
+        order.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/orders/{name}")
+        return name
+
+    # -- batches -----------------------------------------------------------------------------------
+
+    def create(self, first: DataFrame) -> Batch:
+        """Start an empty folder with a first batch, which is returned as ``prepare`` does."""
+        number, state = self._versions.latest()
+        if state:
+            raise ValueError("there is an index already")
+        self._versions.put(number + 1, {"generations": [], "order": self._write_order(first), "rows": 0, "ordered": 0})
+        batch = self.prepare(first)
+        self.append(batch)
+        return batch
+
+    def _prefixes(self, rows: DataFrame, order: str, count: int) -> DataFrame:
+        ranks = self.spark.read.schema("token long, freq long, bucket int").parquet(f"{self.folder}/orders/{order}")
+        ranks = ranks.where(F.col("bucket").isin(self._buckets(rows, "token")[0])).drop("bucket")
+        heavy = heavy_keys(token_order(rows), "token", "freq", count) if count >= SPLIT_FROM else None
+        return rare_prefixes(rows, ranks, self.threshold, self.large, heavy)
+
+    def prepare(self, batch: DataFrame) -> Batch:
+        """Find the class of each set of a batch, and the prefixes of its classes by the index's order."""
+        digest = batch.groupBy("set").agg(
+            F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("token")).alias("x"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("y")
+        )
+        digest = materialize(digest, "digests")
+        touched = digest.agg(F.collect_set(self._bucket("x")), F.collect_set(self._bucket("set")), F.sum("size"), F.count(F.lit(1))).first()
+        size, many = touched[2] or 0, max(self.piece, (touched[3] or 0) // HEAVY_PARTS)
+        same = ["size", "x", "y"]
+        groups = digest.groupBy(*same).agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("copies"))
+        known = self.read("heads", touched[0]).withColumnRenamed("set", "old").join(groups.select(*same), same)
+        named = materialize(groups.join(known, same, "left").select(*same, "head", "copies", F.coalesce("old", "head").alias("class"), F.col("old").isNull().alias("new")), "classes")
+        # A class of many copies meets its sets in a broadcast; there are fewer than HEAVY_PARTS of these.
+        hot = F.broadcast(named.where(F.col("copies") > many))
+        few = digest.join(hot.select(*same), same, "left_anti").join(named.where(F.col("copies") <= many), same)
+        members = materialize(digest.join(hot, same).unionByName(few).select("set", "class", "head", "new", *same), "members")
+        heads = members.where(F.col("set") == F.col("head")).select("set", "class")
+        large = members.where((F.col("set") == F.col("head")) & (F.col("size") > max(self.piece, size // HEAVY_PARTS))).select("set")
+        rows = lookup_join(batch.select("set", "size", "token"), heads, "set", "inner", large)
+        rows = materialize(rows.select(F.col("class").alias("set"), "size", "token"), "class-tokens")
+        prefixes = materialize(self._prefixes(rows, self._versions.latest()[1]["order"], size), "prefixes")
+        return Batch(members, rows, prefixes, size, sorted(touched[1]))
+
+    def probe(self, batch: Batch) -> DataFrame:
+        """Pairs (accepted, new) of classes of likeness at or above the threshold; a class may repeat itself."""
+        postings = self.read("postings", self._buckets(batch.prefixes, "token")[0])
+        pairs = materialize(meet(postings, batch.prefixes, self.threshold, self.piece), "candidates")
+        (touched,) = self._buckets(pairs, "a")
+        sets = self.read("sets", touched).join(pairs.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
+        mine = as_arrays(batch.rows.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi"), self.large)
+        return verify(pairs, sets, mine, self.threshold, self.large).select(F.col("a").alias("accepted"), F.col("b").alias("new"))
+
+    def within(self, batch: Batch) -> DataFrame:
+        """Pairs (a, b), a below b, of different classes of the batch itself of likeness at or above the threshold."""
+        pairs = materialize(meet(batch.prefixes, batch.prefixes, self.threshold, self.piece).where("a < b"), "candidates")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        sets = materialize(as_arrays(batch.rows.join(ends, "set", "left_semi"), self.large), "candidate-sets")
+        return verify(pairs, sets, sets, self.threshold, self.large)
+
+    def members(self, classes: DataFrame) -> DataFrame:
+        """The accepted sets of classes: (class, set). ``classes`` has a column class; only its buckets are read."""
+        (touched,) = self._buckets(classes, "class")
+        return self.read("members", touched).join(classes.select("class").distinct(), "class", "left_semi")
+
+    def set_pairs(self, found: DataFrame, batch: Batch) -> DataFrame:
+        """The pairs of sets (accepted, new) that pairs of classes stand for. Call it before the batch is appended."""
+        found = materialize(found, "class-pairs")
+        old = self.members(found.select(F.col("accepted").alias("class"))).select(F.col("class").alias("accepted"), F.col("set").alias("_old"))
+        met = materialize(many_join(found, old, ["accepted"], self.piece).select("_old", "new"), "old-members")
+        mine = batch.members.select(F.col("class").alias("new"), F.col("set").alias("_new"))
+        return many_join(met, mine, ["new"], self.piece).select(F.col("_old").alias("accepted"), F.col("_new").alias("new"))
+
+    def append(self, batch: Batch) -> None:
+        """Add a batch as one generation, by one commit. A set id that is there already is refused."""
+        number, state = self._versions.latest()
+        if not self.read("ids", batch.id_buckets).join(batch.members.select("set"), "set", "left_semi").isEmpty():
+            raise ValueError("a set of the batch has been added before")
+        fresh = batch.members.where(F.col("new") & (F.col("set") == F.col("head")))
+        only = fresh.select(F.col("class").alias("set"))
+        parts = {
+            "postings": batch.prefixes.join(only, "set", "left_semi"), "sets": as_arrays(batch.rows.join(only, "set", "left_semi"), self.large),
+            "heads": fresh.select("x", "y", "size", "set"), "members": batch.members, "ids": batch.members,
+        }
+        rows = None
+        for kind, df in parts.items():
+            rows = self._rows(kind, df) if rows is None else rows.unionByName(self._rows(kind, df))
+        added = self._write(rows, 0)
+        size = state["rows"] + batch.size
+        state = state | {"generations": [*state["generations"], added], "rows": size, "ordered": state["ordered"] or max(1, size)}
+        self._versions.put(number + 1, state)
+        if state["rows"] >= self.growth * state["ordered"]:
+            self._reorder(number + 2, state)
+        else:
+            self._merge(number + 2, state)
+
+    def _merge(self, number: int, state: dict) -> None:
+        """Merge the generations of a level into one of the next where there are ``fan`` of them."""
+        for level in sorted({g["level"] for g in state["generations"]}):
+            old = [g for g in state["generations"] if g["level"] == level]
+            if len(old) >= self.fan:
+                merged = self._write(self._stored(old).drop("gen"), level + 1)
+                state = state | {"generations": [*[g for g in state["generations"] if g["level"] != level], merged]}
+                self._versions.put(number, state)
+                number += 1
+
+    def _reorder(self, number: int, state: dict) -> None:
+        """Count anew how rare tokens are, and form all postings by the new order."""
+        tokens = self.read("sets").select("set", "size", F.explode("tokens").alias("token"))
+        order = self._write_order(tokens)
+        postings = self._rows("postings", self._prefixes(tokens, order, state["rows"]))
+        rest = self._stored(state["generations"]).where("kind <> 'postings'").drop("gen")
+        level = max(g["level"] for g in state["generations"])
+        self._versions.put(number, state | {"generations": [self._write(postings.unionByName(rest), level)], "order": order, "ordered": state["rows"]})
+
+    def vacuum(self) -> None:
+        """Delete generations, orders and manifests that the latest manifest does not name."""
+        number, state = self._versions.latest()
+        named = {f"gen={g['name']}" for g in state["generations"]} | {state["order"]} | {str(n) for n in self._versions.numbers() if n >= number}
+        for part in ("generations", "orders", "manifests"):
+            fs, path = _fs(self.spark, f"{self.folder}/{part}")
+            for s in fs.listStatus(path):
+                if s.getPath().getName() not in named:
+                    fs.delete(s.getPath(), True)
+
+
+def rounds(sizes: list[tuple[int, int]], share: float) -> list[list[int]]:
+    """Consecutive batches, given with their sizes, in rounds: the first alone, each later one of at least one batch,
+    and of more while it stays within ``share`` of all before it."""
+    out: list[list[int]] = []
+    before = held = 0
+    for batch, size in sizes:
+        if len(out) > 1 and held + size <= share * before:
+            out[-1].append(batch)
+            held += size
+        else:
+            out.append([batch])
+            before, held = before + held, size
+    return out
+
+
+def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: HistoryIndex, share: float = 1.0) -> DataFrame:
+    """All pairs (first, second) of set ids of the index's likeness or more, the batch of the first below that of the second.
+
+    An empty ``index`` is created from the lowest batch. The others are prepared, probed and appended in turn, in
+    rounds: a round is one batch, or several in a row that together hold no more than ``share`` of what the
+    index holds, which are also compared with one another. So a long backlog takes a number of rounds that grows with its
+    logarithm; with ``share`` 0 every batch is a round. The result is the same. Pairs of classes become pairs of sets at
+    the end. ``tokens`` has rows (set, token), each token once per set; ``batches`` has one row (set, batch) per
+    set. Sets with a null batch, and sets missing on one side, take part in nothing.
     """
-    sizes = tokens.groupBy("set").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("token")).alias("x"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("y")
-    )
-    known = sizes.join(batches.where(F.col("batch").isNotNull() & F.col("set").isNotNull()), "set")
-    classes = known.groupBy("size", "x", "y").agg(F.min("set").alias("class"), F.min("batch").alias("lo"), F.max("batch").alias("hi"))
-    members = materialize(known.join(classes, ["size", "x", "y"]).select("set", "batch", "class", "size", "lo", "hi"), "set-classes")
-    heads = members.where(F.col("set") == F.col("class")).select("set", "size", "lo", "hi")
-    rows = materialize(tokens.join(heads.select("set", "size"), "set").select("set", "size", "token"), "class-tokens")
-    postings = rare_prefixes(rows, materialize(token_order(rows), "token-order"), threshold).join(heads.select("set", "lo", "hi"), "set")
-    postings = materialize(postings, "postings")
-    apart = (F.col("a") < F.col("b")) & ((F.col("lo_a") < F.col("hi_b")) | (F.col("lo_b") < F.col("hi_a")))
-    pairs = materialize(meet(postings, postings, threshold, apart), "candidates")
-    found = verify(pairs, rows, rows, threshold)
-    same = members.where("lo < hi").select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()
-    m = members.select("class", "set", "batch")
-    expanded = found.unionByName(same).join(m.toDF("a", "s", "bs"), "a").join(m.toDF("b", "t", "bt"), "b").where("bs <> bt and (a <> b or bs < bt)")
+    sizes = materialize(tokens.groupBy("set").agg(F.count(F.lit(1)).alias("size")).join(batches.where("batch is not null and set is not null"), "set"), "sizes")
+    held = [tuple(r) for r in sizes.groupBy("batch").agg(F.sum("size")).orderBy("batch").collect()]  # one row per batch ever taken in
+    if not held:
+        return tokens.select(F.col("set").alias("first"), F.col("set").alias("second")).where(F.lit(False))
+    turns = rounds(held, share)
+    at = F.create_map(*[F.lit(x) for i, turn in enumerate(turns) for b in turn for x in (b, i)])[F.col("batch")]
+    rows = lookup_join(tokens, sizes, "set", "inner", heavy_keys(sizes, "set", "size", sum(n for _, n in held)))
+    rows = materialize(rows.withColumn("round", at), "batch-tokens", by="round")
+    members, found = [], []
+    for i in range(len(turns)):
+        turn = rows.where(F.col("round") == i).select("set", "size", "token")
+        if i == 0:
+            ready = index.create(turn)
+        else:
+            ready = index.prepare(turn)
+            found.append(index.probe(ready).toDF("a", "b"))
+            if len(turns[i]) > 1:
+                found.append(index.within(ready))
+            found = [materialize(reduce(DataFrame.unionByName, found), "repeats")]
+            index.append(ready)
+            index.vacuum()
+        members.append(ready.members.select("set", "class"))
+    everyone = materialize(reduce(DataFrame.unionByName, members).join(sizes.select("set", "batch"), "set"), "all-members")
+    pairs = everyone.groupBy("class").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).where("lo < hi").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    if found:
+        pairs = pairs.unionByName(found[0].where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, right = everyone.select(F.col("class").alias("a"), F.col("set").alias("s"), F.col("batch").alias("bs")), everyone.select(F.col("class").alias("b"), F.col("set").alias("t"), F.col("batch").alias("bt"))
+    met = materialize(many_join(materialize(pairs, "class-pairs"), left, ["a"], index.piece), "first-members")
+    both = many_join(met, right, ["b"], index.piece).where("bs <> bt and (a <> b or bs < bt)")
     earlier = F.col("bs") < F.col("bt")
-    return expanded.select(F.when(earlier, F.col("s")).otherwise(F.col("t")).alias("first"), F.when(earlier, F.col("t")).otherwise(F.col("s")).alias("second"))
+    return both.select(F.when(earlier, F.col("s")).otherwise(F.col("t")).alias("first"), F.when(earlier, F.col("t")).otherwise(F.col("s")).alias("second"))
 
 
 def spell(name: str | None) -> str | None:
@@ -164,27 +372,33 @@ def spell(name: str | None) -> str | None:
     """
     if name is None:
         return None
-    s = unicodedata.normalize("NFC", unicodedata.normalize("NFD", name).casefold()).strip(" \t").replace("\\", "/")
+    # The two small forms of sigma share a capital; no other letters do without being spelt differently.
+    s = unicodedata.normalize("NFC", unicodedata.normalize("NFD", name).lower()).replace("\u03c2", "\u03c3").strip(" \t").replace("\\", "/")
     parts = [p for p in re.split("/+", s) if p not in ("", ".")]
     return ("/" if s.startswith("/") else "") + "/".join(parts) + ("/" if parts and s.endswith("/") else "")
 
 
 def spelled(column: str) -> Column:
-    """``spell`` of a column of names."""
+    """``spell`` of a column of names; only names beyond ASCII are handed to Python."""
 
     def work(names: pd.Series) -> pd.Series:
         return names.map(lambda x: None if x is None or x != x else spell(x))
 
-    return F.pandas_udf(work, "string")(column)
+    beyond = F.pandas_udf(work, "string")(F.when(~F.col(column).rlike(r"^[\x00-\x7F]*$"), F.col(column)))
+    s = F.translate(F.regexp_replace(F.lower(column), r"^[ \t]+|[ \t]+$", ""), "\\", "/")
+    parts = F.filter(F.split(s, "/+"), lambda p: (p != "") & (p != "."))
+    slash, none = F.lit("/"), F.lit("")
+    plain = F.concat(F.when(s.startswith("/"), slash).otherwise(none), F.array_join(parts, "/"), F.when((F.size(parts) > 0) & s.endswith("/"), slash).otherwise(none))
+    return F.coalesce(beyond, plain)
 
 
 def same_path(files: DataFrame, key: str, name: str, batch: str) -> DataFrame:
     """Pairs (first, second) of files whose names spell the same path, the batch of the first below that of the second."""
     rows = files.where(F.col(key).isNotNull() & F.col(name).isNotNull() & F.col(batch).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.col(batch).alias("b"), spelled(name).alias("p")).distinct()
+    rows = materialize(rows.select(F.col(key).alias("k"), F.col(batch).alias("b"), spelled(name).alias("p")).distinct(), "paths")
     shared = rows.groupBy("p").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("p")
-    rows = rows.join(shared, "p", "left_semi").select("k", "b", "p")
-    pairs = rows.toDF("first", "b1", "p").join(rows.toDF("second", "b2", "p"), "p").where("b1 < b2")
+    rows = materialize(rows.join(shared, "p", "left_semi").select("k", "b", "p"), "shared-paths")
+    pairs = many_join(rows.toDF("first", "b1", "p"), rows.toDF("second", "b2", "p"), ["p"]).where("b1 < b2")
     return pairs.select("first", "second")
 
 

@@ -73,28 +73,49 @@ def gap_tokens(spark: SparkSession, d: str) -> DataFrame:
     return counted.where("token is not null").join(long_enough, "set", "left_semi").select("set", "token")
 
 
+#: Tokens that a folder of the index should hold about.
+BUCKET_ROWS = 1_000_000
+
+
+def history(spark: SparkSession, rows: int) -> HistoryIndex:
+    """A new index in the shared folder, cut into folders for so many tokens."""
+    return HistoryIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:10]}", buckets=8 + rows // BUCKET_ROWS)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Through the index: each batch, or a round of small ones, is probed against all before it, then appended."""
     files = table(spark, d, "filenames").select("id", "name", "batch_no")
     by_name = same_path(files, "id", "name", "batch_no")
     batches = files.where("id is not null").groupBy(F.col("id").alias("set")).agg(F.min("batch_no").alias("batch"))
-    by_gaps = repeats_between_batches(gap_tokens(spark, d), batches)
+    tokens = materialize(gap_tokens(spark, d), "tokens")
+    by_gaps = repeats_between_batches(tokens, batches, history(spark, tokens.count()))
     found = by_name.unionByName(by_gaps).distinct()
     return found.select(F.col("first").alias("filename_id1"), F.col("second").alias("filename_id2"))
 
 
 def p2_last_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The last batch against an index of all batches before it: what a nightly run does."""
+    """The gap sequences of the last batch against an index of all batches before it, which is built first."""
     files = table(spark, d, "filenames").where("id is not null and batch_no is not null").select(F.col("id").alias("set"), "batch_no")
     last = files.agg(F.max("batch_no")).first()[0]
     tokens = gap_tokens(spark, d)
     sized = tokens.join(tokens.groupBy("set").agg(F.count(F.lit(1)).alias("size")), "set").join(files, "set")
-    sized = materialize(sized.select("set", "size", "token", "batch_no"), "sized-tokens")
-    index = HistoryIndex(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:10]}")
-    index.create(sized.where(F.col("batch_no") < F.lit(last)).drop("batch_no"))
-    found = index.probe(sized.where(F.col("batch_no") == F.lit(last)).drop("batch_no"))
+    sized = materialize(sized.select("set", "size", "token", (F.col("batch_no") == F.lit(last)).cast("int").alias("last")), "sized-tokens", by="last")
+    index = history(spark, sized.count())
+    index.create(sized.where("last = 0").drop("last"))
+    batch = index.prepare(sized.where("last = 1").drop("last"))
+    found = index.set_pairs(index.probe(batch), batch)
     return found.select(F.col("accepted").alias("filename_id1"), F.col("new").alias("filename_id2"))
 
 
+def p2_nightly(spark: SparkSession, d: str) -> DataFrame:
+    """All that the files of the last batch repeat, by gap sequence or by name."""
+    files = table(spark, d, "filenames").select("id", "name", "batch_no")
+    last = files.agg(F.max("batch_no")).first()[0]
+    names = files.withColumn("late", (F.col("batch_no") == F.lit(last)).cast("int"))
+    by_name = same_path(names, "id", "name", "late").select(F.col("first").alias("filename_id1"), F.col("second").alias("filename_id2"))
+    return by_name.unionByName(p2_last_batch(spark, d)).distinct()
+
+
 _PATHS = r"""(select id, batch_no, case when x like '/%' then '/' else '' end || array_to_string(list_filter(string_split(x, '/'), lambda s: s <> '' and s <> '.'), '/') as k
   from (select id, batch_no, lower(nfc_normalize(replace(trim(name, ' ' || chr(9)), chr(92), '/'))) as x from filenames where name is not null) y)"""
 _NAMES = f"select a.id as filename_id1, b.id as filename_id2 from {_PATHS} a join {_PATHS} b on a.k = b.k and a.batch_no < b.batch_no"
@@ -108,7 +129,7 @@ _GAPS = """
       c as (select a.id as i1, b.id as i2, count(*) as c from r a join r b on a.s = b.s and a.s2 = b.s2 and a.s3 = b.s3 and a.id <> b.id group by 1, 2)
     select i1, i2 from c join n p on p.id = i1 join n q on q.id = i2 where c >= 0.5 * (p.n + q.n - c)) z on x.id = z.i1
   join filenames y on y.id = z.i2 and x.batch_no < y.batch_no"""
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_last_batch": p2_last_batch}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p2_nightly": p2_nightly}
 ORACLES = {
     "p1_found": """with latest as (
         select filename_id, brightness, row_number() over (partition by filename_id order by loaded_at desc nulls last) as rn from brightness where filename_id is not null),
@@ -120,5 +141,6 @@ ORACLES = {
         and least(a.dur, b.dur) >= 0.9 * greatest(a.dur, b.dur) group by 1, 2)
       select i1 as filename_id1, i2 as filename_id2 from both_ join n x on x.id = i1 join n y on y.id = i2 where c >= 0.5 * (x.n + y.n - c)""",
     "p2_found": f"select distinct * from ({_NAMES} union all {_GAPS}) x",
+    "p2_nightly": f"select distinct * from ({_NAMES} union all {_GAPS}) x where filename_id2 in (select id from filenames where batch_no = (select max(batch_no) from filenames))",
     "p2_last_batch": f"select * from ({_GAPS}) x where filename_id2 in (select id from filenames where batch_no = (select max(batch_no) from filenames))",
 }

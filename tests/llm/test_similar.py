@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gapweave.llm import hnsw, setsketch
-from gapweave.llm.history import HistoryIndex, integer_token, rare_prefixes, repeats_between_batches, same_path, spell, token_order
+from gapweave.llm.history import HistoryIndex, integer_token, rare_prefixes, repeats_between_batches, rounds, same_path, spell, spelled, token_order
 from gapweave.llm.setsketch import near_duplicates, run_set
 from gapweave.llm.signal_queries import gap_tokens
 from gapweave.llm.vector_queries import gap_windows
@@ -131,29 +131,79 @@ def random_sets(rng, n=80):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_repeats_against_brute_force(spark, seed):
+def test_repeats_against_brute_force(spark, seed, tmp_path):
     rng = random.Random(seed)
     sets = random_sets(rng)
     batch = {i: i // 12 for i in sets} | {3: None}
     tokens = spark.createDataFrame([(s, t) for s, v in sets.items() for t in v], "set long, token long")
     batches = spark.createDataFrame([(k, v) for k, v in batch.items() if k != 5], "set long, batch int")
-    got = {(r["first"], r["second"]) for r in repeats_between_batches(tokens, batches).collect()}
+    index = HistoryIndex(spark, f"file://{tmp_path}/index", buckets=3, fan=2, growth=3, large=12, piece=[10_000, 5, 2][seed])
+    got = {(r["first"], r["second"]) for r in repeats_between_batches(tokens, batches, index, share=[1.0, 0.0, 0.4][seed]).collect()}
     assert got == brute_repeats(sets, {k: v for k, v in batch.items() if k != 5})
 
 
+def test_rounds():
+    sizes = [(b, 10) for b in range(9)]
+    assert rounds(sizes, 0) == [[b] for b in range(9)]
+    assert rounds(sizes, 1.0) == [[0], [1], [2, 3], [4, 5, 6, 7], [8]]
+    assert rounds([(3, 5), (4, 1), (5, 50), (6, 1)], 1.0) == [[3], [4], [5], [6]]
+
+
+def token_rows(spark, sets):
+    return spark.createDataFrame([(s, len(v), t) for s, v in sets.items() for t in v], "set long, size long, token long")
+
+
 def test_index_batch_by_batch(spark, tmp_path):
     sets = random_sets(random.Random(9))
+    sets |= {i: sets[2] for i in (25, 33, 34, 35, 61, 62)}  # copies within and between batches
     batch = {i: i // 20 for i in sets}
-    df = spark.createDataFrame([(s, len(v), t) for s, v in sets.items() for t in v], "set long, size long, token long")
+    df = token_rows(spark, sets)
     index = HistoryIndex(spark, f"file://{tmp_path}/index", buckets=4)
     index.create(df.where("set < 20"))
     got = set()
     for b in range(1, 4):
-        new = df.where(f"set >= {20 * b} and set < {20 * b + 20}")
-        prefixes = index.prefixes(new)
-        got |= {(r.accepted, r.new) for r in index.probe(new, prefixes).collect()}
-        index.append(new, prefixes)
+        new = index.prepare(df.where(f"set >= {20 * b} and set < {20 * b + 20}"))
+        got |= {(r.accepted, r.new) for r in index.set_pairs(index.probe(new), new).collect()}
+        before = len(index._versions.latest()[1]["generations"])
+        index.append(new)
+        assert len(index._versions.latest()[1]["generations"]) <= before + 1
+        with pytest.raises(ValueError, match="added before"):
+            index.append(new)
     assert got == brute_repeats(sets, batch)
+    # Copies have neither postings nor tokens of their own.
+    held = {r.set for r in index.read("sets").select("set").collect()}
+    assert 2 in held and not held & {25, 33, 34, 35, 61, 62} and index.read("ids").count() == len(sets)
+
+
+def test_probe_reads_only_what_it_touches(spark, tmp_path):
+    sets = {i: {i * 10 + j for j in range(6)} for i in range(400)}
+    index = HistoryIndex(spark, f"file://{tmp_path}/index", buckets=32)
+    index.create(token_rows(spark, sets))
+    new = index.prepare(token_rows(spark, {1000: sets[7]}))
+    assert [tuple(r) for r in index.probe(new).collect()] == [(7, 7)]
+    whole = len(index.read("postings").inputFiles()) + len(index.read("sets").inputFiles())
+    (tokens,), (found,) = index._buckets(new.prefixes, "token"), index._buckets(new.prefixes, "set")
+    plan = index.read("postings", tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "").replace("[(bucket", "[bucket") or "bucket" in plan.split("PartitionFilters")[1][:60]
+    assert len(tokens) <= 4 and len(found) == 1 and whole >= 40
+
+
+def test_generations_are_merged_and_the_order_is_renewed(spark, tmp_path):
+    rng = random.Random(5)
+    index = HistoryIndex(spark, f"file://{tmp_path}/index", buckets=2, fan=2, growth=3)
+    index.create(token_rows(spark, {0: {1, 2, 3}}))
+    first = index._versions.latest()[1]["order"]
+    sets = {0: {1, 2, 3}}
+    for b in range(1, 8):
+        new = {b * 10 + i: set(rng.sample(range(30), 4)) for i in range(2)}
+        ready = index.prepare(token_rows(spark, new))
+        got = {(r.accepted, r.new) for r in index.set_pairs(index.probe(ready), ready).collect()}
+        assert got == {(a, c) for a in sets for c in new if len(sets[a] & new[c]) >= 0.5 * len(sets[a] | new[c])}
+        index.append(ready)
+        index.vacuum()
+        sets |= new
+    state = index._versions.latest()[1]
+    assert state["order"] != first and len(state["generations"]) <= 4 and len(index._versions.numbers()) == 1
 
 
 def test_large_sets_are_ranked_alike(spark):
@@ -164,9 +214,11 @@ def test_large_sets_are_ranked_alike(spark):
     assert one == {tuple(r) for r in rare_prefixes(df, order, 0.5, large=3).collect()}
 
 
-def test_repeats_of_nothing(spark):
-    out = repeats_between_batches(spark.createDataFrame([], "set long, token long"), spark.createDataFrame([], "set long, batch int"))
-    assert out.count() == 0
+def test_repeats_of_nothing(spark, tmp_path):
+    nothing = spark.createDataFrame([], "set long, token long"), spark.createDataFrame([], "set long, batch int")
+    assert repeats_between_batches(*nothing, HistoryIndex(spark, f"file://{tmp_path}/a")).count() == 0
+    one = spark.createDataFrame([(1, 5)], "set long, token long"), spark.createDataFrame([(1, 0), (2, 1)], "set long, batch int")
+    assert repeats_between_batches(*one, HistoryIndex(spark, f"file://{tmp_path}/b")).count() == 0
 
 
 def test_spellings():
@@ -175,6 +227,13 @@ def test_spellings():
     other = ["/a/Mowe 1.mp4", "/a/Möwe  1.mp4", "a/Möwe 1.mp4", "/a/Möwe 1.mp4/", "/a/../a/Möwe 1.mp4", "/a/Möwe1.mp4"]
     assert len({spell(x) for x in [same[0], *other]}) == 1 + len(other)
     assert spell(None) is None and spell("") == "" and spell(" . ") == ""
+    assert spell("/Straße") != spell("/strasse") and spell("/ΟΔΟΣ") == spell("/οδος") == spell("/οδοσ")
+
+
+def test_columns_are_spelled_alike(spark):
+    names = ["/A//b/", "\\x\\.\\Y ", "\t ./a", "", " ", "/", ".", None, "/Möwe", "a\tb", "/a/../b", "C:\\É\\"]
+    got = [r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select(spelled("n").alias("s")).collect()]
+    assert got == [spell(n) for n in names]
 
 
 def test_same_path(spark):
