@@ -33,14 +33,17 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The files survive a lost executor. They are deleted when the JVM ends; ``discard`` deletes earlier.
+    With ``by`` it is laid out by that column, so that reading one of its values reads no others. The files survive a lost executor. They are deleted when the JVM ends; ``discard`` deletes earlier.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gapweave-{_RUN}/{name}-{uuid.uuid4().hex[:10]}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
     fs, hadoop = _fs(spark, path)
     fs.deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
