@@ -39,10 +39,11 @@ def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large:
 
     ``tokens`` has rows (set, size, token), each token once per set. Tokens that ``order`` lacks count as
     the rarest. Sets of more than ``large`` tokens are ranked in two steps, by slices of the order. ``heavy`` names
-    tokens of so many sets that they are to meet their rank in a broadcast.
+    tokens of so many sets that they are to meet their rank in a broadcast. Other columns are kept.
     """
     joined = tokens.join(order, "token", "left") if heavy is None else lookup_join(tokens, order, "token", "left", heavy)
-    ranked = joined.select("set", "size", "token", F.coalesce("freq", F.lit(0)).alias("f"), F.xxhash64("token").alias("h"))
+    extra = [c for c in tokens.columns if c not in ("set", "size", "token")]
+    ranked = joined.select("set", "size", "token", *extra, F.coalesce("freq", F.lit(0)).alias("f"), F.xxhash64("token").alias("h"))
     ordering = ["f", "h", "token"]
     small = ranked.where(F.col("size") <= large).withColumn("pos", F.row_number().over(Window.partitionBy("set").orderBy(*ordering)) - 1)
     big = ranked.where(F.col("size") > large).withColumn("slice", F.shiftright("h", 52))
@@ -52,20 +53,22 @@ def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large:
     big = big.join(offsets, ["set", "f", "slice"]).withColumn(
         "pos", F.col("before") + F.row_number().over(Window.partitionBy("set", "f", "slice").orderBy("h", "token")) - 1
     )
-    columns = ["set", "size", "token", F.col("pos").cast("long").alias("pos")]
+    columns = ["set", "size", "token", *extra, F.col("pos").cast("long").alias("pos")]
     return small.select(*columns).unionByName(big.select(*columns)).where(F.col("pos") < prefix_length(F.col("size"), threshold))
 
 
-def meet(probe: DataFrame, postings: DataFrame, threshold: float, piece: int = PIECE) -> DataFrame:
+def meet(probe: DataFrame, postings: DataFrame, threshold: float, piece: int = PIECE, sets: int | None = None) -> DataFrame:
     """Candidate pairs (a, na, b, nb): prefixes share a token, and sizes and positions allow the threshold.
 
-    A token of many sets is cut into pieces.
+    A token of more than ``piece`` sets is cut into pieces; where either side has no more than so many ``sets`` in all,
+    if that is known, there is none.
     """
     a = probe.select("token", *[F.col(c).alias(f"{n}a") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))])
     b = postings.select("token", *[F.col(c).alias(f"{n}b") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))])
     allowed = F.lit(1) + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= overlap_needed(F.col("na"), F.col("nb"), threshold)
     sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
-    return many_join(a, b, ["token"], piece).where(sized & allowed).select("a", "na", "b", "nb").distinct()
+    met = a.join(b, "token") if sets is not None and sets <= piece else many_join(a, b, ["token"], piece)
+    return met.where(sized & allowed).select("a", "na", "b", "nb").distinct()
 
 
 def as_arrays(tokens: DataFrame, large: int = LARGE) -> DataFrame:
@@ -112,6 +115,7 @@ class Batch:
     rows: DataFrame
     prefixes: DataFrame
     size: int
+    sets: int
     id_buckets: list[int]
 
 
@@ -143,8 +147,13 @@ class HistoryIndex:
     def _bucket(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
-    def _buckets(self, rows: DataFrame, *columns: str) -> list[list[int]]:
-        """The buckets that the values of columns fall in: at most ``buckets`` numbers each."""
+    def _buckets(self, rows: DataFrame, *columns: str, size: int = 0) -> list[list[int]]:
+        """The buckets that the values of columns fall in: at most ``buckets`` numbers each.
+
+        With a ``size`` of many rows for each bucket, all buckets are taken to be touched.
+        """
+        if size > 100 * self.buckets:
+            return [list(range(self.buckets)) for _ in columns]
         row = rows.agg(*[F.collect_set(self._bucket(c)).alias(f"b{i}") for i, c in enumerate(columns)]).first()
         return [sorted(x) for x in row]
 
@@ -190,14 +199,14 @@ class HistoryIndex:
         number, state = self._versions.latest()
         if state:
             raise ValueError("there is an index already")
-        self._versions.put(number + 1, {"generations": [], "order": self._write_order(first), "rows": 0, "ordered": 0})
+        self._versions.put(number + 1, {"generations": [], "order": self._write_order(first), "rows": 0, "sets": 0, "ordered": 0})
         batch = self.prepare(first)
-        self.append(batch)
+        self.append(batch, unknown=True)
         return batch
 
     def _prefixes(self, rows: DataFrame, order: str, count: int) -> DataFrame:
         ranks = self.spark.read.schema("token long, freq long, bucket int").parquet(f"{self.folder}/orders/{order}")
-        ranks = ranks.where(F.col("bucket").isin(self._buckets(rows, "token")[0])).drop("bucket")
+        ranks = ranks.where(F.col("bucket").isin(self._buckets(rows, "token", size=count)[0])).drop("bucket")
         heavy = heavy_keys(token_order(rows), "token", "freq", count) if count >= SPLIT_FROM else None
         return rare_prefixes(rows, ranks, self.threshold, self.large, heavy)
 
@@ -217,17 +226,18 @@ class HistoryIndex:
         hot = F.broadcast(named.where(F.col("copies") > many))
         few = digest.join(hot.select(*same), same, "left_anti").join(named.where(F.col("copies") <= many), same)
         members = materialize(digest.join(hot, same).unionByName(few).select("set", "class", "head", "new", *same), "members")
-        heads = members.where(F.col("set") == F.col("head")).select("set", "class")
+        heads = members.where(F.col("set") == F.col("head")).select("set", "class", "new")
         large = members.where((F.col("set") == F.col("head")) & (F.col("size") > max(self.piece, size // HEAVY_PARTS))).select("set")
         rows = lookup_join(batch.select("set", "size", "token"), heads, "set", "inner", large)
-        rows = materialize(rows.select(F.col("class").alias("set"), "size", "token"), "class-tokens")
+        rows = materialize(rows.select(F.col("class").alias("set"), "size", "token", "new"), "class-tokens")
         prefixes = materialize(self._prefixes(rows, self._versions.latest()[1]["order"], size), "prefixes")
-        return Batch(members, rows, prefixes, size, sorted(touched[1]))
+        return Batch(members, rows, prefixes, size, touched[3] or 0, sorted(touched[1]))
 
     def probe(self, batch: Batch) -> DataFrame:
         """Pairs (accepted, new) of classes of likeness at or above the threshold; a class may repeat itself."""
-        postings = self.read("postings", self._buckets(batch.prefixes, "token")[0])
-        pairs = materialize(meet(postings, batch.prefixes, self.threshold, self.piece), "candidates")
+        postings = self.read("postings", self._buckets(batch.prefixes, "token", size=batch.size // 2)[0])
+        most = max(batch.sets, self._versions.latest()[1]["sets"])
+        pairs = materialize(meet(postings, batch.prefixes, self.threshold, self.piece, most), "candidates")
         (touched,) = self._buckets(pairs, "a")
         sets = self.read("sets", touched).join(pairs.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
         mine = as_arrays(batch.rows.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi"), self.large)
@@ -235,9 +245,9 @@ class HistoryIndex:
 
     def within(self, batch: Batch) -> DataFrame:
         """Pairs (a, b), a below b, of different classes of the batch itself of likeness at or above the threshold."""
-        pairs = materialize(meet(batch.prefixes, batch.prefixes, self.threshold, self.piece).where("a < b"), "candidates")
+        pairs = materialize(meet(batch.prefixes, batch.prefixes, self.threshold, self.piece, batch.sets).where("a < b"), "candidates")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        sets = materialize(as_arrays(batch.rows.join(ends, "set", "left_semi"), self.large), "candidate-sets")
+        sets = as_arrays(batch.rows.join(ends, "set", "left_semi"), self.large)
         return verify(pairs, sets, sets, self.threshold, self.large)
 
     def members(self, classes: DataFrame) -> DataFrame:
@@ -253,15 +263,17 @@ class HistoryIndex:
         mine = batch.members.select(F.col("class").alias("new"), F.col("set").alias("_new"))
         return many_join(met, mine, ["new"], self.piece).select(F.col("_old").alias("accepted"), F.col("_new").alias("new"))
 
-    def append(self, batch: Batch) -> None:
-        """Add a batch as one generation, by one commit. A set id that is there already is refused."""
+    def append(self, batch: Batch, unknown: bool = False) -> None:
+        """Add a batch as one generation, by one commit.
+
+        A set id that is there already is refused; with ``unknown`` it is taken to be certain that there is none.
+        """
         number, state = self._versions.latest()
-        if not self.read("ids", batch.id_buckets).join(batch.members.select("set"), "set", "left_semi").isEmpty():
+        if not unknown and not self.read("ids", batch.id_buckets).join(batch.members.select("set"), "set", "left_semi").isEmpty():
             raise ValueError("a set of the batch has been added before")
         fresh = batch.members.where(F.col("new") & (F.col("set") == F.col("head")))
-        only = fresh.select(F.col("class").alias("set"))
         parts = {
-            "postings": batch.prefixes.join(only, "set", "left_semi"), "sets": as_arrays(batch.rows.join(only, "set", "left_semi"), self.large),
+            "postings": batch.prefixes.where("new"), "sets": as_arrays(batch.rows.where("new"), self.large),
             "heads": fresh.select("x", "y", "size", "set"), "members": batch.members, "ids": batch.members,
         }
         rows = None
@@ -269,7 +281,7 @@ class HistoryIndex:
             rows = self._rows(kind, df) if rows is None else rows.unionByName(self._rows(kind, df))
         added = self._write(rows, 0)
         size = state["rows"] + batch.size
-        state = state | {"generations": [*state["generations"], added], "rows": size, "ordered": state["ordered"] or max(1, size)}
+        state = state | {"generations": [*state["generations"], added], "rows": size, "sets": state["sets"] + batch.sets, "ordered": state["ordered"] or max(1, size)}
         self._versions.put(number + 1, state)
         if state["rows"] >= self.growth * state["ordered"]:
             self._reorder(number + 2, state)
@@ -288,7 +300,7 @@ class HistoryIndex:
 
     def _reorder(self, number: int, state: dict) -> None:
         """Count anew how rare tokens are, and form all postings by the new order."""
-        tokens = self.read("sets").select("set", "size", F.explode("tokens").alias("token"))
+        tokens = materialize(self.read("sets").select("set", "size", F.explode("tokens").alias("token")), "all-tokens")
         order = self._write_order(tokens)
         postings = self._rows("postings", self._prefixes(tokens, order, state["rows"]))
         rest = self._stored(state["generations"]).where("kind <> 'postings'").drop("gen")
@@ -321,7 +333,7 @@ def rounds(sizes: list[tuple[int, int]], share: float) -> list[list[int]]:
     return out
 
 
-def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: HistoryIndex, share: float = 1.0) -> DataFrame:
+def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: HistoryIndex, share: float = 2.0) -> DataFrame:
     """All pairs (first, second) of set ids of the index's likeness or more, the batch of the first below that of the second.
 
     An empty ``index`` is created from the lowest batch. The others are prepared, probed and appended in turn, in
@@ -346,17 +358,15 @@ def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: Histor
             ready = index.create(turn)
         else:
             ready = index.prepare(turn)
-            found.append(index.probe(ready).toDF("a", "b"))
-            if len(turns[i]) > 1:
-                found.append(index.within(ready))
-            found = [materialize(reduce(DataFrame.unionByName, found), "repeats")]
-            index.append(ready)
+            near = index.probe(ready).toDF("a", "b")
+            found.append(materialize(near.unionByName(index.within(ready)) if len(turns[i]) > 1 else near, "repeats"))
+            index.append(ready, unknown=True)
             index.vacuum()
         members.append(ready.members.select("set", "class"))
     everyone = materialize(reduce(DataFrame.unionByName, members).join(sizes.select("set", "batch"), "set"), "all-members")
     pairs = everyone.groupBy("class").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).where("lo < hi").select(F.col("class").alias("a"), F.col("class").alias("b"))
     if found:
-        pairs = pairs.unionByName(found[0].where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = pairs.unionByName(reduce(DataFrame.unionByName, found).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left, right = everyone.select(F.col("class").alias("a"), F.col("set").alias("s"), F.col("batch").alias("bs")), everyone.select(F.col("class").alias("b"), F.col("set").alias("t"), F.col("batch").alias("bt"))
     met = materialize(many_join(materialize(pairs, "class-pairs"), left, ["a"], index.piece), "first-members")
     both = many_join(met, right, ["b"], index.piece).where("bs <> bt and (a <> b or bs < bt)")
