@@ -34,11 +34,12 @@ def token_order(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large: int = LARGE, heavy: DataFrame | None = None) -> DataFrame:
+def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large: int = LARGE, heavy: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """The prefix of each set in rare-first order: (set, size, token, pos), pos counted from 0.
 
     ``tokens`` has rows (set, size, token), each token once per set. Tokens that ``order`` lacks count as
-    the rarest. Sets of more than ``large`` tokens are ranked in two steps, by slices of the order. ``heavy`` names
+    the rarest. Sets of more than ``large`` tokens are ranked in two steps, by slices of the order; ``largest``, the size
+    of the largest, tells that there are none. ``heavy`` names
     tokens of so many sets that they are to meet their rank in a broadcast. Other columns are kept.
     """
     joined = tokens.join(order, "token", "left") if heavy is None else lookup_join(tokens, order, "token", "left", heavy)
@@ -46,6 +47,9 @@ def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large:
     ranked = joined.select("set", "size", "token", *extra, F.coalesce("freq", F.lit(0)).alias("f"), F.xxhash64("token").alias("h"))
     ordering = ["f", "h", "token"]
     small = ranked.where(F.col("size") <= large).withColumn("pos", F.row_number().over(Window.partitionBy("set").orderBy(*ordering)) - 1)
+    columns = ["set", "size", "token", *extra, F.col("pos").cast("long").alias("pos")]
+    if largest is not None and largest <= large:
+        return small.select(*columns).where(F.col("pos") < prefix_length(F.col("size"), threshold))
     big = ranked.where(F.col("size") > large).withColumn("slice", F.shiftright("h", 52))
     counts = big.groupBy("set", "f", "slice").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("set").orderBy("f", "slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +57,6 @@ def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large:
     big = big.join(offsets, ["set", "f", "slice"]).withColumn(
         "pos", F.col("before") + F.row_number().over(Window.partitionBy("set", "f", "slice").orderBy("h", "token")) - 1
     )
-    columns = ["set", "size", "token", *extra, F.col("pos").cast("long").alias("pos")]
     return small.select(*columns).unionByName(big.select(*columns)).where(F.col("pos") < prefix_length(F.col("size"), threshold))
 
 
@@ -77,21 +80,25 @@ def as_arrays(tokens: DataFrame, large: int = LARGE) -> DataFrame:
     return tokens.groupBy("set", "size", part.alias("_part")).agg(F.collect_list("token").alias("tokens")).drop("_part")
 
 
-def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
+def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, large: int = LARGE, largest: int | None = None) -> DataFrame:
     """Candidate pairs (a, na, b, nb) whose exact overlap reaches the threshold; both sides are as ``as_arrays`` gives them.
 
-    Sets of up to ``large`` tokens are compared as arrays, larger ones token by token.
+    Sets of up to ``large`` tokens are compared as arrays, larger ones token by token. ``largest`` is the size of the
+    right side's largest set, if known: a pair's sizes differ by the threshold at most, so it may rule out larger ones.
     """
     small = (F.col("na") <= large) & (F.col("nb") <= large)
     compared = pairs.where(small)
     for side, x in ((left, "a"), (right, "b")):
         compared = compared.join(side.where(F.col("size") <= large).select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")), x)
     compared = compared.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
+    enough = F.col("both") >= overlap_needed(F.col("na"), F.col("nb"), threshold)
+    if largest is not None and largest <= large * threshold:
+        return compared.where(enough).select("a", "b")
     one_by_one = pairs.where(~small)
     one_by_one = one_by_one.join(left.select(F.col("set").alias("a"), F.explode("tokens").alias("token")), "a")
     one_by_one = one_by_one.join(right.select(F.col("set").alias("b"), F.explode("tokens").alias("token")), ["b", "token"])
     one_by_one = one_by_one.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).cast("int").alias("both"))
-    return compared.unionByName(one_by_one).where(F.col("both") >= overlap_needed(F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    return compared.unionByName(one_by_one).where(enough).select("a", "b")
 
 
 #: What the index keeps: for each kind of row the column that it is laid out by, and its columns as stored.
@@ -116,6 +123,7 @@ class Batch:
     prefixes: DataFrame
     size: int
     sets: int
+    largest: int
     id_buckets: list[int]
 
 
@@ -204,11 +212,11 @@ class HistoryIndex:
         self.append(batch, unknown=True)
         return batch
 
-    def _prefixes(self, rows: DataFrame, order: str, count: int) -> DataFrame:
+    def _prefixes(self, rows: DataFrame, order: str, count: int, largest: int | None = None) -> DataFrame:
         ranks = self.spark.read.schema("token long, freq long, bucket int").parquet(f"{self.folder}/orders/{order}")
         ranks = ranks.where(F.col("bucket").isin(self._buckets(rows, "token", size=count)[0])).drop("bucket")
         heavy = heavy_keys(token_order(rows), "token", "freq", count) if count >= SPLIT_FROM else None
-        return rare_prefixes(rows, ranks, self.threshold, self.large, heavy)
+        return rare_prefixes(rows, ranks, self.threshold, self.large, heavy, largest)
 
     def prepare(self, batch: DataFrame) -> Batch:
         """Find the class of each set of a batch, and the prefixes of its classes by the index's order."""
@@ -216,7 +224,7 @@ class HistoryIndex:
             F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("token")).alias("x"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("y")
         )
         digest = materialize(digest, "digests")
-        touched = digest.agg(F.collect_set(self._bucket("x")), F.collect_set(self._bucket("set")), F.sum("size"), F.count(F.lit(1))).first()
+        touched = digest.agg(F.collect_set(self._bucket("x")), F.collect_set(self._bucket("set")), F.sum("size"), F.count(F.lit(1)), F.max("size")).first()
         size, many = touched[2] or 0, max(self.piece, (touched[3] or 0) // HEAVY_PARTS)
         same = ["size", "x", "y"]
         groups = digest.groupBy(*same).agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("copies"))
@@ -230,8 +238,8 @@ class HistoryIndex:
         large = members.where((F.col("set") == F.col("head")) & (F.col("size") > max(self.piece, size // HEAVY_PARTS))).select("set")
         rows = lookup_join(batch.select("set", "size", "token"), heads, "set", "inner", large)
         rows = materialize(rows.select(F.col("class").alias("set"), "size", "token", "new"), "class-tokens")
-        prefixes = materialize(self._prefixes(rows, self._versions.latest()[1]["order"], size), "prefixes")
-        return Batch(members, rows, prefixes, size, touched[3] or 0, sorted(touched[1]))
+        prefixes = materialize(self._prefixes(rows, self._versions.latest()[1]["order"], size, touched[4] or 0), "prefixes")
+        return Batch(members, rows, prefixes, size, touched[3] or 0, touched[4] or 0, sorted(touched[1]))
 
     def probe(self, batch: Batch) -> DataFrame:
         """Pairs (accepted, new) of classes of likeness at or above the threshold; a class may repeat itself."""
@@ -241,14 +249,14 @@ class HistoryIndex:
         (touched,) = self._buckets(pairs, "a")
         sets = self.read("sets", touched).join(pairs.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
         mine = as_arrays(batch.rows.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi"), self.large)
-        return verify(pairs, sets, mine, self.threshold, self.large).select(F.col("a").alias("accepted"), F.col("b").alias("new"))
+        return verify(pairs, sets, mine, self.threshold, self.large, batch.largest).select(F.col("a").alias("accepted"), F.col("b").alias("new"))
 
     def within(self, batch: Batch) -> DataFrame:
         """Pairs (a, b), a below b, of different classes of the batch itself of likeness at or above the threshold."""
         pairs = materialize(meet(batch.prefixes, batch.prefixes, self.threshold, self.piece, batch.sets).where("a < b"), "candidates")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         sets = as_arrays(batch.rows.join(ends, "set", "left_semi"), self.large)
-        return verify(pairs, sets, sets, self.threshold, self.large)
+        return verify(pairs, sets, sets, self.threshold, self.large, batch.largest)
 
     def members(self, classes: DataFrame) -> DataFrame:
         """The accepted sets of classes: (class, set). ``classes`` has a column class; only its buckets are read."""
