@@ -42,7 +42,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """How many texts of each source are cut, of those that hold anything."""
-    rows = stops(spark, d).where("verdict <> 'blank'").groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("cut"))
+    rows = stops(spark, d).where("odds is not null").groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("cut"))
     return rows.withColumn("rate", F.round(F.col("cut") / F.col("texts"), 6))
 
 

@@ -1,4 +1,4 @@
-"""Texts that stop before their proper end, by a backward character model and the markup left open."""
+"""Texts that stop before their proper end, by a backward character model whose contexts know what markup is open."""
 
 from __future__ import annotations
 
@@ -6,127 +6,168 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.operators.skew import heavy_keys, lookup_join
 from gapweave.runtime import materialize
 
 # ---------------------------------------------------------------------------------------------------
-# The markup before the stop
+# Text before its stop
 # ---------------------------------------------------------------------------------------------------
 
 _DAMAGE = str.maketrans({"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\xa0": " ", "\u200b": "", "\ufeff": "", "\xad": "", "\r": "\n"})
+#: Marks without words: broken characters, dots of omission, bare or bracketed, and a line set between two rules.
 _MARK = re.compile(
-    r"(?:\s|\ufffd|\u2026|\.{3}"
-    r"|[\[(<]\s*(?:\.{2,}|\u2026)\s*[\])>]"
-    r"|[\[(<][^\[\](){}<>\n\\$]{0,40}(?:truncat|cut off|continu|omitted|snip|more|missing|abridged)[^\[\](){}<>\n\\$]{0,40}[\])>]"
-    r"|(?<![\w\\&])[-=*_~#]{2,}[ ]?[^\W\d_][\w ,.:']{0,60}[ ]?[-=*_~#]{2,})\Z",
-    re.IGNORECASE,
+    r"(?:\s|\ufffd|\u2026|\.{3}|[\[(<]\s*(?:\.{2,}|\u2026)\s*[\])>]"
+    r"|(?<![^\n])[ \t]*(?<![\w\\&])[-=*_~#]{2,}[ ]?[^\W\d_][^\n]*?[ ]?[-=*_~#]{2,}[ \t]*)\Z",
 )
+_BRACKET = r"[\[(<][^\[\](){}<>\n\\$]{1,80}[\])>]"
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
 _DRAFT = re.compile(r"\\iffalse(?![a-zA-Z]).*?(?:\\fi(?![a-zA-Z])|\Z)", re.DOTALL)
 _OPEN_DRAFT = re.compile(r"\\iffalse(?![a-zA-Z])((?:(?!\\fi(?![a-zA-Z])).)*)\Z", re.DOTALL)
-_ENVIRONMENT = re.compile(r"\\(begin|end)\s*\{([^{}\n]*)\}")
-_UNFINISHED_COMMAND = re.compile(r"\\(?:begin|end)?\s*\{[^{}]*\Z|(?<!\\)\\[a-zA-Z]*\Z")
-_DEFINITION = re.compile(r"\\(?:re)?newcommand\*?\s*(?:\{[^{}]*\}|\\\w+)(?:\[[^\]]*\])*\s*\{.*\}\Z|\\DeclareMathOperator\*?\s*\{[^{}]*\}\s*\{.*\}\Z|\\def\s*\\\w+(?:#\d)*\s*\{.*\}\Z", re.DOTALL)
-_LAST_LINE_COMMANDS = ("\\endinput", "\\fi")
-#: Parts the two ends of a text that stops within a comment.
-_BETWEEN = "\f"
-_MARKUP = re.compile(r"\\.|[{}$]", re.DOTALL)
 
 
-def without_marks(text: str) -> str:
-    """The text without white space, omission marks, broken characters and notices after its stop."""
+def without_marks(text: str, notice: bool = False) -> str:
+    """The text without white space, omission marks, broken characters and ruled lines after its stop.
+
+    ``notice`` tells that the bracket at its very end is a notice, which goes too.
+    """
     t = text.rstrip()
-    while m := _MARK.search(t, max(0, len(t) - 120)):
+    if notice:
+        t = t[: max(t.rfind(c) for c in "[(<")].rstrip()
+    while m := _MARK.search(t, t.rfind("\n") + 1):
         t = t[: m.start()].rstrip()
     return t
 
 
-def stop_state(text: str) -> tuple[str, str]:
-    """How a text stops, and the characters before its stop.
+def parts(text: str, notice: bool = False) -> tuple[str, str, bool]:
+    """(text, comments, whether the stop is in a comment) of what stands before the stop.
 
-    blank: there is nothing. open: inside a formula, an environment, an entry or a command. closed: after
-    the end of one of these. prose: in running text, where only the words can tell. comment: within a comment
-    that no open markup precedes, where again the words tell; the last characters of the text before the
-    comment and those of the comment come with a form feed between.
+    The text has neither comments nor drafts; both go to the comments, one to a line.
     """
-    t = without_marks(text.replace("\r\n", "\n").translate(_DAMAGE))
-    if not t:
-        return "blank", ""
-    line = t[t.rfind("\n") + 1 :]
-    main = t
-    if "%" in t:
-        main = _COMMENT.sub("", t)
-    draft = None
+    t = without_marks(text.replace("\r\n", "\n").translate(_DAMAGE), notice)
+    if "%" not in t and "\\iffalse" not in t:
+        return t, "", False
+    notes = [m[0] for m in _COMMENT.finditer(t)]
+    inside = _COMMENT.search(t, t.rfind("\n") + 1) is not None
+    main = _COMMENT.sub("", t)
     if "\\iffalse" in main:
-        found = _OPEN_DRAFT.search(main)
-        draft = found[1] if found else None
+        draft = _OPEN_DRAFT.search(main)
+        notes += [m[0][8:] for m in _DRAFT.finditer(main)]
+        if draft and not inside:
+            inside = bool(draft[1].strip())
         main = _DRAFT.sub("", main)
-    main = main.rstrip()
+    return main.rstrip(), "\n".join(notes).rstrip(), inside and bool(notes)
+
+
+# ---------------------------------------------------------------------------------------------------
+# What is open at each place
+# ---------------------------------------------------------------------------------------------------
+
+#: States of a place: nothing open; in the document environment, in another, in a formula, in braces, in braces of an
+#: earlier paragraph, in a comment; and with nothing open, right after the end of an environment, of a displayed
+#: formula, of a line that is one command, of an entry, or anywhere after the end of the document.
+(PLAIN, IN_DOCUMENT, IN_ENVIRONMENT, IN_FORMULA, IN_BRACES, IN_EARLIER_BRACES, IN_COMMENT,
+ AFTER_ENVIRONMENT, AFTER_FORMULA, AFTER_COMMAND, AFTER_ENTRY, AFTER_DOCUMENT) = range(12)
+_STATES = 12
+_TOKEN = re.compile(r"\\(begin|end)\s*\{([^{}\n]*)\}|\\([\[\]()])|(\$\$)|\\[a-zA-Z]+|\\.|([{}$])|(\n[ \t]*\n)", re.DOTALL)
+_COMMAND_LINE = re.compile(
+    r"^[ \t]*\\(?:(?:re)?newcommand(?![a-zA-Z])[^\n]*\}|DeclareMathOperator(?![a-zA-Z])[^\n]*\}|def\s*\\[^\n]*\}"
+    r"|[a-zA-Z]+\*?(?:\[[^\]\n]*\])*(?:\{[^{}\n]*\})+|endinput|fi)[ \t]*$", re.MULTILINE,
+)
+_INK = re.compile(r"\S")
+
+
+def place_states(text: str) -> np.ndarray:
+    """The state after each character of a text without comments."""
+    spans: list[tuple[int, int]] = []  # from which place on, which state
     stack: list[str] = []
-    ended = False
-    for m in _ENVIRONMENT.finditer(main):
-        kind, name = m[1], m[2].strip()
-        if kind == "begin":
-            stack.append(name)
-        elif name == "document":
-            ended = True
-            break
-        elif name in stack:
-            while stack.pop() != name:
-                pass
-    if ended:
-        return "closed", main[-12:]
-    if stack:
-        return "open", main[-12:]
-    inside = _COMMENT.search(line)
-    if inside or draft is not None:
-        # The stop is in a comment behind finished text, or behind text that itself stops short.
-        before = _stop_of(main) if main else "closed"
-        if before == "open":
-            return "open", main[-12:]
-        return "comment", main[-12:] + _BETWEEN + t[-12:]
-    return _stop_of(main), main[-12:]
-
-
-def _stop_of(main: str) -> str:
-    """open, closed or prose for text without comments whose environments are all closed."""
-    if _UNFINISHED_COMMAND.search(main, max(0, len(main) - 80)) and not main.endswith(_LAST_LINE_COMMANDS):
-        return "open"
-    if main.rfind("\\[") > main.rfind("\\]") and main[main.rfind("\\[") - 1 : main.rfind("\\[")] != "\\":
-        return "open"
-    block = main[main.rfind("\n\n") + 2 if "\n\n" in main else 0 :]
-    depth, dollars = 0, 0
-    for m in _MARKUP.finditer(block):
-        if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth = max(0, depth - 1)
-        elif m[0] == "$":
-            dollars += 1
-    if depth or dollars % 2:
-        return "open"
-    if main.endswith(("\\]", "$$", *_LAST_LINE_COMMANDS)) or re.search(r"\\end\s*\{[^{}]*\}\Z", main[-60:]):
-        return "closed"
-    if block.lstrip().startswith("@") and main.endswith("}"):
-        return "closed"
-    if main.endswith("}") and _DEFINITION.search(block[block.rfind("\n\\") + 1 :]):
-        return "closed"
-    return "prose"
+    depth = earlier = 0
+    inline = display = entry = False
+
+    def now() -> int:
+        if any(x != "document" for x in stack):
+            return IN_ENVIRONMENT
+        if inline or display:
+            return IN_FORMULA
+        if depth or earlier:
+            return IN_BRACES if depth else IN_EARLIER_BRACES
+        return IN_DOCUMENT if stack else PLAIN
+
+    def closed(end: int, after: int) -> None:
+        state = now()
+        spans.append((end - 1, after if state == PLAIN else state))
+        if state == PLAIN:
+            ink = _INK.search(text, end)
+            spans.append((ink.start() if ink else len(text), PLAIN))
+
+    for m in _TOKEN.finditer(text):
+        end = m.end()
+        if m[1] == "begin":
+            stack.append(m[2].strip())
+            spans.append((end - 1, now()))
+        elif m[1]:
+            name = m[2].strip()
+            if name == "document":
+                spans.append((end - 1, AFTER_DOCUMENT))
+                break
+            if name in stack:
+                while stack.pop() != name:
+                    pass
+            inline, depth = False, 0
+            closed(end, AFTER_ENVIRONMENT)
+        elif (sign := m[3] or m[4] or m[5]) in ("]", "$$") and (sign == "]" or display):
+            display = False
+            closed(end, AFTER_FORMULA)
+        elif sign:
+            if sign in ("[", "$$"):
+                display = True
+            elif sign in ("(", ")"):
+                inline = sign == "("
+            elif sign == "$":
+                inline = not inline
+            elif sign == "{":
+                if not depth:
+                    entry = text[text.rfind("\n", 0, end) + 1 : end].lstrip().startswith("@")
+                depth += 1
+            elif depth:
+                depth -= 1
+            else:
+                earlier = max(0, earlier - 1)
+            if sign == "}" and entry and not depth:
+                entry = False
+                closed(end, AFTER_ENTRY)
+            else:
+                spans.append((end - 1, now()))
+        elif m[6] and (inline or (depth and not entry)):
+            # A blank line ends what was left open of an inline formula; braces may go on.
+            inline = False
+            if not entry:
+                earlier, depth = earlier + depth, 0
+            spans.append((end - 1, now()))
+    out = np.zeros(len(text), np.uint8)
+    at, state = 0, PLAIN
+    for start, new in spans:
+        start = max(start, at)
+        out[at:start] = state
+        at, state = start, new
+    out[at:] = state
+    if "\\" in text:
+        for m in _COMMAND_LINE.finditer(text):
+            end = m.end()
+            if out[end - 1] in (PLAIN, AFTER_ENVIRONMENT, IN_EARLIER_BRACES):
+                ink = _INK.search(text, end)
+                out[end - 1 : ink.start() if ink else len(text)] = AFTER_COMMAND
+    return out
 
 
 # ---------------------------------------------------------------------------------------------------
 # The backward character model
 # ---------------------------------------------------------------------------------------------------
 
-ORDERS = (1, 2, 3, 4, 6)
-#: Contexts are counted in so many hashed cells per order.
-CELLS = 1 << 20
-#: Up to so many counted cells go to every task; more meet the stops in a shuffle join.
-BROADCAST_CELLS = 500_000
-
 
 def _classes() -> np.ndarray:
     """Code points to classes: a-z each, capitals, digits, ASCII signs each, white space, and letters by script."""
@@ -149,7 +190,11 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_SPREAD = np.uint32(2654435761)
+_KINDS = 69
+#: A context is the state of a place and the classes of its last characters. Contexts have numbers of their own, one
+#: for each, so the model's size is bounded by the alphabet and does not grow with the corpus.
+LONGEST = 3
+CONTEXTS = _STATES * _KINDS**LONGEST
 
 
 def _codes(text: str) -> np.ndarray:
@@ -157,147 +202,189 @@ def _codes(text: str) -> np.ndarray:
     return _CLASS[np.minimum(points, 0xFFFF)]
 
 
-def context_cells(codes: np.ndarray) -> np.ndarray:
-    """The cell of the context that ends at each place, one row per order; places before a full context use a shorter one."""
-    h = np.zeros(len(codes), np.uint32)
-    out = np.empty((len(ORDERS), len(codes)), np.int32)
-    wide = codes.astype(np.uint32)
-    row = 0
-    for k in range(1, ORDERS[-1] + 1):
-        shifted = np.zeros_like(wide)
-        shifted[k - 1 :] = wide[: len(wide) - k + 1]
-        h = (h + shifted + np.uint32(k)) * _SPREAD
-        h ^= h >> np.uint32(15)
-        if k in ORDERS:
-            out[row] = h & np.uint32(CELLS - 1)
-            row += 1
+def contexts(text: str, comment: bool = False) -> np.ndarray:
+    """The number of the longest context of each place of a text; divided by the classes it is that of a shorter one."""
+    codes = _codes(text).astype(np.int32)
+    out = (np.full(len(codes), IN_COMMENT, np.uint8) if comment else place_states(text)).astype(np.int32)
+    for k in range(LONGEST):
+        out *= _KINDS
+        out[k:] += codes[: len(codes) - k]
     return out
 
 
-def last_cells(text: str) -> list[int]:
-    """The cells of the context at the end of ``text``."""
-    codes = _codes(text[-ORDERS[-1] :])
-    return context_cells(codes)[:, -1].tolist() if len(codes) else [0] * len(ORDERS)
+def shorter(context: str, order: int) -> Column:
+    """The number of the context of ``order`` characters within a longest one."""
+    return F.floor(F.col(context) / F.lit(_KINDS ** (LONGEST - order))).cast("int")
+
+
+#: Ends that the estimate of a shorter context counts for in that of a longer one.
+STRENGTH = 2.0
+#: Bins of log-odds among which thresholds are sought, and texts' worth of all languages that each language gets.
+BIN, LOW, HIGH, SHARED = 0.25, -1.0, 4.0, 50.0
+#: Up to so many contexts go to every task; more meet the stops in a join with the hot ones split off.
+BROADCAST_ROWS = 500_000
+
+
+def valley(bins: np.ndarray, counts: np.ndarray) -> float:
+    """The middle of the emptiest stretch of a histogram of log-odds between ``LOW`` and ``HIGH``."""
+    grid = np.arange(round(LOW / BIN), round(HIGH / BIN) + 1)
+    near = np.array([counts[np.abs(bins - g + 0.5) < 3].sum() for g in grid])
+    least = np.flatnonzero(near == near.min())
+    runs = np.split(least, np.flatnonzero(np.diff(least) > 1) + 1)
+    longest = max(runs, key=len)
+    return float(grid[longest[0]] + grid[longest[-1]]) / 2 * BIN
+
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def end_odds(ends: np.ndarray, all_: np.ndarray, base: np.ndarray, strength: float = 20.0) -> np.ndarray:
-    """Log-odds that a text ends after its context, above those of any place of the corpus.
 
-    ``ends`` and ``all_``, one column per order, count the ends and all places with the context. The
-    estimate of an order is the prior of the next longer one, with the weight of ``strength`` places'
-    worth of ends at the base rate.
+def notices(rows: DataFrame, text: str) -> DataFrame:
+    """Bracketed endings of texts that are notices, by their use: (_ending).
+
+    A bracket of words at the very end is one if, digits apart, it ends two or more texts that say different things
+    before it, and stands at the end at least as often as elsewhere in the corpus.
     """
-    p = base.copy()
-    for k in range(ends.shape[1]):
-        weight = strength / np.maximum(p, base)
-        p = (ends[:, k] + weight * p) / (np.maximum(all_[:, k], ends[:, k]) + weight)
-    return np.log(p / (1 - p)) - np.log(base / (1 - base))
-
-
-def truncated(documents: DataFrame, key: str, text: str, source: str, language: str, threshold: float = 0.0) -> DataFrame:
-    """One row per text: (key, source, language, verdict, odds, truncated).
-
-    A backward character model is trained on the whole corpus: for contexts of 1 to 6 character classes
-    before a place it counts how often a text ends there (omission marks, notices, broken characters and
-    padding after the stop taken off) and how often it goes on. The log-odds of an end after the text's own
-    last characters, above the base rate of its language and source, are its ``odds``; below ``threshold`` a
-    stop in running text is a truncation. A reading of the markup decides where words cannot: a stop inside
-    an environment, formula, entry or command is a truncation, one right after its end is none. What stands
-    in comments opens and closes nothing; a stop within a comment is a truncation if the words of the comment
-    or those before it say so.
-
-    Every character of every text is counted. Counts are formed per partition in arrays of fixed size, and
-    only cells that some text ends in are passed on.
-
-    Defined cases: null, empty and blank texts are not truncated and have null odds. Rows without a key are
-    kept; a repeated key has a row each. A null source or language is a group of its own. Other columns are
-    ignored.
+    ends = rows.select(ending(text).alias("_ending"), F.xxhash64(F.right(F.rtrim(text, F.lit(" \t\r\n")), F.lit(120))).alias("_before")).where("_ending <> ''")
+    often = materialize(ends.groupBy("_ending").agg(F.count(F.lit(1)).alias("_ends"), F.count_distinct("_before").alias("_ways")).where("_ways > 1"), "endings")
+    if often.isEmpty():
+        return often.select("_ending")
+    found = rows.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_BRACKET), 0)).alias("_x")).select(plain_ending(F.col("_x")).alias("_ending"))
+    places = found.groupBy("_ending").agg(F.count(F.lit(1)).alias("_all"))
+    return materialize(often.join(places, "_ending").where("2 * _ends >= _all").select("_ending"), "notices")
+
+
+def plain_ending(bracket: Column) -> Column:
+    return F.regexp_replace(F.lower(bracket), "[0-9]+", "0")
+
+
+def ending(text: str) -> Column:
+    """The bracket with a letter in it that ends a text, or an empty string."""
+    tail = F.right(F.rtrim(text, F.lit(" \t\r\n")), F.lit(82))
+    return F.when(tail.rlike(r"[\])>]$"), plain_ending(F.regexp_extract(tail, rf"({_BRACKET})$", 1))).otherwise("")
+
+
+def truncated(documents: DataFrame, key: str, text: str, source: str, language: str) -> DataFrame:
+    """One row per text: (key, source, language, odds, threshold, truncated).
+
+    A backward character model is trained on the whole corpus. The context of a place is what markup is open there
+    (environment, formula, braces, comment, or what has just been closed) and the last characters, up to three, in
+    classes. For every context the model counts how often a text ends there, marks and notices after the stop
+    taken off, the text judged left out, and how often there is such a place at all: for shorter contexts over all languages, for the longest also
+    within the text's own. The log-odds of an end against going on, above those of any place of the language, are the
+    text's ``odds``. Ends of cut texts fall on any place and finished ones on few, so odds come in two heaps; the
+    emptiest stretch between them, found for each language with some weight of all, is its ``threshold``, and what
+    lies below is truncated. A text that stops in a comment is judged by the comment's end and by the end before
+    it, whichever is less likely. Markup is read only to know the context; what stands in comments opens and closes
+    nothing.
+
+    Every character of every text is counted. Counts are formed per partition in arrays bounded by the number of
+    contexts, and only contexts met, that some text ends in, are passed on.
+
+    Defined cases: null, empty and blank texts, and texts of marks alone, are not truncated and have null odds. Rows
+    without a key are kept; a repeated key has a row each. A null source or language is a group of its own. Other
+    columns are ignored.
     """
     kind = dict(documents.dtypes)[key]
     rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"), F.lower(language).alias("_language"))
+    known = notices(rows, "_text")
+    if known.isEmpty():
+        told = rows.withColumn("_notice", F.lit(False))
+    else:
+        told = rows.withColumn("_ending", F.coalesce(ending("_text"), F.lit(""))).join(_small(known.withColumn("_notice", F.lit(True))), "_ending", "left")
+        told = told.select(*rows.columns, F.coalesce("_notice", F.lit(False)).alias("_notice"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            verdicts, lengths, cells = [], [], []
-            for t in b.column(1).to_pylist():
-                verdict, tail = stop_state(t) if t else ("blank", "")
-                verdicts.append(verdict)
-                lengths.append(len(t) if t else 0)
-                cells.append([c for end in tail.split(_BETWEEN) for c in last_cells(end)])
+            lengths, ends, notes = [], [], []
+            for t, notice in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                main, comments, inside = parts(t, notice) if t else ("", "", False)
+                lengths.append(len(main) + len(comments))
+                ends.append(int(contexts(main)[-1]) if main else None)
+                notes.append(int(contexts(comments[-LONGEST:], True)[-1]) if inside else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(verdicts, pa.string()), pa.array(lengths, pa.int64()), pa.array(cells, pa.list_(pa.int32()))],
-                names=["_key", "_source", "_language", "verdict", "_length", "_cells"],
+                [b.column(0), b.column(2), b.column(3), pa.array(lengths, pa.int64()), pa.array(ends, pa.int32()), pa.array(notes, pa.int32())],
+                names=["_key", "_source", "_language", "_length", "_end", "_note"],
             )
 
-    scanned = materialize(
-        rows.mapInArrow(scan, f"_key {kind}, _source string, _language string, verdict string, _length long, _cells array<int>"), "stops"
-    )
-    full = scanned.where("verdict <> 'blank'")
-    ends = materialize(
-        full.select(F.posexplode("_cells").alias("_order", "_cell")).groupBy((F.col("_order") % len(ORDERS)).alias("_order"), "_cell").agg(F.count(F.lit(1)).alias("_ends")), "end-cells"
-    )
-    # At most CELLS cells for each order, whatever the size of the corpus.
-    wanted = [np.zeros(0, np.int64)] * len(ORDERS)
-    known = ends.select("_order", "_cell").toPandas()
-    for k in range(len(ORDERS)):
-        wanted[k] = np.sort(known["_cell"].to_numpy()[known["_order"].to_numpy() == k])
+    schema = f"_key {kind}, _source string, _language string, _length long, _end int, _note int"
+    stops = materialize(told.mapInArrow(scan, schema), "stops").withColumn("_said", F.coalesce("_language", F.lit("")))
+    ends = stops.select("_said", F.explode(F.array("_end", "_note")).alias("_context")).where("_context is not null")
+    ends = materialize(ends.groupBy("_said", "_context").agg(F.count(F.lit(1)).alias("_ends")), "end-contexts")
+    # At most CONTEXTS numbers, whatever the size of the corpus.
+    wanted = np.sort(ends.select("_context").distinct().toPandas()["_context"].to_numpy(np.int64))
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(ORDERS), CELLS), np.int64)
-        for b in batches:
-            part: list[str] = []
-            size = 0
-            for t in [*b.column(0).to_pylist(), None]:
-                if part and (t is None or size > 500_000):
-                    cells = context_cells(_codes("\n".join(part)))
-                    for k in range(len(ORDERS)):
-                        totals[k] += np.bincount(cells[k], minlength=CELLS)
-                    part, size = [], 0
-                if t:
-                    part.append(t)
-                    size += len(t)
-        for k, sought in enumerate(shared.value):
-            n = totals[k][sought]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sought), k, np.int32)), pa.array(sought.astype(np.int32)), pa.array(n)], names=["_order", "_cell", "_all"]
-            )
-
-    counted = rows.select("_text").mapInArrow(count, "_order int, _cell int, _all long").groupBy("_order", "_cell").agg(F.sum("_all").alias("_all"))
-    model = ends.join(counted, ["_order", "_cell"])
-    base = full.groupBy("_source", "_language").agg(F.count(F.lit(1)).alias("_texts"), F.sum("_length").alias("_places"))
-    base = base.withColumn("_base", F.col("_texts") / F.greatest(F.col("_places"), F.col("_texts") + 1))
-    found = full.withColumn("_row", F.monotonically_increasing_id())
-    found = materialize(found.select("_row", "_key", "_source", "_language", "verdict", "_cells"), "stop-rows")
-    small = len(known) <= BROADCAST_CELLS
-    places = range(2 * len(ORDERS))
-    names = [f"{c}{k}" for c in ("_ends", "_all") for k in places]
-    counts = (
-        found.select("_row", F.posexplode("_cells").alias("_at", "_cell"))
-        .withColumn("_order", F.col("_at") % len(ORDERS))
-        .join(F.broadcast(model) if small else model, ["_order", "_cell"])
-        .groupBy("_row")
-        .agg(*[F.max(F.when(F.col("_at") == k, F.col(c))).alias(f"{c}{k}") for c in ("_ends", "_all") for k in places])
-    )
-    group = base.select(F.col("_source").alias("_s"), F.col("_language").alias("_l"), "_base")
-    judged = found.drop("_cells").join(counts, "_row").join(group, F.col("_source").eqNullSafe(F.col("_s")) & F.col("_language").eqNullSafe(F.col("_l")))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = shared.value
+        slot = np.zeros(CONTEXTS, np.int32)
+        slot[sought] = np.arange(1, len(sought) + 1)
+        longest: dict[str, np.ndarray] = {}
+        short = np.zeros(CONTEXTS // _KINDS, np.int64)
         for b in batches:
-            table = np.stack([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names], 1).astype(float)
-            k = len(ORDERS)
-            base_rate = b.column(b.schema.get_field_index("_base")).to_numpy(zero_copy_only=False)
-            odds = end_odds(table[:, :k], table[:, 2 * k : 3 * k], base_rate)
-            two = ~np.isnan(table[:, k])
-            odds[two] = np.minimum(odds[two], end_odds(table[two, k : 2 * k], table[two, 3 * k :], base_rate[two]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(odds)], names=["_key", "_source", "_language", "verdict", "odds"])
-
-    scored = judged.select("_key", "_source", "_language", "verdict", *names, "_base").mapInArrow(
-        judge, f"_key {kind}, _source string, _language string, verdict string, odds double"
-    )
-    blank = scanned.where("verdict = 'blank'").select("_key", "_source", "_language", "verdict", F.lit(None).cast("double").alias("odds"))
-    by_words = F.col("verdict").isin("prose", "comment") & (F.col("odds") < threshold)
-    return scored.unionByName(blank).select(
-        F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_language").alias("language"), "verdict", "odds",
-        ((F.col("verdict") == "open") | F.coalesce(by_words, F.lit(False))).alias("truncated"),
+            held: dict[str, list[np.ndarray]] = {}
+            for t, said, notice in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                main, comments, _ = parts(t, notice) if t else ("", "", False)
+                held.setdefault(said, []).extend([contexts(main), contexts(comments, True)])
+            for said, several in held.items():
+                places = np.concatenate(several)
+                short += np.bincount(places // _KINDS, minlength=len(short))
+                longest[said] = longest.get(said, 0) + np.bincount(slot[places], minlength=len(sought) + 1)
+        for said, n in longest.items():
+            met = np.flatnonzero(n[1:])
+            yield table(said, LONGEST, sought[met], n[1:][met])
+        for order in range(LONGEST):
+            n = short.reshape(-1, _KINDS ** (LONGEST - 1 - order)).sum(1)
+            met = np.intersect1d(np.flatnonzero(n), sought // _KINDS ** (LONGEST - order))
+            yield table(None, order, met, n[met])
+
+    def table(said: str | None, order: int, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([said] * len(n), pa.string()), pa.array(np.full(len(n), order, np.int32)), pa.array(numbers.astype(np.int32)), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["_said", "_order", "_context", "_all"])
+
+    met = told.select("_text", F.coalesce("_language", F.lit("")).alias("_said"), "_notice").mapInArrow(count, "_said string, _order int, _context int, _all long")
+    met = materialize(met.groupBy("_said", "_order", "_context").agg(F.sum("_all").alias("_all")), "places")
+    # One row per language and longest context, with the counts of all contexts within it.
+    model = ends.join(met.where(F.col("_order") == LONGEST).select("_said", "_context", F.col("_all").alias("_alls")), ["_said", "_context"], "left")
+    model = model.withColumnRenamed("_ends", "_endss")
+    for k in range(LONGEST + 1):
+        own = ends.groupBy(shorter("_context", k).alias(f"_c{k}")).agg(F.sum("_ends").alias(f"_e{k}"))
+        places = met.where(F.col("_order") == k).groupBy(F.col("_context").alias(f"_c{k}")).agg(F.sum("_all").alias(f"_a{k}"))
+        model = model.withColumn(f"_c{k}", shorter("_context", k)).join(own.join(places, f"_c{k}", "left"), f"_c{k}").drop(f"_c{k}")
+    base = stops.where("_end is not null or _note is not null").groupBy("_said").agg(F.count(F.lit(1)).alias("_texts"), F.sum("_length").alias("_places"))
+    model = model.join(base.select("_said", (F.col("_texts") / F.greatest(F.col("_places"), F.col("_texts") + 1)).alias("_base")), "_said")
+    p = F.col("_base")
+    counted = [(f"_e{k}", f"_a{k}") for k in range(LONGEST + 1)] + [("_endss", "_alls")]
+    for i, (e, a) in enumerate(counted):
+        weight = F.lit(STRENGTH) / F.greatest(p, F.col("_base"))
+        # A text's own end is left out of the counts it is judged by.
+        model = model.withColumn(f"_p{i}", (F.col(e) - 1 + weight * p) / (F.greatest(F.coalesce(F.col(a), F.lit(0)), F.col(e)) - 1 + weight))
+        p = F.col(f"_p{i}")
+    odds = F.log(p / (1 - p)) - F.log(F.col("_base") / (1 - F.col("_base")))
+    model = materialize(model.select(F.concat_ws(":", "_context", "_said").alias("_at"), odds.alias("_odds")), "model")
+    small = model.count() <= BROADCAST_ROWS
+    judged = stops
+    for place in ("_end", "_note"):
+        judged = judged.withColumn("_at", F.when(F.col(place).isNotNull(), F.concat_ws(":", place, "_said")))
+        if small:
+            judged = judged.join(F.broadcast(model), "_at", "left")
+        else:
+            hot = heavy_keys(judged.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")), "_at", "_n", judged.count())
+            judged = lookup_join(judged, model, "_at", "left", hot)
+        judged = judged.withColumnRenamed("_odds", f"_odds{place}").drop("_at")
+    judged = materialize(judged.select("_key", "_source", "_language", "_said", F.least("_odds_end", "_odds_note").alias("_odds")), "odds")
+    bins = judged.where("_odds is not null").groupBy("_said", F.floor(F.col("_odds") / BIN).cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    bins = materialize(bins, "odds-bins")
+    pooled = bins.groupBy("_bin").agg(F.sum("_n").alias("_n")).toPandas()  # a row per bin that occurs
+    share = SHARED / max(1, pooled["_n"].sum())
+
+    def choose(own: pd.DataFrame) -> pd.DataFrame:
+        both = np.concatenate([own["_bin"], pooled["_bin"]]), np.concatenate([own["_n"], pooled["_n"] * share])
+        return pd.DataFrame({"_said": own["_said"][:1], "_threshold": [valley(*both)]})
+
+    chosen = materialize(bins.groupBy("_said").applyInPandas(choose, "_said string, _threshold double"), "thresholds")
+    out = judged.join(_small(chosen), "_said", "left")
+    return out.select(
+        F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_language").alias("language"), F.col("_odds").alias("odds"), F.col("_threshold").alias("threshold"),
+        F.coalesce(F.col("_odds") < F.col("_threshold"), F.lit(False)).alias("truncated"),
     )

@@ -13,7 +13,7 @@ from gapweave.llm import truncation as T
 from gapweave.llm.leaks import leaks
 from gapweave.llm.text_queries import p7_ids
 from gapweave.llm.tokens import VOCABULARY, cuts, decode, encode, encoder, token_ids
-from gapweave.llm.truncation import stop_state, truncated, without_marks
+from gapweave.llm.truncation import parts, truncated, without_marks
 
 ENC = encoder(open(VOCABULARY, "rb").read())
 CHARS = st.text(st.sampled_from(list("ab'stre 1.\n\t\\é漢𝔸<|>\u3000\x1c\x85")) | st.characters(codec="utf-8"), max_size=120)
@@ -163,28 +163,57 @@ CLOSED = [
 ]
 
 
+def last_state(text):
+    main = parts(text)[0]
+    return T.place_states(main)[-1] if main else None
+
+
 @pytest.mark.parametrize("text", OPEN)
 def test_open_markup(text):
-    assert stop_state(text)[0] == "open"
+    assert last_state(text) in (T.IN_DOCUMENT, T.IN_ENVIRONMENT, T.IN_FORMULA, T.IN_BRACES) or text.endswith("\\sect")
 
 
 @pytest.mark.parametrize("text", CLOSED)
 def test_closed_markup(text):
-    assert stop_state(text)[0] == "closed"
+    assert last_state(text) in (T.AFTER_ENVIRONMENT, T.AFTER_FORMULA, T.AFTER_COMMAND, T.AFTER_ENTRY, T.AFTER_DOCUMENT)
+
+
+def test_states_of_places():
+    got = T.place_states("a $x$ {b\n\nc} \\[y\\] \n\\input{d}\nz")
+    names = {"a": T.PLAIN, "x": T.IN_FORMULA, "b": T.IN_BRACES, "c": T.IN_EARLIER_BRACES, "y": T.IN_FORMULA, "d": T.IN_BRACES, "z": T.PLAIN}
+    text = "a $x$ {b\n\nc} \\[y\\] \n\\input{d}\nz"
+    assert {c: got[text.rindex(c)] for c in names} == names
+    assert got[text.index("]")] == T.AFTER_FORMULA and got[text.rindex("}")] == T.AFTER_COMMAND
+    assert last_state("A \\textbf{brace\n\nof an earlier paragraph") == T.IN_EARLIER_BRACES
+    assert len(T.place_states("")) == 0
 
 
-def test_other_states():
-    assert stop_state("A finished sentence.")[0] == "prose"
-    assert stop_state(" \n\t ")[0] == stop_state("\ufffd…")[0] == "blank"
-    assert stop_state("Done.\n% a note")[0] == "comment"
-    assert stop_state("Done.\n\\iffalse\nA draft that sto")[0] == "comment"
+def test_parts():
+    assert parts("A finished sentence.") == ("A finished sentence.", "", False)
+    assert parts(" \n\t ")[0] == parts("\ufffd…")[0] == ""
+    assert parts("Done.\n% a note") == ("Done.", "% a note", True)
+    assert parts("Done. % a note\nMore") == ("Done. \nMore", "% a note", False)
+    main, notes, inside = parts("Done.\n\\iffalse\nA draft that sto")
+    assert main == "Done." and notes.endswith("A draft that sto") and inside
 
 
 def test_marks_are_taken_off():
-    for mark in ("…", "...", " [...]", "\n--- connection closed ---", "\ufffd", "   \n", " [truncated]", "…\n\n"):
+    for mark in ("…", "...", " [...]", "\n--- connection closed ---", "\ufffd", "   \n", "…\n\n", "\n" + "=" * 90 + " any words " + "=" * 90):
         assert without_marks("the end of it" + mark) == "the end of it"
-    for kept in ("see (below)", "\\[ x \\]", "a -- b", "x \\\\", "\\end{align*}"):
+    for kept in ("see (below)", "See also [more]", "\\[ x \\]", "a -- b", "x \\\\", "\\end{align*}", "so -- he said -- it"):
         assert without_marks(kept) == kept
+    assert without_marks("the end of it [cut] \n", True) == "the end of it"
+
+
+def test_notices_are_learned(spark):
+    texts = [f"Some text {i} that sto [cut at {i}]" for i in range(3)] + [f"As shown [see {i}] and [see {i}] by all of them [see {i}]" for i in range(3)] + ["See also [more]", None, "x []"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in T.notices(df, "t").collect()] == ["[cut at 0]"]
+
+
+def test_valley():
+    bins, counts = np.array([-8, -7, -6, -1, 12, 13, 20]), np.array([5, 9, 4, 1, 20, 30, 9])
+    assert 0.2 < T.valley(bins, counts) < 3
 
 
 def sentences(rng, n):
@@ -209,7 +238,7 @@ def test_held_out_accuracy(spark):
     assert len(out) == len(rows)
     found = {r["doc_id"] for r in out if r["truncated"]} - {None}
     assert not found & {1000, 1001, 1002}
-    assert all(r["odds"] is None for r in out if r["verdict"] == "blank")
+    assert all((r["odds"] is None) == (r["doc_id"] in (1000, 1001, 1002)) for r in out)
     assert len(found & cut) >= 0.95 * len(cut) and len(found - cut) <= 0.05 * len(cut)
 
 
@@ -218,8 +247,11 @@ def test_truncated_of_nothing(spark):
     assert truncated(df, "doc_id", "text", "source", "lang").count() == 0
 
 
-def test_contexts_are_counted_alike():
+def test_contexts_are_exact():
     text = "Some wörds, 漢字 and 12.5 more.\n"
-    cells = T.context_cells(T._codes(text))
-    for n in range(6, len(text) + 1):
-        assert T.last_cells(text[:n]) == cells[:, n - 1].tolist()
+    places = T.contexts(text, True)
+    codes = T._codes(text).tolist()
+    for n in range(3, len(text)):
+        state, *last = [int(places[n]) // T._KINDS**k % (T._KINDS if k < 3 else T._STATES) for k in (3, 2, 1, 0)]
+        assert state == T.IN_COMMENT and last == [codes[n], codes[n - 1], codes[n - 2]]
+        assert T.contexts(text[: n + 1][-3:], True)[-1] == places[n]
