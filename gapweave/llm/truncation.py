@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gapweave.operators.skew import heavy_keys, lookup_join
 from gapweave.runtime import materialize
@@ -48,7 +49,8 @@ def parts(text: str, notice: bool = False) -> tuple[str, str, bool]:
 
     The text has neither comments nor drafts; both go to the comments, one to a line.
     """
-    t = without_marks(text.replace("\r\n", "\n").translate(_DAMAGE), notice)
+    t = text.replace("\r\n", "\n")
+    t = without_marks(t.replace("\r", "\n") if t.isascii() else t.translate(_DAMAGE), notice)
     if "%" not in t and "\\iffalse" not in t:
         return t, "", False
     notes = [m[0] for m in _COMMENT.finditer(t)]
@@ -83,78 +85,82 @@ _INK = re.compile(r"\S")
 
 def place_states(text: str) -> np.ndarray:
     """The state after each character of a text without comments."""
-    spans: list[tuple[int, int]] = []  # from which place on, which state
+    starts, kinds = [0], [PLAIN]  # from which place on, which state
     stack: list[str] = []
-    depth = earlier = 0
+    inner = depth = earlier = 0  # environments but the document's, braces, and braces of earlier paragraphs
     inline = display = entry = False
 
-    def now() -> int:
-        if any(x != "document" for x in stack):
-            return IN_ENVIRONMENT
-        if inline or display:
-            return IN_FORMULA
-        if depth or earlier:
-            return IN_BRACES if depth else IN_EARLIER_BRACES
-        return IN_DOCUMENT if stack else PLAIN
-
-    def closed(end: int, after: int) -> None:
-        state = now()
-        spans.append((end - 1, after if state == PLAIN else state))
-        if state == PLAIN:
-            ink = _INK.search(text, end)
-            spans.append((ink.start() if ink else len(text), PLAIN))
+    def turn(at: int, after: int = PLAIN) -> None:
+        """Note the state from a place on; where nothing is open, it is ``after`` up to the next character that shows."""
+        if inner:
+            state = IN_ENVIRONMENT
+        elif inline or display:
+            state = IN_FORMULA
+        elif depth:
+            state = IN_BRACES
+        elif earlier:
+            state = IN_EARLIER_BRACES
+        else:
+            state = IN_DOCUMENT if stack else after
+        if state != kinds[-1] or starts[-1] > at:
+            starts.append(max(at, starts[-1]))
+            kinds.append(state)
+        if state == after != PLAIN:
+            ink = _INK.search(text, at + 1)
+            starts.append(ink.start() if ink else len(text))
+            kinds.append(PLAIN)
 
     for m in _TOKEN.finditer(text):
-        end = m.end()
-        if m[1] == "begin":
-            stack.append(m[2].strip())
-            spans.append((end - 1, now()))
-        elif m[1]:
+        kind = m.lastindex
+        if kind is None:
+            continue
+        at, after = m.end() - 1, PLAIN
+        if kind == 2:
             name = m[2].strip()
-            if name == "document":
-                spans.append((end - 1, AFTER_DOCUMENT))
+            if m[1] == "begin":
+                stack.append(name)
+                inner += name != "document"
+            elif name == "document":
+                starts.append(max(at, starts[-1]))
+                kinds.append(AFTER_DOCUMENT)
                 break
-            if name in stack:
-                while stack.pop() != name:
-                    pass
-            inline, depth = False, 0
-            closed(end, AFTER_ENVIRONMENT)
-        elif (sign := m[3] or m[4] or m[5]) in ("]", "$$") and (sign == "]" or display):
-            display = False
-            closed(end, AFTER_FORMULA)
-        elif sign:
-            if sign in ("[", "$$"):
-                display = True
-            elif sign in ("(", ")"):
-                inline = sign == "("
-            elif sign == "$":
-                inline = not inline
-            elif sign == "{":
-                if not depth:
-                    entry = text[text.rfind("\n", 0, end) + 1 : end].lstrip().startswith("@")
-                depth += 1
-            elif depth:
-                depth -= 1
-            else:
-                earlier = max(0, earlier - 1)
-            if sign == "}" and entry and not depth:
-                entry = False
-                closed(end, AFTER_ENTRY)
             else:
-                spans.append((end - 1, now()))
-        elif m[6] and (inline or (depth and not entry)):
+                while name in stack:
+                    gone = stack.pop()
+                    inner -= gone != "document"
+                    if gone == name:
+                        break
+                inline, depth, after = False, 0, AFTER_ENVIRONMENT
+        elif kind == 6:
             # A blank line ends what was left open of an inline formula; braces may go on.
+            if not inline and (entry or not depth):
+                continue
             inline = False
             if not entry:
                 earlier, depth = earlier + depth, 0
-            spans.append((end - 1, now()))
-    out = np.zeros(len(text), np.uint8)
-    at, state = 0, PLAIN
-    for start, new in spans:
-        start = max(start, at)
-        out[at:start] = state
-        at, state = start, new
-    out[at:] = state
+        else:
+            sign = m[kind]
+            if sign == "{":
+                if not depth:
+                    entry = text[text.rfind("\n", 0, at) + 1 : at].lstrip().startswith("@")
+                depth += 1
+            elif sign == "}":
+                if depth:
+                    depth -= 1
+                elif earlier:
+                    earlier -= 1
+                if entry and not depth:
+                    entry, after = False, AFTER_ENTRY
+            elif sign == "$":
+                inline = not inline
+            elif sign in ("(", ")"):
+                inline = sign == "("
+            elif sign == "[" or (sign == "$$" and not display):
+                display = True
+            else:
+                display, after = False, AFTER_FORMULA
+        turn(at, after)
+    out = np.repeat(np.array(kinds, np.uint8), np.diff(np.array([*starts, len(text)])))
     if "\\" in text:
         for m in _COMMAND_LINE.finditer(text):
             end = m.end()
@@ -202,21 +208,54 @@ def _codes(text: str) -> np.ndarray:
     return _CLASS[np.minimum(points, 0xFFFF)]
 
 
-def contexts(text: str, comment: bool = False) -> np.ndarray:
-    """The number of the longest context of each place of a text; divided by the classes it is that of a shorter one."""
-    codes = _codes(text).astype(np.int32)
-    out = (np.full(len(codes), IN_COMMENT, np.uint8) if comment else place_states(text)).astype(np.int32)
+def contexts(texts: list[str], states: list[np.ndarray]) -> np.ndarray:
+    """The number of the longest context of each place of several texts, one after another.
+
+    Divided by the classes it is that of a shorter context. Places before the third of a text have a 0 for what is not there.
+    """
+    codes = _codes("".join(texts)).astype(np.int32)
+    out = np.concatenate([np.zeros(0, np.uint8), *states]).astype(np.int32)
+    lengths = np.array([len(x) for x in states], np.int64)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
     for k in range(LONGEST):
         out *= _KINDS
         out[k:] += codes[: len(codes) - k]
+        for j in range(k):  # what the shift brought over from the text before
+            at = starts + j
+            at = at[at < len(codes)]
+            at = at[lengths[lengths > 0][: len(at)] > j]
+            out[at] -= np.where(at >= k, codes[at - k], 0)
     return out
 
 
+def comment_states(comments: str) -> np.ndarray:
+    return np.full(len(comments), IN_COMMENT, np.uint8)
+
+
+def tally(places: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Add the counts of different contexts to a list of (contexts, counts)."""
+    if len(places) < CONTEXTS // 4:
+        held.append(np.unique(places, return_counts=True))
+    else:
+        n = np.bincount(places, minlength=CONTEXTS)
+        met = np.flatnonzero(n)
+        held.append((met, n[met]))
+    if sum(len(x) for x, _ in held) > CONTEXTS // 4 and len(held) > 1:
+        held[:] = [summed(held)]
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    numbers, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    return numbers, np.bincount(of, np.concatenate([n for _, n in held])).astype(np.int64)
+
+
 def shorter(context: str, order: int) -> Column:
     """The number of the context of ``order`` characters within a longest one."""
     return F.floor(F.col(context) / F.lit(_KINDS ** (LONGEST - order))).cast("int")
 
 
+#: Characters worked on together; bounds the memory of a task.
+AT_ONCE = 2_000_000
 #: Ends that the estimate of a shorter context counts for in that of a longer one.
 STRENGTH = 2.0
 #: Bins of log-odds among which thresholds are sought, and texts' worth of all languages that each language gets.
@@ -278,8 +317,8 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
     it, whichever is less likely. Markup is read only to know the context; what stands in comments opens and closes
     nothing.
 
-    Every character of every text is counted. Counts are formed per partition in arrays bounded by the number of
-    contexts, and only contexts met, that some text ends in, are passed on.
+    Every character of every text is counted, in one pass. Counts are formed per partition, and only contexts met are
+    passed on, each once: a number bounded by the alphabet, whatever the size of the partition.
 
     Defined cases: null, empty and blank texts, and texts of marks alone, are not truncated and have null odds. Rows
     without a key are kept; a repeated key has a row each. A null source or language is a group of its own. Other
@@ -295,62 +334,68 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
         told = told.select(*rows.columns, F.coalesce("_notice", F.lit(False)).alias("_notice"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            lengths, ends, notes = [], [], []
-            for t, notice in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
-                main, comments, inside = parts(t, notice) if t else ("", "", False)
-                lengths.append(len(main) + len(comments))
-                ends.append(int(contexts(main)[-1]) if main else None)
-                notes.append(int(contexts(comments[-LONGEST:], True)[-1]) if inside else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(lengths, pa.int64()), pa.array(ends, pa.int32()), pa.array(notes, pa.int32())],
-                names=["_key", "_source", "_language", "_length", "_end", "_note"],
-            )
-
-    schema = f"_key {kind}, _source string, _language string, _length long, _end int, _note int"
-    stops = materialize(told.mapInArrow(scan, schema), "stops").withColumn("_said", F.coalesce("_language", F.lit("")))
+            texts, notice = b.column(1).to_pylist(), b.column(4).to_pylist()
+            said = [x or "" for x in b.column(3).to_pylist()]
+            at = 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and size < AT_ONCE:
+                    size += len(texts[to] or "")
+                    to += 1
+                lengths, ends, notes = block(texts[at:to], notice[at:to], said[at:to], counts)
+                part = b.slice(at, to - at)
+                yield rows_of(part.column(0), part.column(2), part.column(3), lengths, ends, notes)
+                at = to
+        for language_, held in counts.items():
+            numbers, n = summed(held)
+            nothing = [None] * len(n)
+            yield rows_of(pa.array(nothing, key_type), pa.array(nothing, pa.string()), pa.array([language_] * len(n), pa.string()), n, numbers, None)
+
+    def block(texts: list[str | None], notice: list[bool], said: list[str], counts: dict) -> tuple[list[int], list[int | None], list[int | None]]:
+        """Lengths and contexts of the ends of some texts; the contexts of all their places are added to the counts."""
+        lengths: list[int] = []
+        ends: list[int | None] = [None] * len(texts)
+        notes: list[int | None] = [None] * len(texts)
+        of: dict[str, list[tuple[int, str, str, bool]]] = {}
+        for i, t in enumerate(texts):
+            main, comments, inside = parts(t, notice[i]) if t else ("", "", False)
+            lengths.append(len(main) + len(comments))
+            if main or comments:
+                of.setdefault(said[i], []).append((i, main, comments, inside))
+        for name, several in of.items():
+            pieces = [x for _, main, comments, _ in several for x in (main, comments)]
+            states = [f(x) for _, main, comments, _ in several for f, x in ((place_states, main), (comment_states, comments))]
+            places = contexts(pieces, states)
+            last = np.cumsum([len(x) for x in pieces]) - 1
+            for j, (i, main, _, inside) in enumerate(several):
+                ends[i] = int(places[last[2 * j]]) if main else None
+                notes[i] = int(places[last[2 * j + 1]]) if inside else None
+            tally(places, counts.setdefault(name, []))
+        return lengths, ends, notes
+
+    def rows_of(keys: pa.Array, sources: pa.Array, languages: pa.Array, lengths, ends, notes) -> pa.RecordBatch:
+        """Rows of texts, or with ``notes`` None of counts: how many places there are of the context in _end."""
+        columns = [pa.array([notes is None] * len(keys)), keys, sources, languages, pa.array(lengths, pa.int64()), pa.array(ends, pa.int32())]
+        columns.append(pa.array([None] * len(keys) if notes is None else notes, pa.int32()))
+        return pa.RecordBatch.from_arrays(columns, names=["_count", "_key", "_source", "_language", "_length", "_end", "_note"])
+
+    key_type = to_arrow_type(documents.schema[key].dataType)
+    schema = f"_count boolean, _key {kind}, _source string, _language string, _length long, _end int, _note int"
+    scanned = materialize(told.mapInArrow(scan, schema), "stops")
+    stops = scanned.where("not _count").withColumn("_said", F.coalesce("_language", F.lit("")))
     ends = stops.select("_said", F.explode(F.array("_end", "_note")).alias("_context")).where("_context is not null")
     ends = materialize(ends.groupBy("_said", "_context").agg(F.count(F.lit(1)).alias("_ends")), "end-contexts")
-    # At most CONTEXTS numbers, whatever the size of the corpus.
-    wanted = np.sort(ends.select("_context").distinct().toPandas()["_context"].to_numpy(np.int64))
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = shared.value
-        slot = np.zeros(CONTEXTS, np.int32)
-        slot[sought] = np.arange(1, len(sought) + 1)
-        longest: dict[str, np.ndarray] = {}
-        short = np.zeros(CONTEXTS // _KINDS, np.int64)
-        for b in batches:
-            held: dict[str, list[np.ndarray]] = {}
-            for t, said, notice in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                main, comments, _ = parts(t, notice) if t else ("", "", False)
-                held.setdefault(said, []).extend([contexts(main), contexts(comments, True)])
-            for said, several in held.items():
-                places = np.concatenate(several)
-                short += np.bincount(places // _KINDS, minlength=len(short))
-                longest[said] = longest.get(said, 0) + np.bincount(slot[places], minlength=len(sought) + 1)
-        for said, n in longest.items():
-            met = np.flatnonzero(n[1:])
-            yield table(said, LONGEST, sought[met], n[1:][met])
-        for order in range(LONGEST):
-            n = short.reshape(-1, _KINDS ** (LONGEST - 1 - order)).sum(1)
-            met = np.intersect1d(np.flatnonzero(n), sought // _KINDS ** (LONGEST - order))
-            yield table(None, order, met, n[met])
-
-    def table(said: str | None, order: int, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([said] * len(n), pa.string()), pa.array(np.full(len(n), order, np.int32)), pa.array(numbers.astype(np.int32)), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["_said", "_order", "_context", "_all"])
-
-    met = told.select("_text", F.coalesce("_language", F.lit("")).alias("_said"), "_notice").mapInArrow(count, "_said string, _order int, _context int, _all long")
-    met = materialize(met.groupBy("_said", "_order", "_context").agg(F.sum("_all").alias("_all")), "places")
+    places = scanned.where("_count").groupBy(F.col("_language").alias("_said"), F.col("_end").alias("_context")).agg(F.sum("_length").alias("_all"))
+    places = materialize(places, "places")
     # One row per language and longest context, with the counts of all contexts within it.
-    model = ends.join(met.where(F.col("_order") == LONGEST).select("_said", "_context", F.col("_all").alias("_alls")), ["_said", "_context"], "left")
+    model = ends.join(places.withColumnRenamed("_all", "_alls"), ["_said", "_context"], "left")
     model = model.withColumnRenamed("_ends", "_endss")
     for k in range(LONGEST + 1):
         own = ends.groupBy(shorter("_context", k).alias(f"_c{k}")).agg(F.sum("_ends").alias(f"_e{k}"))
-        places = met.where(F.col("_order") == k).groupBy(F.col("_context").alias(f"_c{k}")).agg(F.sum("_all").alias(f"_a{k}"))
-        model = model.withColumn(f"_c{k}", shorter("_context", k)).join(own.join(places, f"_c{k}", "left"), f"_c{k}").drop(f"_c{k}")
+        all_ = places.groupBy(shorter("_context", k).alias(f"_c{k}")).agg(F.sum("_all").alias(f"_a{k}"))
+        model = model.withColumn(f"_c{k}", shorter("_context", k)).join(own.join(all_, f"_c{k}", "left"), f"_c{k}").drop(f"_c{k}")
     base = stops.where("_end is not null or _note is not null").groupBy("_said").agg(F.count(F.lit(1)).alias("_texts"), F.sum("_length").alias("_places"))
     model = model.join(base.select("_said", (F.col("_texts") / F.greatest(F.col("_places"), F.col("_texts") + 1)).alias("_base")), "_said")
     p = F.col("_base")

@@ -248,10 +248,16 @@ def test_truncated_of_nothing(spark):
 
 
 def test_contexts_are_exact():
-    text = "Some wörds, 漢字 and 12.5 more.\n"
-    places = T.contexts(text, True)
-    codes = T._codes(text).tolist()
-    for n in range(3, len(text)):
-        state, *last = [int(places[n]) // T._KINDS**k % (T._KINDS if k < 3 else T._STATES) for k in (3, 2, 1, 0)]
-        assert state == T.IN_COMMENT and last == [codes[n], codes[n - 1], codes[n - 2]]
-        assert T.contexts(text[: n + 1][-3:], True)[-1] == places[n]
+    texts = ["Some wörds, 漢字 and 12.5 more.\n", "", "x", "yz", "", "$a$ tail", "q"]
+    states = [T.place_states(t) for t in texts]
+    places = T.contexts(texts, states).tolist()
+    want = []
+    for t, s in zip(texts, states):
+        codes = [0, 0, *T._codes(t).tolist()]
+        want += [((int(s[n]) * 69 + codes[n + 2]) * 69 + codes[n + 1]) * 69 + codes[n] for n in range(len(t))]
+    assert places == want and T._KINDS == 69
+    held = []
+    for part in (places[:9], places[9:]):
+        T.tally(np.array(part), held)
+    numbers, n = T.summed(held)
+    assert dict(zip(numbers.tolist(), n.tolist())) == {x: want.count(x) for x in want}
