@@ -117,6 +117,10 @@ def place_states(text: str) -> np.ndarray:
         at, after = m.end() - 1, PLAIN
         if kind == 2:
             name = m[2].strip()
+            if not (inner or inline or display):
+                # A name in its braces; one that breaks off there looks the same.
+                starts.append(max(m.start(2) - 1, starts[-1]))
+                kinds.append(IN_BRACES)
             if m[1] == "begin":
                 stack.append(name)
                 inner += name != "document"
@@ -163,10 +167,21 @@ def place_states(text: str) -> np.ndarray:
     out = np.repeat(np.array(kinds, np.uint8), np.diff(np.array([*starts, len(text)])))
     if "\\" in text:
         for m in _COMMAND_LINE.finditer(text):
-            end = m.end()
-            if out[end - 1] in (PLAIN, AFTER_ENVIRONMENT, IN_EARLIER_BRACES):
-                ink = _INK.search(text, end)
-                out[end - 1 : ink.start() if ink else len(text)] = AFTER_COMMAND
+            if out[m.end() - 1] in (PLAIN, IN_EARLIER_BRACES):
+                ink = _INK.search(text, m.end())
+                out[m.end() - 1 : ink.start() if ink else len(text)] = AFTER_COMMAND
+    return out
+
+
+def command_names(text: str, states: np.ndarray) -> list[tuple[int, int, str]]:
+    """The stretches of a text that stand after a line that is one command, with the start of the command's name."""
+    at = np.flatnonzero(states == AFTER_COMMAND)
+    if not len(at):
+        return []
+    out = []
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        line = text.rfind("\n", 0, int(run[0])) + 1
+        out.append((int(run[0]), int(run[-1]) + 1, text[line : run[0] + 1].lstrip()[1 : 1 + LONGEST]))
     return out
 
 
@@ -197,6 +212,7 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _KINDS = 69
+_BARE = np.isin(np.arange(_STATES), [AFTER_ENVIRONMENT, AFTER_FORMULA, AFTER_ENTRY, AFTER_DOCUMENT])
 #: A context is the state of a place and the classes of its last characters. Contexts have numbers of their own, one
 #: for each, so the model's size is bounded by the alphabet and does not grow with the corpus.
 LONGEST = 3
@@ -212,6 +228,8 @@ def contexts(texts: list[str], states: list[np.ndarray]) -> np.ndarray:
     """The number of the longest context of each place of several texts, one after another.
 
     Divided by the classes it is that of a shorter context. Places before the third of a text have a 0 for what is not there.
+    Right after something has been closed, and after the document, the state is all that counts; after a command, the
+    start of its name counts instead of the last characters.
     """
     codes = _codes("".join(texts)).astype(np.int32)
     out = np.concatenate([np.zeros(0, np.uint8), *states]).astype(np.int32)
@@ -224,7 +242,17 @@ def contexts(texts: list[str], states: list[np.ndarray]) -> np.ndarray:
             at = starts + j
             at = at[at < len(codes)]
             at = at[lengths[lengths > 0][: len(at)] > j]
-            out[at] -= np.where(at >= k, codes[at - k], 0)
+            out[at] -= np.where(at >= k, codes[np.maximum(at - k, 0)], 0)
+    bare = _BARE[out // _KINDS**LONGEST]
+    out[bare] -= out[bare] % _KINDS**LONGEST
+    begin = 0
+    for text, own in zip(texts, states, strict=True):
+        for a, b, name in command_names(text, own) if own.any() else ():
+            number = AFTER_COMMAND
+            for c in (*_codes(name).tolist(), 0, 0, 0)[:LONGEST]:
+                number = number * _KINDS + c
+            out[begin + a : begin + b] = number
+        begin += len(own)
     return out
 
 
@@ -259,7 +287,7 @@ AT_ONCE = 2_000_000
 #: Ends that the estimate of a shorter context counts for in that of a longer one.
 STRENGTH = 2.0
 #: Bins of log-odds among which thresholds are sought, and texts' worth of all languages that each language gets.
-BIN, LOW, HIGH, SHARED = 0.25, -1.0, 4.0, 50.0
+BIN, LOW, HIGH, SHARED = 0.25, -1.0, 2.0, 50.0
 #: Up to so many contexts go to every task; more meet the stops in a join with the hot ones split off.
 BROADCAST_ROWS = 500_000
 
@@ -313,8 +341,9 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
     within the text's own. The log-odds of an end against going on, above those of any place of the language, are the
     text's ``odds``. Ends of cut texts fall on any place and finished ones on few, so odds come in two heaps; the
     emptiest stretch between them, found for each language with some weight of all, is its ``threshold``, and what
-    lies below is truncated. A text that stops in a comment is judged by the comment's end and by the end before
-    it, whichever is less likely. Markup is read only to know the context; what stands in comments opens and closes
+    lies below is truncated. A text that stops in a comment is judged by the comment's end, taken as one or as
+    plain text, whichever is likelier, and by the end before it, whichever is less likely; after the end of the document
+    a comment does not matter. Markup is read only to know the context; what stands in comments opens and closes
     nothing.
 
     Every character of every text is counted, in one pass. Counts are formed per partition, and only contexts met are
@@ -344,20 +373,20 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
                 while to < len(texts) and size < AT_ONCE:
                     size += len(texts[to] or "")
                     to += 1
-                lengths, ends, notes = block(texts[at:to], notice[at:to], said[at:to], counts)
                 part = b.slice(at, to - at)
-                yield rows_of(part.column(0), part.column(2), part.column(3), lengths, ends, notes)
+                yield rows_of(part.column(0), part.column(2), part.column(3), *block(texts[at:to], notice[at:to], said[at:to], counts))
                 at = to
         for language_, held in counts.items():
             numbers, n = summed(held)
             nothing = [None] * len(n)
-            yield rows_of(pa.array(nothing, key_type), pa.array(nothing, pa.string()), pa.array([language_] * len(n), pa.string()), n, numbers, None)
+            yield rows_of(pa.array(nothing, key_type), pa.array(nothing, pa.string()), pa.array([language_] * len(n), pa.string()), n, numbers)
 
-    def block(texts: list[str | None], notice: list[bool], said: list[str], counts: dict) -> tuple[list[int], list[int | None], list[int | None]]:
+    def block(texts: list[str | None], notice: list[bool], said: list[str], counts: dict) -> tuple[list[int], list[int | None], list[int | None], list[int | None]]:
         """Lengths and contexts of the ends of some texts; the contexts of all their places are added to the counts."""
         lengths: list[int] = []
         ends: list[int | None] = [None] * len(texts)
         notes: list[int | None] = [None] * len(texts)
+        plain: list[int | None] = [None] * len(texts)
         of: dict[str, list[tuple[int, str, str, bool]]] = {}
         for i, t in enumerate(texts):
             main, comments, inside = parts(t, notice[i]) if t else ("", "", False)
@@ -369,20 +398,23 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
             states = [f(x) for _, main, comments, _ in several for f, x in ((place_states, main), (comment_states, comments))]
             places = contexts(pieces, states)
             last = np.cumsum([len(x) for x in pieces]) - 1
-            for j, (i, main, _, inside) in enumerate(several):
+            for j, (i, main, comments, inside) in enumerate(several):
                 ends[i] = int(places[last[2 * j]]) if main else None
-                notes[i] = int(places[last[2 * j + 1]]) if inside else None
+                if inside and not (main and states[2 * j][-1] == AFTER_DOCUMENT):
+                    notes[i] = int(places[last[2 * j + 1]])
+                    line = comments[comments.rfind("\n") + 1 :].lstrip("% \t")
+                    plain[i] = int(contexts([line], [place_states(line)])[-1]) if line else None
             tally(places, counts.setdefault(name, []))
-        return lengths, ends, notes
+        return lengths, ends, notes, plain
 
-    def rows_of(keys: pa.Array, sources: pa.Array, languages: pa.Array, lengths, ends, notes) -> pa.RecordBatch:
-        """Rows of texts, or with ``notes`` None of counts: how many places there are of the context in _end."""
+    def rows_of(keys: pa.Array, sources: pa.Array, languages: pa.Array, lengths, ends, notes=None, plain=None) -> pa.RecordBatch:
+        """Rows of texts, or without ``notes`` of counts: how many places there are of the context in _end."""
         columns = [pa.array([notes is None] * len(keys)), keys, sources, languages, pa.array(lengths, pa.int64()), pa.array(ends, pa.int32())]
-        columns.append(pa.array([None] * len(keys) if notes is None else notes, pa.int32()))
-        return pa.RecordBatch.from_arrays(columns, names=["_count", "_key", "_source", "_language", "_length", "_end", "_note"])
+        columns += [pa.array([None] * len(keys) if x is None else x, pa.int32()) for x in (notes, plain)]
+        return pa.RecordBatch.from_arrays(columns, names=["_count", "_key", "_source", "_language", "_length", "_end", "_note", "_plain"])
 
     key_type = to_arrow_type(documents.schema[key].dataType)
-    schema = f"_count boolean, _key {kind}, _source string, _language string, _length long, _end int, _note int"
+    schema = f"_count boolean, _key {kind}, _source string, _language string, _length long, _end int, _note int, _plain int"
     scanned = materialize(told.mapInArrow(scan, schema), "stops")
     stops = scanned.where("not _count").withColumn("_said", F.coalesce("_language", F.lit("")))
     ends = stops.select("_said", F.explode(F.array("_end", "_note")).alias("_context")).where("_context is not null")
@@ -409,7 +441,7 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
     model = materialize(model.select(F.concat_ws(":", "_context", "_said").alias("_at"), odds.alias("_odds")), "model")
     small = model.count() <= BROADCAST_ROWS
     judged = stops
-    for place in ("_end", "_note"):
+    for place in ("_end", "_note", "_plain"):
         judged = judged.withColumn("_at", F.when(F.col(place).isNotNull(), F.concat_ws(":", place, "_said")))
         if small:
             judged = judged.join(F.broadcast(model), "_at", "left")
@@ -417,7 +449,7 @@ def truncated(documents: DataFrame, key: str, text: str, source: str, language:
             hot = heavy_keys(judged.groupBy("_at").agg(F.count(F.lit(1)).alias("_n")), "_at", "_n", judged.count())
             judged = lookup_join(judged, model, "_at", "left", hot)
         judged = judged.withColumnRenamed("_odds", f"_odds{place}").drop("_at")
-    judged = materialize(judged.select("_key", "_source", "_language", "_said", F.least("_odds_end", "_odds_note").alias("_odds")), "odds")
+    judged = materialize(judged.select("_key", "_source", "_language", "_said", F.least("_odds_end", F.greatest("_odds_note", "_odds_plain")).alias("_odds")), "odds")
     bins = judged.where("_odds is not null").groupBy("_said", F.floor(F.col("_odds") / BIN).cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
     bins = materialize(bins, "odds-bins")
     pooled = bins.groupBy("_bin").agg(F.sum("_n").alias("_n")).toPandas()  # a row per bin that occurs

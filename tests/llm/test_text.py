@@ -256,6 +256,10 @@ def test_contexts_are_exact():
         codes = [0, 0, *T._codes(t).tolist()]
         want += [((int(s[n]) * 69 + codes[n + 2]) * 69 + codes[n + 1]) * 69 + codes[n] for n in range(len(t))]
     assert places == want and T._KINDS == 69
+    for t in ("x", "yz", "abc"):
+        assert T.contexts([t], [T.place_states(t)]).tolist() == T.contexts(["w" * 9, t], [T.place_states("w" * 9), T.place_states(t)]).tolist()[9:]
+    closed = "a\n\\end{x}\n\n"
+    assert T.contexts([closed], [T.place_states(closed)])[-1] == T.AFTER_ENVIRONMENT * 69**3
     held = []
     for part in (places[:9], places[9:]):
         T.tally(np.array(part), held)
