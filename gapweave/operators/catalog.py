@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gapweave.operators.paths import absolute, is_like_prefix, is_under
 from gapweave.operators.windows import number_items
-from gapweave.runtime import Manifests, _fs
+from gapweave.runtime import Manifests, _fs, materialize
 
 # ---------------------------------------------------------------------------------------------------
 # Functions
@@ -192,11 +192,13 @@ class Catalogue:
     def store(self, results: DataFrame) -> None:
         """Put in or replace files with their hashes and profiles: rows (name, fps, duration, index, brightness).
 
-        ``index`` is an array of (frame, hash). Cached media facts of these files are dropped. One commit holds all.
+        ``index`` is an array of (frame, hash). Cached media facts of these files are dropped. One commit holds all. Of
+        several results of one name one is taken, as a whole.
         """
+        results = materialize(results.where(F.col("name").isNotNull()).dropDuplicates(["name"]), "results")
         files = upsert_by_name(self.table("files"), results.select("name", "fps", "duration"))
         ids = files.select("id", "name")
-        rows = results.dropDuplicates(["name"]).join(ids, "name")
+        rows = materialize(results.join(ids, "name"), "stored-results")
         hashes = rows.select(F.col("id").alias("filename_id"), F.explode("index").alias("_i")).select("filename_id", "_i.frame", "_i.hash")
         profiles = rows.select(F.col("id").alias("filename_id"), "brightness")
         gone = rows.select(F.col("id").alias("filename_id"))

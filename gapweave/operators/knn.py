@@ -168,9 +168,34 @@ def _fine(items: DataFrame, item: str, vector: str, radius: float, length: int |
     return grid_pairs(items, item, vector, length, radius, step, blocks=6)
 
 
-#: The known ways, in order of preference; ``topk20`` keeps the 20 nearest of each query. ``fine`` is ``grid`` with
+#: Below this share of pairs that share cells the grid is the cheaper way; a pair costs it some 20 times as much.
+GRID_SHARE = 0.02
+
+
+def cell_share(items: DataFrame, vector: str, length: int, radius: float, blocks: int = 3) -> float:
+    """About which share of all pairs ``grid_pairs`` would compare, from the spread of the block sums; 1 if nothing is known."""
+    edges = [i * length // min(blocks, length) for i in range(min(blocks, length) + 1)]
+    sums = [sum((F.get(F.col(vector), F.lit(i)) for i in range(a + 1, b)), F.get(F.col(vector), F.lit(a))) for a, b in zip(edges, edges[1:], strict=False)]
+    row = items.agg(*[F.percentile_approx(x.cast("double"), [0.25, 0.75], 1000) for x in sums]).first()
+    share = 1.0
+    for quarters, a, b in zip(row, edges, edges[1:], strict=False):
+        if quarters is None:
+            return 1.0
+        # Half of all values lie between the quarters; a cell and its reach are six times the reach wide.
+        share *= min(1.0, 0.5 * 6 * radius * (b - a) ** 0.5 / max(quarters[1] - quarters[0], 1e-12))
+    return share
+
+
+def _auto(items: DataFrame, item: str, vector: str, radius: float, length: int | None, step: int) -> DataFrame:
+    if length is not None and cell_share(items, vector, length, radius) < GRID_SHARE:
+        return grid_pairs(items, item, vector, length, radius, step)
+    return radius_pairs(items, item, vector, radius, step)
+
+
+#: The known ways, in order of preference; ``auto`` measures the spread and takes ``grid`` or ``block``; ``topk20`` keeps the 20 nearest of each query. ``fine`` is ``grid`` with
 #: smaller cells and more rows, for radii of a tenth of the spread. More may be added.
 BACKENDS: dict[str, Backend] = {
+    "auto": Backend(_auto, True),
     "block": Backend(lambda df, i, v, r, n, step: radius_pairs(df, i, v, r, step), True),
     "grid": Backend(_grid, True),
     "fine": Backend(_fine, True),
@@ -179,7 +204,7 @@ BACKENDS: dict[str, Backend] = {
 }
 
 
-def neighbours(items: DataFrame, item: str, vector: str, radius: float, backend: str = "block", length: int | None = None, step: int = 1) -> DataFrame:
+def neighbours(items: DataFrame, item: str, vector: str, radius: float, backend: str = "auto", length: int | None = None, step: int = 1) -> DataFrame:
     """Neighbours (q, item, d2) by a named backend; an unknown name is an error."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}; there are {', '.join(BACKENDS)}")

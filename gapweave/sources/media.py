@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
+import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from gapweave.operators.catalog import hash_method
 from gapweave.operators.paths import DEFAULT_EXTENSIONS, importable
 
 PROBE = ["ffprobe", "-v", "error", "-show_streams", "-show_format", "-of", "json"]
+DECODER = ["ffmpeg"]
 PROBE_SECONDS = 30
 _STREAM = (
     "codec_type string, codec_name string, width int, height int, avg_frame_rate string, r_frame_rate string, disposition struct<attached_pic:int>"
@@ -100,37 +104,94 @@ def read_header(headers: DataFrame, text: str = "header") -> DataFrame:
     return out.withColumn("frames", F.when(F.col("fps") > 0, F.bround(F.col("duration") * F.col("fps"), 0).cast("long"))).drop("_first", "_last", "_time")
 
 
-def frame_brightness(files: DataFrame, method: str, width: int, height: int, path: str = "path", program: str = "ffmpeg") -> DataFrame:
-    """Decode files and average each frame: (path, frame, value). What was read before an error is kept.
+def decode_frames(
+    files: DataFrame, method: str, width: int | None = None, height: int | None = None, path: str = "path", program: list[str] | str = "ffmpeg"
+) -> DataFrame:
+    """Decode files and average each frame over all its bytes: (path, frame, value, error).
 
-    Frames are scaled to ``width`` by ``height`` after the method's own filter and read one at a time, so a
-    task holds a single frame.
+    Frames come as the method's own filter leaves them, each with its size before it; ``width`` and ``height`` are for
+    programs that send bare frames of a known size. One frame is held at a time. A file that fails has one row
+    more, with an error and no frame; what was read before is kept, and other files go on.
     """
-    video_filter, size = f"{hash_method(method).video_filter},scale={width}:{height}", width * height * 3
+    video_filter, command = hash_method(method).video_filter, [program] if isinstance(program, str) else list(program)
+    form = ["-f", "image2pipe", "-c:v", "ppm"] if width is None else ["-f", "rawvideo", "-pix_fmt", "rgb24"]
+
+    def next_size(out) -> int:
+        """Bytes of the frame that follows, 0 at the end."""
+        if width is not None and height is not None:
+            return width * height * 3
+        words: list[bytes] = []
+        while len(words) < 4:
+            line = out.readline()
+            if not line:
+                return 0
+            words += line.split(b"#")[0].split()
+        if words[0] != b"P6":
+            raise ValueError("the decoder sent no frame")
+        return int(words[1]) * int(words[2]) * 3
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "frame", "value", "error"]
         for pdf in batches:
             for p in pdf["path"]:
-                command = [program, "-v", "error", "-i", p, "-vf", video_filter, "-f", "rawvideo", "-pix_fmt", "rgb24", "-"]
+                frame, values, error = 0, [], None
                 try:
-                    process = subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+                    process = subprocess.Popen(
+                        [*command, "-v", "error", "-i", p, "-vf", video_filter, *form, "-"], stdout=subprocess.PIPE, stderr=subprocess.PIPE, stdin=subprocess.DEVNULL
+                    )
                 except FileNotFoundError:
+                    yield pd.DataFrame([(p, None, None, "decoder not found")], columns=names)
                     continue
-                frame, values = 0, []
+                said: list[bytes] = []
+                listener = threading.Thread(target=lambda err=process.stderr, said=said: said.append(err.read()), daemon=True)
+                listener.start()
                 with process:
-                    while process.stdout is not None and len(raw := process.stdout.read(size)) == size:
-                        values.append((p, frame, sum(raw) / size))
-                        frame += 1
-                        if len(values) == 10_000:
-                            yield pd.DataFrame(values, columns=["path", "frame", "value"])
-                            values = []
-                yield pd.DataFrame(values, columns=["path", "frame", "value"])
+                    try:
+                        while (size := next_size(process.stdout)) and len(raw := process.stdout.read(size)) == size:
+                            values.append((p, frame, float(np.frombuffer(raw, np.uint8).mean()), None))
+                            frame += 1
+                            if len(values) == 10_000:
+                                yield pd.DataFrame(values, columns=names)
+                                values = []
+                    except ValueError as e:
+                        error = str(e)
+                        process.kill()
+                    listener.join()
+                if process.returncode and error is None:
+                    error = b"".join(said).decode("utf-8", "replace").strip() or f"exit code {process.returncode}"
+                if error is None and not frame:
+                    error = "no frames"
+                if error is not None:
+                    values.append((p, None, None, error))
+                yield pd.DataFrame(values, columns=names).astype({"frame": "Int32"})
+
+    return files.select(F.col(path).alias("path")).mapInPandas(work, "path string, frame int, value double, error string")
+
+
+def frame_brightness(files: DataFrame, method: str, width: int | None = None, height: int | None = None, path: str = "path", program: list[str] | str = "ffmpeg") -> DataFrame:
+    """The frames that ``decode_frames`` reads: (path, frame, value)."""
+    return decode_frames(files, method, width, height, path, program).where("error is null").select("path", "frame", "value")
+
+
+def probe_media(files: DataFrame, key: str = "filename_id", name: str = "name", command: list[str] | None = None) -> DataFrame:
+    """Media facts of named files: (key, extension, codec, width, height, file_size). What cannot be found is null, the codec ``unknown``."""
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for p in b["path"]:
+                try:
+                    found.append(os.path.getsize(p))
+                except OSError:
+                    found.append(None)
+            yield pd.DataFrame({"path": b["path"], "file_size": pd.array(found, "Int64")})
 
-    return files.select(F.col(path).alias("path")).mapInPandas(work, "path string, frame int, value double")
+    names = files.where(F.col(name).isNotNull()).select(F.col(name).alias("path")).distinct()
+    seen = read_probe(run_probe(names, command=command)).join(names.mapInPandas(sizes, "path string, file_size long"), "path")
+    facts = seen.select(F.col("path").alias(name), scalar.extension_or_unknown(F.col("path")).alias("extension"), "codec", "width", "height", "file_size")
+    return files.select(key, name).join(facts, name).drop(name)
 
 
 def readable(files: DataFrame, listing: DataFrame, name: str = "name") -> DataFrame:
     """Files that a listing of what can be read holds."""
     return files.join(listing.select(name).distinct(), name, "left_semi")
-
-

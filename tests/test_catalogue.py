@@ -159,6 +159,54 @@ def test_decoded_frames(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("v", 0, 2.0), ("v", 1, 4.0)]
 
 
+def test_frames_of_their_own_size_and_failures(spark, tmp_path):
+    script = tmp_path / "decode"
+    script.write_text("#!/bin/sh\ncase \"$*\" in *bad*) echo broken >&2; printf 'P6\\n1 1\\n255\\nabc'; exit 3;; *none*) exit 0;; esac\n"
+                      "printf 'P6\\n2 1\\n255\\n\\001\\002\\003\\001\\002\\003P6\\n# note\\n1 1\\n255\\n\\004\\004\\007'\n")
+    script.chmod(0o755)
+    files = spark.createDataFrame([("good",), ("bad",), ("none",)], "path string")
+    out = {(r.path, r.frame): (r.value, r.error) for r in media.decode_frames(files, "legacy-center", program=str(script)).collect()}
+    assert out == {("good", 0): (2.0, None), ("good", 1): (5.0, None), ("bad", 0): (98.0, None), ("bad", None): (None, "broken"), ("none", None): (None, "no frames")}
+    missing = media.decode_frames(files.limit(1), "legacy-center", program="nosuch-program").collect()
+    assert [r.error for r in missing] == ["decoder not found"]
+
+
+def test_import_and_report(spark, tmp_path, monkeypatch, capsys):
+    """The recorded method is used, each file is decoded once, failures are told, and results get their media facts."""
+    log = tmp_path / "log"
+    (tmp_path / "probe").write_text(
+        "#!/bin/sh\nfor f; do :; done\ncase \"$f\" in *bad*) echo broken >&2; exit 1;; *slow*) r=1/20;; *) r=1/1;; esac\n"
+        'echo "{\\"streams\\": [{\\"codec_type\\": \\"video\\", \\"codec_name\\": \\"h264\\", \\"width\\": 4, \\"height\\": 2, \\"avg_frame_rate\\": \\"$r\\"}], \\"format\\": {\\"duration\\": \\"60\\"}}"\n'
+    )
+    frames = "".join(f"printf 'P6\\n1 1\\n255\\n\\{v:03o}\\{v:03o}\\{v:03o}'\n" for v in [1, 9, 1] * 1 + [1] * 12 + [8, 1] + [1] * 14 + [7, 1])
+    (tmp_path / "decode").write_text(f'#!/bin/sh\necho "$*" >> {log}\n{frames}')
+    for n in ("probe", "decode"):
+        (tmp_path / n).chmod(0o755)
+    monkeypatch.setattr(media, "PROBE", [str(tmp_path / "probe")])
+    monkeypatch.setattr(media, "DECODER", [str(tmp_path / "decode")])
+    (tmp_path / "films").mkdir()
+    for n in ("a.mp4", "b.mp4", "bad.mp4", "slow.mp4"):
+        (tmp_path / "films" / n).write_bytes(b"12345")
+        os.utime(tmp_path / "films" / n, (1_600_000_000, 1_600_000_000))
+    folder = f"file://{tmp_path}/cat"
+    Catalogue(spark, folder).open("full-frame")
+    assert cli.main([folder, "--dir", str(tmp_path / "films"), "--numjobs", "2"], spark) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert said[-1] == "4 scanned, 0 known, 4 queued, 2 imported, 2 failed" and any("bad.mp4: broken" in x for x in said) and any("slow.mp4: frame rate too low" in x for x in said)
+    decoded = log.read_text().splitlines()
+    assert len(decoded) == 2 and all("scale=128:72:flags=fast_bilinear -f" in x for x in decoded)
+    c = Catalogue(spark, folder)
+    assert sorted((r.frame, r.hash) for r in c.table("hashes").collect()) == [(1, 1.0), (1, 1.0), (15, 14.0), (15, 14.0), (31, 16.0), (31, 16.0)]
+    assert cli.main([folder, "--dir", str(tmp_path / "films")], spark) == 0
+    assert capsys.readouterr().out.splitlines()[-1] == "4 scanned, 2 known, 2 queued, 0 imported, 2 failed"
+    saved = spark.createDataFrame([(1, r.id, r.name, 1.0, 60.0, 0.0) for r in c.table("files").collect()], tables.SAVED)
+    tables.write_saved(saved, f"{tmp_path}/res")
+    for counts in ("0 at hand, 2 probed, 2 stored", "2 at hand, 0 probed, 0 stored"):
+        cli.main([folder, "--searchres", f"{tmp_path}/res"], spark)
+        said = capsys.readouterr().out
+        assert counts in said and said.count("codec=h264 resolution=4x2 size=5.00 B") == 2
+
+
 def test_saved_results(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, "/é", 25.0, None, 3.0)], tables.SAVED)
     tables.write_saved(df, f"{tmp_path}/s")

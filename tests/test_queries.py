@@ -46,3 +46,10 @@ def test_known_counts(spark):
     assert q["knn_radius"](spark, D).count() == 158
     assert q["duplicate_pairs"](spark, D).count() == 2
     assert q["group_sizes"](spark, D).count() == 2
+
+
+def test_projections_miss_few_pairs(spark):
+    q = registry.queries()
+    exact = {(r.q, r.item) for r in q["knn_embeddings"](spark, D).collect()}
+    found = {(r.q, r.item) for r in q["knn_lsh"](spark, D).select("q", "item").collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 0

@@ -134,6 +134,16 @@ def test_backends(spark):
     assert knn.radius_pairs(df.where("false"), "id", "v", 1.0).count() == 0
 
 
+def test_cells_are_chosen_where_they_part_most_pairs(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.uniform(0, 60, (300, 12)))], "id long, v array<double>")
+    assert knn.cell_share(df, "v", 12, 0.3) < knn.GRID_SHARE < knn.cell_share(df, "v", 12, 20.0) <= 1.0
+    assert knn.cell_share(df.where("false"), "v", 12, 0.3) == 1.0
+    for radius in (0.3, 20.0):
+        same = {(r.q, r.item) for r in knn.radius_pairs(df, "id", "v", radius).collect()}
+        assert {(r.q, r.item) for r in knn.neighbours(df, "id", "v", radius, length=12).collect()} == same
+
+
 def test_topk_ties(spark):
     df = spark.createDataFrame([(0, i, 1.0) for i in range(30)], "q long, item long, d2 double")
     assert sorted(r.item for r in knn.nearest(df, 20).collect()) == list(range(20))
