@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.operators.skew import many_join
+from gapweave.runtime import materialize
+
 _COMMAND = re.compile(r"\\[a-z]*")
 _GAP = re.compile(rb"[^a-z0-9]")
 _WORD = np.zeros(256, bool)
@@ -180,7 +183,10 @@ def leaks(
     kind, item_kind = dict(corpus.dtypes)[key], dict(items.dtypes)[item]
     prints = _prints(items, item, item_text, gram, span).withColumnRenamed("_key", "_item")
     if (items.agg(F.sum(F.length(item_text))).first()[0] or 0) > broadcast_chars:
-        pairs = _prints(corpus, key, text, gram, span).join(prints.withColumnRenamed("_around", "_other"), "_hash")
+        # Grams that many texts share are cut into pieces; a text's repeated passages count once.
+        mine = materialize(_prints(corpus, key, text, gram, span).distinct(), "corpus-prints")
+        theirs = materialize(prints.withColumnRenamed("_around", "_other").distinct(), "item-prints")
+        pairs = many_join(mine, theirs, ["_hash"])
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
