@@ -13,9 +13,8 @@ from gapweave.runtime import discard, materialize
 SPLIT_FROM = 1_000_000
 
 
-def _lookup(left: DataFrame, right: DataFrame, key: str, how: str, parts: int) -> DataFrame:
-    """Join to a table with one row per key, with the hot keys of a large ``left`` split off."""
-    total = left.count()
+def _lookup(left: DataFrame, total: int, right: DataFrame, key: str, how: str, parts: int) -> DataFrame:
+    """Join ``left``, of ``total`` rows, to a table with one row per key, with the hot keys of a large ``left`` split off."""
     if total < SPLIT_FROM:
         return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -40,21 +39,22 @@ def group_labels(pairs: DataFrame, first: str, second: str, parts: int = HEAVY_P
         .distinct(),
         "edges",
     )
-    labels = None
-    while not edges.isEmpty():
+    labels, nodes = None, 0
+    while links := edges.count():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         parents = materialize(ends.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("label")), "parents")
-        parents = _jump(parents, parts)
+        roots = parents.count()
+        parents = _jump(parents, roots, parts)
         if labels is None:
-            labels = parents
+            labels, nodes = parents, roots
         else:
             above = parents.select(F.col("node").alias("label"), F.col("label").alias("_root"))
-            moved = materialize(_lookup(labels, above, "label", "left", parts).select("node", F.coalesce("_root", "label").alias("label")), "labels")
+            moved = materialize(_lookup(labels, nodes, above, "label", "left", parts).select("node", F.coalesce("_root", "label").alias("label")), "labels")
             discard(labels)
             labels = moved
         as_a = parents.select(F.col("node").alias("a"), F.col("label").alias("_a"))
         as_b = parents.select(F.col("node").alias("b"), F.col("label").alias("_b"))
-        rewritten = _lookup(_lookup(edges, as_a, "a", "inner", parts), as_b, "b", "inner", parts)
+        rewritten = _lookup(_lookup(edges, links, as_a, "a", "inner", parts), links, as_b, "b", "inner", parts)
         nxt = materialize(rewritten.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
         discard(edges, *([parents] if parents is not labels else []))
         edges = nxt
@@ -65,11 +65,11 @@ def group_labels(pairs: DataFrame, first: str, second: str, parts: int = HEAVY_P
     return labels
 
 
-def _jump(parents: DataFrame, parts: int) -> DataFrame:
+def _jump(parents: DataFrame, total: int, parts: int) -> DataFrame:
     """Replace each node's parent by its parent's parent until all point to roots."""
     while True:
         above = parents.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        jumped = materialize(_lookup(parents, above, "label", "left", parts), "parents")
+        jumped = materialize(_lookup(parents, total, above, "label", "left", parts), "parents")
         done = jumped.where("_up is not null").isEmpty()
         nxt = jumped.select("node", F.coalesce("_up", "label").alias("label"))
         nxt._gapweave_path = jumped._gapweave_path
