@@ -180,6 +180,15 @@ def probes(spark: SparkSession, _: str) -> DataFrame:
     return source.read_probe(rows)
 
 
+def media_streams(s: SparkSession, d: str) -> DataFrame:
+    """The largest stream of each file, all its probes taken as the streams of one probe."""
+    rows = table(s, d, "media_info").where("filename_id is not null")
+    stream = F.struct("probe_id", F.lit("video").alias("codec_type"), F.col("codec").alias("codec_name"), "width", "height")
+    probed = rows.groupBy(F.col("filename_id").cast("string").alias("path")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(stream)).alias("streams"))).alias("json"))
+    best = source.read_probe(probed.withColumn("error", F.lit(None).cast("string")))
+    return best.select(F.col("path").cast("long").alias("filename_id"), "codec", F.coalesce("width", F.lit(-1)).alias("width"), F.coalesce("height", F.lit(-1)).alias("height"))
+
+
 def headers(spark: SparkSession, _: str) -> DataFrame:
     rows = source.read_header(spark.createDataFrame(_HEADERS, "n long, header string")).drop("header")
     return rows.fillna(-1)
@@ -221,6 +230,13 @@ QUERIES = {
     "resolutions": lambda s, d: table(s, d, "media_info").select("probe_id", scalar.resolution(F.col("width"), F.col("height")).alias("shown")).distinct(),
     "known_durations": lambda s, d: files(s, d).select("filename_id", F.round(scalar.known_duration(F.col("duration"), F.lit(None).cast("double"), F.lit(500), F.col("fps")), 6).alias("seconds"), scalar.known_fps(F.col("fps"), F.lit(None).cast("double")).alias("rate")),
     "valid_names": lambda s, d: named(s, d).select("id", scalar.valid_text(F.col("name")).alias("name")),
+    "parse_rate_files": lambda s, d: table(s, d, "filenames").select(
+        "id", F.round(scalar.parse_rate(F.concat(F.round(F.col("fps") * 1001).cast("bigint").cast("string"), F.lit("/1001"))), 6).alias("fps")),
+    "clock_to_seconds_files": lambda s, d: table(s, d, "filenames").where("duration >= 0 and duration < 86400").select(
+        "id", scalar.clock_seconds(scalar.format_duration(F.col("duration"))).alias("seconds")),
+    "parse_exts_media": lambda s, d: table(s, d, "media_info").where("filename_id is not null").groupBy("filename_id").agg(
+        F.array_join(scalar.parse_extensions(F.array_join(F.collect_list(F.concat(F.lit(" ."), F.upper("extension"))), ",")), ",").alias("exts")),
+    "best_stream_media": media_streams,
     "parse_rate": lambda s, d: constants(s, _RATES).select("n", F.round(scalar.parse_rate(F.col("x")), 6).alias("fps")),
     "clock_to_seconds": lambda s, d: constants(s, _CLOCKS).select("n", scalar.clock_seconds(F.col("x")).alias("seconds")),
     "parse_exts": lambda s, d: constants(s, _LISTS).select("n", F.array_join(scalar.parse_extensions(F.col("x")), ",").alias("exts")),
@@ -324,6 +340,12 @@ ORACLES = {
     "resolutions": f"select distinct probe_id, {_RES.format(w='width', h='height')} as shown from media_info",
     "known_durations": "select id as filename_id, round(coalesce(duration, case when fps > 0 then 500 / fps end), 6) as seconds, coalesce(case when fps > 0 then fps end, 25.0) as rate from filenames",
     "valid_names": "select id, name from filenames where name is not null",
+    "parse_rate_files": "select id, case when r > 0 and r <= 240 then round(r, 6) end as fps from (select id, cast(round(fps * 1001) as bigint) / 1001.0 as r from filenames) x",
+    "clock_to_seconds_files": "select id, floor(duration) as seconds from filenames where duration >= 0 and duration < 86400",
+    "parse_exts_media": """select filename_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list(lower(trim(regexp_replace(lower(trim(extension)), '^[.]+', '')))), lambda e: e <> ''))), ','), '') as exts
+      from media_info where filename_id is not null group by 1""",
+    "best_stream_media": """select filename_id, coalesce(codec, 'unknown') as codec, coalesce(width, -1) as width, coalesce(height, -1) as height from (
+      select *, row_number() over (partition by filename_id order by cast(coalesce(width, 0) as bigint) * coalesce(height, 0) desc, probe_id) as i from media_info where filename_id is not null) x where i = 1""",
     "parse_rate": "select * from (values (0, 25.0), (1, round(30000 / 1001.0, 6)), (2, null), (3, null), (4, null), (5, 24.0), (6, null), (7, null), (8, null)) t(n, fps)",
     "clock_to_seconds": "select * from (values (0, 3723.5), (1, 123.0), (2, 7.25), (3, null), (4, 0.0)) t(n, seconds)",
     "parse_exts": "select * from (values (0, 'avi,mkv,mp4'), (1, ''), (2, 'ts')) t(n, exts)",
