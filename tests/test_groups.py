@@ -189,3 +189,41 @@ def test_whole_search_against_brute_force(spark, tmp_path):
     got = registry.queries()["catalogue_groups_all"](spark, str(tmp_path)).collect()
     assert {(r.group, r.filename_id) for r in got} == want and len(got) == len(want)
     assert {f for _, f in want} == {1, 2, 3, 4, 5}
+
+
+def hoods(seed):
+    rng = random.Random(seed)
+    return [(q, f, 100 * q + f, f) for q in range(0, 90, 3) for f in rng.sample(range(-3, 20), rng.randint(2, 9))]
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_first_pairs_are_found_without_the_pairs_of_all_neighbourhoods(spark, monkeypatch, tasks):
+    reps = spark.createDataFrame(hoods(1), "q long, filename_id long, item long, frame int")
+    want = groups.first_reports(groups.file_pairs(reps))
+    monkeypatch.setattr(groups, "FIRST_TASKS", (tasks, tasks))
+    got = groups.first_pairs(reps)
+    assert sorted(map(tuple, got.select("q", "file1", "file2").collect())) == sorted(map(tuple, want.select("q", "file1", "file2").collect()))
+    ends = groups.first_pairs(reps, ends=True)
+    assert sorted(map(tuple, ends.select("q", "filename_id").collect())) == sorted(map(tuple, groups.endpoints(want).select("q", "filename_id").collect()))
+    assert groups.first_pairs(reps.where("false")).count() == groups.first_pairs(reps.where("false"), ends=True).count() == 0
+
+
+def test_forest_links_what_its_edges_link(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 3), rng.randint(-20, 20), rng.randint(-20, 20)) for _ in range(400)] + [(None, 1, 2), (1, None, 2)]
+    edges = spark.createDataFrame(rows, "q long, a long, b long")
+    few = groups.forest(edges.coalesce(1), "q", "a", "b")
+    labels = lambda e: sorted(map(tuple, groups.component_labels(e.where("a <> b"), "q", "a", "b").collect()))
+    assert labels(few) == labels(edges) and few.count() < 4 * 41
+
+
+def test_counts_of_classes(spark):
+    rng = random.Random(3)
+    named = {0: [0, 5, 9], 1: [1], 2: [2, 3, 30], 4: [4, 8], 6: [6, 7]}
+    shown = [(q, a, b, rng.random()) for q in named for a, b in itertools.combinations(range(6), 2) if rng.random() < 0.7]
+    schema = "q long, file1 long, file2 long, score double"
+    every = spark.createDataFrame([(x, a, b, s) for q, a, b, s in shown for x in named[q]], schema)
+    queries = spark.createDataFrame([(x, q) for q, xs in named.items() for x in xs], "q long, class long")
+    for rows in (shown, []):
+        classes = spark.createDataFrame(rows, schema)
+        assert groups.class_verify_counts(classes, queries, 0.8).collect() == groups.verify_counts(every if rows else classes, 0.8).collect()

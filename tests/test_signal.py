@@ -147,3 +147,35 @@ def test_cells_are_chosen_where_they_part_most_pairs(spark):
 def test_topk_ties(spark):
     df = spark.createDataFrame([(0, i, 1.0) for i in range(30)], "q long, item long, d2 double")
     assert sorted(r.item for r in knn.nearest(df, 20).collect()) == list(range(20))
+
+
+@pytest.mark.parametrize("step", [1, 3])
+@pytest.mark.parametrize("radius", [1.5, 2.5, 3.0])
+def test_windows_on_a_lattice_meet_in_places(spark, monkeypatch, step, radius):
+    """Gaps in whole steps are joined by place, not compared each with each or cell by cell."""
+    rng = np.random.default_rng(4)
+    v = 2.0 * rng.integers(-1, 3, (300, 5))
+    v[0] = 2.0**30
+    df = spark.createDataFrame([(i + 7, x.tolist()) for i, x in enumerate(v)] + [(None, [0.0] * 5), (999, None)], "id long, v array<double>")
+    for slow in ("radius_pairs", "grid_pairs"):
+        monkeypatch.setattr(knn, slow, None)
+    got = [tuple(r) for r in knn.of_classes(*knn.class_pairs(df, "id", "v", radius, 5, step)).select("q", "item", "d2").collect()]
+    d2 = ((v[:, None] - v[None]) ** 2).sum(2)
+    assert sorted(got) == [(i + 7, j + 7, d2[i, j]) for i in range(300) for j in range(300) if d2[i, j] < radius**2 and (i + 7) % step == 0]
+
+
+def test_classes_of_vectors_off_the_lattice(spark):
+    rng = np.random.default_rng(5)
+    v = rng.uniform(0, 3, (60, 3))
+    v[30:] = v[:30]
+    v[4, 1], v[5, 2] = float("nan"), float("inf")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    pairs = lambda rows: sorted((r.q, r.item) for r in rows.collect())
+    queries, near = knn.class_pairs(df, "id", "v", 1.0, 3, 2)
+    same = pairs(knn.radius_pairs(df, "id", "v", 1.0, 2))
+    assert pairs(knn.of_classes(queries, near)) == same
+    assert near.select("class").distinct().count() < queries.count()
+    firsts = {r[0] for r in queries.select("class").collect()}
+    for backend in ("auto", "block"):
+        assert pairs(knn.class_neighbours(df, "id", "v", 1.0, backend, 3, 2)) == [p for p in same if p[0] in firsts]
+    assert knn.class_pairs(df.where("false"), "id", "v", 1.0, 3)[1].count() == 0
