@@ -11,7 +11,7 @@ from gapweave.config import SearchParams
 from gapweave.operators import groups, profile, report
 from gapweave.operators.windows import playable_range
 from gapweave.plans import registry
-from gapweave.plans.search import Catalog, report_groups, search, search_items
+from gapweave.plans.search import Catalog, report_groups, scored_classes, scored_pairs, search, search_items
 
 X = [10, 20, 15, 40, 25, 50, 20]
 
@@ -227,3 +227,66 @@ def test_counts_of_classes(spark):
     for rows in (shown, []):
         classes = spark.createDataFrame(rows, schema)
         assert groups.class_verify_counts(classes, queries, 0.8).collect() == groups.verify_counts(every if rows else classes, 0.8).collect()
+
+
+def copied_hoods(seed, copies=4):
+    """Neighbourhoods in which most files have copies, which have the same segments: (q, file, segment)."""
+    rng = random.Random(seed)
+    rows = [(q, f, rng.randint(0, 3)) for q in range(0, 60, 3) for f in rng.sample(range(12), rng.randint(1, 5))]
+    return [(q, f + 100 * k, s) for q, f, s in rows for k in range(copies if f % 3 else 1)]
+
+
+def test_copies_are_one_class(spark):
+    rows = copied_hoods(6)
+    df = spark.createDataFrame(rows, "q long, file long, segment long")
+    members, heads = groups.file_classes(df, "file", ["q", "segment"])
+    same = {}
+    for q, f, s in rows:
+        same.setdefault(f, set()).add((q, s))
+    want = {f: min(g for g in same if same[g] == same[f]) for f in same}
+    assert {r.file: r["class"] for r in members.collect()} == want and members.count() == len(want)
+    assert sorted(map(tuple, heads.select("q", "class", "segment").collect())) == sorted({(q, want[f], s) for q, f, s in rows})
+    reps = df.select("q", F.col("file").alias("filename_id"), F.col("file").alias("item"))
+    first = groups.first_reports(groups.file_pairs(reps))
+    assert sorted(map(tuple, groups.first_pairs(reps).collect())) == sorted(map(tuple, first.select("q", "file1", "file2").collect()))
+    assert sorted(map(tuple, groups.first_pairs(reps, ends=True).collect())) == sorted(map(tuple, groups.endpoints(first).select("q", "filename_id").collect()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_of_copies_are_scored_as_classes(spark, seed):
+    rng = random.Random(seed)
+    rows = copied_hoods(seed)
+    likeness = {(a, b): rng.random() for a in range(4) for b in range(a, 4)}
+    by = {}
+    for q, f, s in rows:
+        by.setdefault(q, []).append((f, s))
+    shown = [(q, *sorted((f, g)), likeness[min(s, t), max(s, t)]) for q, fs in by.items() for (f, s), (g, t) in itertools.combinations(fs, 2)]
+    segments = sorted({(q, min(s, t), max(s, t), likeness[min(s, t), max(s, t)]) for q, fs in by.items() for (f, s), (g, t) in itertools.combinations(fs, 2)})
+    members = spark.createDataFrame(rows, "q long, file long, segment long")
+    scores = spark.createDataFrame(segments, "q long, segment1 long, segment2 long, score double")
+    scored = spark.createDataFrame(shown, "q long, file1 long, file2 long, score double")
+    assert sorted(map(tuple, scored_pairs(members, scores).collect())) == sorted(shown)
+    classes, pairs = scored_classes(members, scores)
+    queries = scored.select("q", F.col("q").alias("class")).distinct()
+    counted = groups.class_verify_counts(pairs.withColumnsRenamed({"class1": "file1", "class2": "file2"}), queries, 0.6)
+    assert counted.collect() == groups.verify_counts(scored, 0.6).collect()
+    reps = members.select("q", F.col("file").alias("filename_id"), F.col("file").alias("item"), F.col("file").cast("int").alias("frame"))
+    accepted = pairs.where("score >= 0.6").groupBy("class1", "class2").agg(F.min("q").alias("q"))
+    want = groups.verified_groups(reps, scored, 0.6)
+    assert sorted(map(tuple, groups.labelled_classes(reps, accepted, classes).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("word", [3, groups.WORD])
+def test_whitelisted_pairs_of_copies(spark, monkeypatch, word):
+    monkeypatch.setattr(groups, "WORD", word)
+    rng = random.Random(word)
+    reps = spark.createDataFrame([(q, f) for q, f, _ in copied_hoods(8, 5)], "q long, filename_id long")
+    files = sorted({r.filename_id for r in reps.collect()})
+    white = [tuple(rng.sample(files, 2)) for _ in range(300)] + [(a, b) for a in files if a % 100 == 4 for b in files] + [(None, 1), (files[0], -5)]
+    wl = spark.createDataFrame(white + white[:50], "id1 long, id2 long")
+    want = groups.without_whitelisted(groups.first_reports(groups.file_pairs(reps.withColumn("item", F.col("filename_id")))), wl)
+    classes, firsts = groups.first_class_pairs(reps)
+    got = groups.allowed_pairs(firsts, classes, "filename_id", wl).select("q", "file1", "file2")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("q", "file1", "file2").collect()))
+    ends = groups.allowed_ends(firsts, classes, "filename_id", wl)
+    assert sorted(map(tuple, ends.collect())) == sorted(map(tuple, groups.endpoints(want).select("q", "filename_id").collect()))
