@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapweave.operators.skew import HEAVY_PARTS, PIECE, heavy_keys, lookup_join, many_join
-from gapweave.runtime import Manifests, _fs, materialize
+from gapweave.runtime import Manifests, _fs, discard, discard_part, materialize, release
 
 #: Sets up to this size are ranked and compared in one task; larger ones are split over tasks.
 LARGE = 1 << 16
@@ -34,22 +34,38 @@ def token_order(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large: int = LARGE, heavy: DataFrame | None = None, largest: int | None = None) -> DataFrame:
+#: The sketch of a set: words of 64 bits, telling on which bits an odd number of its tokens falls.
+SKETCH = ("s0", "s1")
+
+
+def _sketched(by: str) -> dict[str, Column]:
+    """The sketches of sets as columns of their tokens' rows."""
+    bit = F.pmod(F.xxhash64("token", F.lit(2)), F.lit(64 * len(SKETCH)))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    return {s: F.bit_xor(F.when(F.shiftright(bit, 6) == i, flag).otherwise(F.lit(0).cast("long"))).over(Window.partitionBy(by)) for i, s in enumerate(SKETCH)}
+
+
+def rare_prefixes(
+    tokens: DataFrame, order: DataFrame, threshold: float, large: int = LARGE, heavy: DataFrame | None = None, largest: int | None = None, sketch: bool = False
+) -> DataFrame:
     """The prefix of each set in rare-first order: (set, size, token, pos), pos counted from 0.
 
     ``tokens`` has rows (set, size, token), each token once per set. Tokens that ``order`` lacks count as
     the rarest. Sets of more than ``large`` tokens are ranked in two steps, by slices of the order; ``largest``, the size
     of the largest, tells that there are none. ``heavy`` names
-    tokens of so many sets that they are to meet their rank in a broadcast. Other columns are kept.
+    tokens of so many sets that they are to meet their rank in a broadcast. Other columns are kept. With ``sketch`` the
+    sketch of the set comes too, null for sets of more than ``large`` tokens.
     """
     joined = tokens.join(order, "token", "left") if heavy is None else lookup_join(tokens, order, "token", "left", heavy)
     extra = [c for c in tokens.columns if c not in ("set", "size", "token")]
     ranked = joined.select("set", "size", "token", *extra, F.coalesce("freq", F.lit(0)).alias("f"), F.xxhash64("token").alias("h"))
     ordering = ["f", "h", "token"]
     small = ranked.where(F.col("size") <= large).withColumn("pos", F.row_number().over(Window.partitionBy("set").orderBy(*ordering)) - 1)
+    small = small.withColumns(_sketched("set")) if sketch else small
     columns = ["set", "size", "token", *extra, F.col("pos").cast("long").alias("pos")]
+    words = list(SKETCH) if sketch else []
     if largest is not None and largest <= large:
-        return small.select(*columns).where(F.col("pos") < prefix_length(F.col("size"), threshold))
+        return small.select(*columns, *words).where(F.col("pos") < prefix_length(F.col("size"), threshold))
     big = ranked.where(F.col("size") > large).withColumn("slice", F.shiftright("h", 52))
     counts = big.groupBy("set", "f", "slice").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("set").orderBy("f", "slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,21 +73,26 @@ def rare_prefixes(tokens: DataFrame, order: DataFrame, threshold: float, large:
     big = big.join(offsets, ["set", "f", "slice"]).withColumn(
         "pos", F.col("before") + F.row_number().over(Window.partitionBy("set", "f", "slice").orderBy("h", "token")) - 1
     )
-    return small.select(*columns).unionByName(big.select(*columns)).where(F.col("pos") < prefix_length(F.col("size"), threshold))
+    none = [F.lit(None).cast("long").alias(w) for w in words]
+    return small.select(*columns, *words).unionByName(big.select(*columns, *none)).where(F.col("pos") < prefix_length(F.col("size"), threshold))
 
 
 def meet(probe: DataFrame, postings: DataFrame, threshold: float, piece: int = PIECE, sets: int | None = None) -> DataFrame:
-    """Candidate pairs (a, na, b, nb): prefixes share a token, and sizes and positions allow the threshold.
+    """Candidate pairs (a, na, b, nb): prefixes share a token, and sizes, positions and sketches allow the threshold.
+
+    Sets differ by at least as many tokens as their sketches by bits.
 
     A token of more than ``piece`` sets is cut into pieces; where either side has no more than so many ``sets`` in all,
     if that is known, there is none.
     """
-    a = probe.select("token", *[F.col(c).alias(f"{n}a") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))])
-    b = postings.select("token", *[F.col(c).alias(f"{n}b") for c, n in (("set", ""), ("size", "n"), ("pos", "p"))])
+    a = probe.select("token", *[F.col(c).alias(f"{n}a") for c, n in (("set", ""), ("size", "n"), ("pos", "p"), *[(w, w) for w in SKETCH])])
+    b = postings.select("token", *[F.col(c).alias(f"{n}b") for c, n in (("set", ""), ("size", "n"), ("pos", "p"), *[(w, w) for w in SKETCH])])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in SKETCH])
+    alike = F.coalesce(F.col("na") + F.col("nb") - apart >= 2 * overlap_needed(F.col("na"), F.col("nb"), threshold), F.lit(True))
     allowed = F.lit(1) + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb")) >= overlap_needed(F.col("na"), F.col("nb"), threshold)
     sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
     met = a.join(b, "token") if sets is not None and sets <= piece else many_join(a, b, ["token"], piece)
-    return met.where(sized & allowed).select("a", "na", "b", "nb").distinct()
+    return met.where(sized & allowed & alike).select("a", "na", "b", "nb").distinct()
 
 
 def as_arrays(tokens: DataFrame, large: int = LARGE) -> DataFrame:
@@ -103,13 +124,13 @@ def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float
 
 #: What the index keeps: for each kind of row the column that it is laid out by, and its columns as stored.
 _KINDS = {
-    "postings": ("token", {"token": "a", "set": "b", "size": "c", "pos": "d"}),
+    "postings": ("token", {"token": "a", "set": "b", "size": "c", "pos": "d", "s0": "e", "s1": "f"}),
     "sets": ("set", {"set": "a", "size": "b", "tokens": "tokens"}),
     "heads": ("x", {"x": "a", "y": "b", "size": "c", "set": "d"}),
     "members": ("class", {"class": "a", "set": "b"}),
     "ids": ("set", {"set": "a"}),
 }
-_STORED = "a long, b long, c long, d long, tokens array<long>"
+_STORED = "a long, b long, c long, d long, e long, f long, tokens array<long>"
 #: Batches of fewer rows are joined without looking for heavy tokens, as a task could hold any one's.
 SPLIT_FROM = 1_000_000
 
@@ -125,6 +146,11 @@ class Batch:
     sets: int
     largest: int
     id_buckets: list[int]
+    candidates: list[DataFrame] = field(default_factory=list)
+
+    def discard(self) -> None:
+        """Delete what was written for the batch; nothing that was found with it may be read any more."""
+        release(self.rows.sparkSession, self.members, self.rows, self.prefixes, *self.candidates)
 
 
 class HistoryIndex:
@@ -200,6 +226,11 @@ class HistoryIndex:
         order.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/orders/{name}")
         return name
 
+    def _release(self, rows: int) -> None:
+        """Free the disk of the shuffles behind a step over many rows."""
+        if rows >= SPLIT_FROM:
+            release(self.spark)
+
     # -- batches -----------------------------------------------------------------------------------
 
     def create(self, first: DataFrame) -> Batch:
@@ -216,7 +247,7 @@ class HistoryIndex:
         ranks = self.spark.read.schema("token long, freq long, bucket int").parquet(f"{self.folder}/orders/{order}")
         ranks = ranks.where(F.col("bucket").isin(self._buckets(rows, "token", size=count)[0])).drop("bucket")
         heavy = heavy_keys(token_order(rows), "token", "freq", count) if count >= SPLIT_FROM else None
-        return rare_prefixes(rows, ranks, self.threshold, self.large, heavy, largest)
+        return rare_prefixes(rows, ranks, self.threshold, self.large, heavy, largest, sketch=True)
 
     def prepare(self, batch: DataFrame) -> Batch:
         """Find the class of each set of a batch, and the prefixes of its classes by the index's order."""
@@ -234,11 +265,14 @@ class HistoryIndex:
         hot = F.broadcast(named.where(F.col("copies") > many))
         few = digest.join(hot.select(*same), same, "left_anti").join(named.where(F.col("copies") <= many), same)
         members = materialize(digest.join(hot, same).unionByName(few).select("set", "class", "head", "new", *same), "members")
+        discard(digest, named)
         heads = members.where(F.col("set") == F.col("head")).select("set", "class", "new")
         large = members.where((F.col("set") == F.col("head")) & (F.col("size") > max(self.piece, size // HEAVY_PARTS))).select("set")
         rows = lookup_join(batch.select("set", "size", "token"), heads, "set", "inner", large)
         rows = materialize(rows.select(F.col("class").alias("set"), "size", "token", "new"), "class-tokens")
+        self._release(size)
         prefixes = materialize(self._prefixes(rows, self._versions.latest()[1]["order"], size, touched[4] or 0), "prefixes")
+        self._release(size)
         return Batch(members, rows, prefixes, size, touched[3] or 0, touched[4] or 0, sorted(touched[1]))
 
     def probe(self, batch: Batch) -> DataFrame:
@@ -246,6 +280,8 @@ class HistoryIndex:
         postings = self.read("postings", self._buckets(batch.prefixes, "token", size=batch.size // 2)[0])
         most = max(batch.sets, self._versions.latest()[1]["sets"])
         pairs = materialize(meet(postings, batch.prefixes, self.threshold, self.piece, most), "candidates")
+        batch.candidates.append(pairs)
+        self._release(batch.size)
         (touched,) = self._buckets(pairs, "a")
         sets = self.read("sets", touched).join(pairs.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
         mine = as_arrays(batch.rows.join(pairs.select(F.col("b").alias("set")).distinct(), "set", "left_semi"), self.large)
@@ -254,6 +290,8 @@ class HistoryIndex:
     def within(self, batch: Batch) -> DataFrame:
         """Pairs (a, b), a below b, of different classes of the batch itself of likeness at or above the threshold."""
         pairs = materialize(meet(batch.prefixes, batch.prefixes, self.threshold, self.piece, batch.sets).where("a < b"), "candidates")
+        batch.candidates.append(pairs)
+        self._release(batch.size)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         sets = as_arrays(batch.rows.join(ends, "set", "left_semi"), self.large)
         return verify(pairs, sets, sets, self.threshold, self.large, batch.largest)
@@ -288,6 +326,7 @@ class HistoryIndex:
         for kind, df in parts.items():
             rows = self._rows(kind, df) if rows is None else rows.unionByName(self._rows(kind, df))
         added = self._write(rows, 0)
+        self._release(batch.size)
         size = state["rows"] + batch.size
         state = state | {"generations": [*state["generations"], added], "rows": size, "sets": state["sets"] + batch.sets, "ordered": state["ordered"] or max(1, size)}
         self._versions.put(number + 1, state)
@@ -310,10 +349,12 @@ class HistoryIndex:
         """Count anew how rare tokens are, and form all postings by the new order."""
         tokens = materialize(self.read("sets").select("set", "size", F.explode("tokens").alias("token")), "all-tokens")
         order = self._write_order(tokens)
+        self._release(state["rows"])
         postings = self._rows("postings", self._prefixes(tokens, order, state["rows"]))
         rest = self._stored(state["generations"]).where("kind <> 'postings'").drop("gen")
         level = max(g["level"] for g in state["generations"])
         self._versions.put(number, state | {"generations": [self._write(postings.unionByName(rest), level)], "order": order, "ordered": state["rows"]})
+        release(self.spark, tokens)
 
     def vacuum(self) -> None:
         """Delete generations, orders and manifests that the latest manifest does not name."""
@@ -341,7 +382,7 @@ def rounds(sizes: list[tuple[int, int]], share: float) -> list[list[int]]:
     return out
 
 
-def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: HistoryIndex, share: float = 2.0) -> DataFrame:
+def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: HistoryIndex, share: float = 2.0, spend: bool = False) -> DataFrame:
     """All pairs (first, second) of set ids of the index's likeness or more, the batch of the first below that of the second.
 
     An empty ``index`` is created from the lowest batch. The others are prepared, probed and appended in turn, in
@@ -349,8 +390,10 @@ def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: Histor
     index holds, which are also compared with one another. So a long backlog takes a number of rounds that grows with its
     logarithm; with ``share`` 0 every batch is a round. The result is the same. Pairs of classes become pairs of sets at
     the end. ``tokens`` has rows (set, token), each token once per set; ``batches`` has one row (set, batch) per
-    set. Sets with a null batch, and sets missing on one side, take part in nothing.
+    set. Sets with a null batch, and sets missing on one side, take part in nothing. What is written on the way is
+    deleted as soon as it has been read for the last time; with ``spend`` also ``tokens``, if ``materialize`` wrote it.
     """
+    spark = index.spark
     sizes = materialize(tokens.groupBy("set").agg(F.count(F.lit(1)).alias("size")).join(batches.where("batch is not null and set is not null"), "set"), "sizes")
     held = [tuple(r) for r in sizes.groupBy("batch").agg(F.sum("size")).orderBy("batch").collect()]  # one row per batch ever taken in
     if not held:
@@ -359,19 +402,23 @@ def repeats_between_batches(tokens: DataFrame, batches: DataFrame, index: Histor
     at = F.create_map(*[F.lit(x) for i, turn in enumerate(turns) for b in turn for x in (b, i)])[F.col("batch")]
     rows = lookup_join(tokens, sizes, "set", "inner", heavy_keys(sizes, "set", "size", sum(n for _, n in held)))
     rows = materialize(rows.withColumn("round", at), "batch-tokens", by="round")
-    members, found = [], []
+    release(spark, *[tokens] * spend)
+    found = []
     for i in range(len(turns)):
         turn = rows.where(F.col("round") == i).select("set", "size", "token")
         if i == 0:
             ready = index.create(turn)
+            discard_part(rows, "round", i)
         else:
             ready = index.prepare(turn)
+            discard_part(rows, "round", i)
             near = index.probe(ready).toDF("a", "b")
             found.append(materialize(near.unionByName(index.within(ready)) if len(turns[i]) > 1 else near, "repeats"))
+            index._release(ready.size)
             index.append(ready, unknown=True)
             index.vacuum()
-        members.append(ready.members.select("set", "class"))
-    everyone = materialize(reduce(DataFrame.unionByName, members).join(sizes.select("set", "batch"), "set"), "all-members")
+        ready.discard()
+    everyone = materialize(index.read("members").join(sizes.select("set", "batch"), "set"), "all-members")
     pairs = everyone.groupBy("class").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).where("lo < hi").select(F.col("class").alias("a"), F.col("class").alias("b"))
     if found:
         pairs = pairs.unionByName(reduce(DataFrame.unionByName, found).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -12,7 +12,7 @@ from gapweave.llm.history import HistoryIndex, integer_token, repeats_between_ba
 from gapweave.llm.setsketch import near_duplicates
 from gapweave.operators.skew import many_join
 from gapweave.operators.windows import sliding
-from gapweave.runtime import materialize, shared_dir, table
+from gapweave.runtime import materialize, release, shared_dir, table
 
 MIN_SERIES, MIN_RATIO = 20, 0.9
 
@@ -69,8 +69,12 @@ def gap_tokens(spark: SparkSession, d: str) -> DataFrame:
     token = F.when(usable(gaps[0]) & usable(gaps[1]) & usable(gaps[2]), integer_token([whole_seconds(g) for g in gaps]))
     counted = runs.select(F.col("filename_id").alias("set"), token.alias("token")).groupBy("set", "token").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(counted, "gap-tokens")
-    long_enough = counted.groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GAPS - GAP_RUN + 1).select("set")
-    return counted.where("token is not null").join(long_enough, "set", "left_semi").select("set", "token")
+    # Short sets are the fewer, so that mostly these are sent to the tokens and not both shuffled.
+    short = materialize(counted.groupBy("set").agg(F.sum("n").alias("n")).where(F.col("n") < MIN_GAPS - GAP_RUN + 1).select("set"), "short-sets")
+    release(spark)
+    tokens = materialize(counted.where("token is not null and set is not null").join(short, "set", "left_anti").select("set", "token"), "tokens")
+    release(spark, counted, short)
+    return tokens
 
 
 #: Tokens that a folder of the index should hold about.
@@ -87,8 +91,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "filenames").select("id", "name", "batch_no")
     by_name = same_path(files, "id", "name", "batch_no")
     batches = files.where("id is not null").groupBy(F.col("id").alias("set")).agg(F.min("batch_no").alias("batch"))
-    tokens = materialize(gap_tokens(spark, d), "tokens")
-    by_gaps = repeats_between_batches(tokens, batches, history(spark, tokens.count()))
+    tokens = gap_tokens(spark, d)
+    by_gaps = repeats_between_batches(tokens, batches, history(spark, tokens.count()), spend=True)
     found = by_name.unionByName(by_gaps).distinct()
     return found.select(F.col("first").alias("filename_id1"), F.col("second").alias("filename_id2"))
 

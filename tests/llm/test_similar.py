@@ -1,6 +1,8 @@
 """Near-duplicate series, repeats between batches and nearest windows."""
 
+import glob
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from gapweave.llm.setsketch import near_duplicates, run_set
 from gapweave.llm.signal_queries import gap_tokens
 from gapweave.llm.vector_queries import gap_windows
 from gapweave.llm.vectors import near_vectors, nearest_windows
+from gapweave.runtime import materialize, shared_dir
 
 
 # -- near-duplicate series ---------------------------------------------------------------------------
@@ -188,6 +191,28 @@ def test_probe_reads_only_what_it_touches(spark, tmp_path):
     assert len(tokens) <= 4 and len(found) == 1 and whole >= 40
 
 
+def test_sketches_keep_chance_meetings_out_of_the_candidates(spark, tmp_path):
+    sets = {0: set(range(40)), 1: set(range(100, 140))}
+    index = HistoryIndex(spark, f"file://{tmp_path}/index")
+    index.create(token_rows(spark, sets))
+    # 10 shares its rarest tokens with 0 but too few in all, 11 is 1 with ten other tokens.
+    new = index.prepare(token_rows(spark, {10: set(range(8)) | set(range(200, 232)), 11: set(range(100, 130)) | set(range(300, 310))}))
+    assert [tuple(r) for r in index.probe(new).collect()] == [(1, 11)]
+    assert [(r.a, r.b) for r in new.candidates[0].collect()] == [(1, 11)]
+
+
+def test_what_is_written_on_the_way_is_deleted(spark, tmp_path):
+    sets = random_sets(random.Random(4))
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*/*"))
+    tokens = materialize(spark.createDataFrame([(s, t) for s, v in sets.items() for t in v], "set long, token long"), "tokens")
+    batches = spark.createDataFrame([(i, i // 20) for i in sets], "set long, batch int")
+    got = repeats_between_batches(tokens, batches, HistoryIndex(spark, f"file://{tmp_path}/index"), spend=True)
+    assert {tuple(r) for r in got.collect()} == brute_repeats(sets, {i: i // 20 for i in sets})
+    left = {x for x in set(glob.glob(f"{folder}/*/*")) - before if glob.glob(f"{x}/**/*.parquet", recursive=True)}
+    assert not {x for x in left if re.search("/(tokens|batch-tokens|digests|classes|members|class-tokens|prefixes|candidates)-[^/]*$", x)}
+
+
 def test_generations_are_merged_and_the_order_is_renewed(spark, tmp_path):
     rng = random.Random(5)
     index = HistoryIndex(spark, f"file://{tmp_path}/index", buckets=2, fan=2, growth=3)
