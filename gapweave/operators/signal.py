@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: Frames worked on together; a series is cut into chunks of so many, so one may hold any share of the rows.
 CHUNK = 1 << 18
@@ -107,11 +108,36 @@ def peaks(df: DataFrame, group: str, frame: str, value: str, min_seconds: float,
     )
 
 
+def ordered_peaks(df: DataFrame, group: str, order: list[str], value: str, min_seconds: float, fps: float, frame: str = "frame", chunk: int = CHUNK) -> DataFrame:
+    """``peaks`` of series whose frames are their rows in the order of the columns ``order``, at one known rate: (group, frame, hash).
+
+    The rows of a series that fits one chunk are numbered, compared and bounded in one sorting; a second one goes backwards.
+    Rows with a null group or value are left out and get no number.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    reach = int(float(min_seconds) * fps) if fps > 0 else 0
+    longest = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if reach < 1 or longest > chunk:
+        return peaks(numbered(rows, group, order, frame), group, frame, value, min_seconds, F.lit(fps), chunk)
+    keys = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    w = Window.partitionBy("g").orderBy(*[f"o{i}" for i in range(len(order))])
+    # Frames are the rows themselves, so the nearest frames are the nearest rows.
+    near = rows.select(F.col(group).alias("g"), F.col(value).alias("v"), *keys).select(
+        "*", (F.row_number().over(w) - 1).cast("long").alias("f"), F.lag("v").over(w).alias("prev_v"), F.max("v").over(w.rowsBetween(-reach, reach)).alias("window_max")
+    )
+    starts = near.withColumns({"fps": F.lit(float(fps)), "start": F.col("prev_v").isNull() | (F.col("prev_v") != F.col("v"))})
+    return _peaks_of_runs(starts, w).select(F.col("g").alias(group), F.col("f").cast("int").alias(frame), "hash")
+
+
 def _bounded_peaks(rows: DataFrame, min_seconds: float) -> DataFrame:
     """``peaks`` of series that are each sorted as a whole: all windows share one partitioning, so one shuffle does."""
     starts = with_neighbours(rows, "g", "f", ["v"], None).withColumn("start", F.col("prev_v").isNull() | (F.col("prev_v") != F.col("v")))
     high = moving_maximum(starts.drop("next_v"), "g", "f", "v", peak_order(min_seconds, F.col("fps")), chunk=None)
-    w = Window.partitionBy("g").orderBy("f")
+    return _peaks_of_runs(high, Window.partitionBy("g").orderBy("f"))
+
+
+def _peaks_of_runs(high: DataFrame, w: WindowSpec) -> DataFrame:
+    """Peaks (g, f, hash) of rows (g, f, v, fps, prev_v, start, window_max), ``start`` telling the first rows of runs; ``w`` sorts a series by f."""
     # Each row gets the start of its run and the values of the runs before and after.
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     # Backwards, so that the frame grows row by row instead of being formed anew for each.

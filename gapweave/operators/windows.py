@@ -12,7 +12,7 @@ from gapweave.runtime import materialize
 CHUNK = 1 << 18
 
 
-def sliding(df: DataFrame, group: str, order: str, value: str, length: int, spare: int = 0, chunk: int = CHUNK) -> DataFrame:
+def sliding(df: DataFrame, group: str, order: str, value: str, length: int, spare: int = 0, chunk: int = CHUNK, fits: bool | None = None) -> DataFrame:
     """Windows of ``length`` successive values of a group: (group, order of the first value, values).
 
     ``spare`` more values must follow a window, so a group of n values gives n - length + 1 - spare
@@ -21,7 +21,8 @@ def sliding(df: DataFrame, group: str, order: str, value: str, length: int, spar
     Rows with a null group, order or value are left out first; a repeated (group, order) counts once, with
     its least value. ``order`` must be of an integer type. A group is worked on in chunks of ``chunk``
     successive order values, each of bounded size, so one group may hold any share of the rows. Only the
-    last rows of a chunk need others: they meet the first rows of the next chunks in a second, small pass.
+    last rows of a chunk need others: they meet the first rows of the next chunks in a second, small pass, which is
+    left out where all order values lie in one chunk; ``fits`` tells that, if it is known.
     """
     if length < 1 or spare < 0:
         raise ValueError("length must be 1 or more and spare 0 or more")
@@ -37,7 +38,7 @@ def sliding(df: DataFrame, group: str, order: str, value: str, length: int, spar
     chunked = rows.select("_g", "_c", "_o", "_v", *following, F.row_number().over(w).alias("_i"))
     values = F.array("_v", *[f"_v{j}" for j in range(1, length)])
     inner = chunked.where(F.col(f"_v{ahead}").isNotNull()).select(F.col("_g").alias(group), F.col("_o").alias(order), values.alias("values"))
-    if fits_one_chunk(df.where(F.col(order).isNotNull()), order, chunk):
+    if fits_one_chunk(df.where(F.col(order).isNotNull()), order, chunk) if fits is None else fits:
         return inner
     # Ends of chunks: rows without enough followers, and first rows that may follow them.
     many = rows.groupBy("_g").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi").select("_g")
@@ -70,8 +71,23 @@ def long_enough(gaps: DataFrame, key: str, least: int = 5) -> DataFrame:
     return gaps.join(counted, key, "left_semi")
 
 
-def truncate_scene(values: str, seconds: float) -> Column:
-    """Window values with each set to 0 once those before it sum to more than ``seconds``."""
+#: Windows up to so many values are truncated in generated code.
+UNROLLED = 16
+
+
+def truncate_scene(values: str, seconds: float, length: int | None = None) -> Column:
+    """Window values with each set to 0 once those before it sum to more than ``seconds``.
+
+    If ``length`` is given, all windows have so many values.
+    """
+    if length is not None and length <= UNROLLED:
+        terms, before = [F.get(values, F.lit(i)) for i in range(length)], F.lit(0.0)
+        kept = []
+        for x in terms:
+            kept.append(F.when(before > F.lit(float(seconds)), F.lit(0.0)).otherwise(x))
+            before = before + x
+        return F.array(*kept)
+
     def keep(x: Column, i: Column) -> Column:
         before = F.aggregate(F.slice(F.col(values), F.lit(1), i), F.lit(0.0), lambda a, v: a + v)
         return F.when(before > F.lit(float(seconds)), F.lit(0.0)).otherwise(x)
@@ -115,7 +131,8 @@ def hash_windows(gaps: DataFrame, key: str, frame: str, hash_: str, length: int
     """
     # Several passes follow (sizes, chunks, the sample for numbering), so the gaps are formed once.
     known = materialize(gaps.where(F.col(frame).isNotNull() & F.col(hash_).isNotNull()).select(key, frame, hash_), "gaps")
-    rows = sliding(long_enough(known, key, least), key, frame, hash_, length, spare=1)
+    rows = sliding(long_enough(known, key, least), key, frame, hash_, length, spare=1, fits=fits_one_chunk(known, frame, CHUNK))
     if scene_seconds is not None:
-        rows = rows.withColumn("values", truncate_scene("values", scene_seconds))
-    return number_items(rows, [key, frame]).select("item", key, frame, "values")
+        rows = rows.withColumn("values", truncate_scene("values", scene_seconds, length))
+    # Numbering takes a sample first, for which the windows would be formed a second time.
+    return number_items(materialize(rows, "windows"), [key, frame]).select("item", key, frame, "values")

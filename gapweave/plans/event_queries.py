@@ -13,10 +13,13 @@ from gapweave.runtime import materialize, table
 FPS, MIN_SECONDS, LENGTH, RADIUS, SCENE, THRESHOLD, LOOSE = 0.5, 2.0, 12, 3.0, 300.0, 0.70, 0.30
 
 
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where("user_id is not null and value is not null")
+
+
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events in order of time as a series of brightness values."""
-    rows = table(spark, d, "events").where("user_id is not null and value is not null")
-    return signal.numbered(rows, "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("filename_id"), "frame", "value")
+    return signal.numbered(events(spark, d), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("filename_id"), "frame", "value")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +30,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gaps(spark: SparkSession, d: str, seconds: float = MIN_SECONDS) -> DataFrame:
-    return signal.peaks(frames(spark, d), "filename_id", "frame", "value", seconds, F.lit(FPS))
+    return signal.ordered_peaks(events(spark, d).withColumnRenamed("user_id", "filename_id"), "filename_id", ["ts", "event_id"], "value", seconds, FPS)
 
 
 def items(spark: SparkSession, d: str, length: int = LENGTH, scene: float | None = SCENE) -> DataFrame:

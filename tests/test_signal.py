@@ -65,6 +65,42 @@ def test_random_series(spark, chunk, fps, seconds):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk,fps,seconds", [(1 << 18, 1.0, 2), (1 << 18, 0.5, 2), (7, 1.0, 3), (1 << 18, 0.5, 1)])
+def test_peaks_of_rows_in_order(spark, chunk, fps, seconds):
+    rng = random.Random(chunk + seconds)
+    series = {k: [rng.randint(0, 6) for _ in range(rng.randint(1, 60))] for k in range(25)}
+    series[99] = [1] * 20 + [2] * 17 + [1] * 20
+    rows = [(g, 1000 - i // 2, -i, float(v)) for g, s in series.items() for i, v in enumerate(reversed(s))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (None, 1, 1, 9.0), (3, 5, 5, None)], "user long, ts int, o int, value double")
+    # Times repeat; the second column decides there.
+    got = signal.ordered_peaks(df, "user", ["ts", "o"], "value", seconds, fps, chunk=chunk)
+    order = int(seconds * fps)
+    want = {(k, f, h) for k, s in series.items() for f, h in (peaks_of(s, order, fps) if order else [])}
+    assert {tuple(r) for r in got.select("user", "frame", "hash").collect()} == want
+    if chunk == 1 << 18 and order:
+        # One sorting forwards, one backwards, one of the peaks.
+        assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [") == 3
+
+
+def test_windows_are_formed_once(spark, monkeypatch):
+    """Numbering runs its input twice, so it must be given a written table."""
+    seen, number = [], windows.number_items
+    monkeypatch.setattr(windows, "number_items", lambda df, order: seen.append(df) or number(df, order))
+    df = spark.createDataFrame([(1, i, float(i % 4)) for i in range(30)], "f long, frame int, hash double")
+    assert windows.hash_windows(df, "f", "frame", "hash", 6).count() == 24
+    assert [hasattr(x, "_gapweave_path") for x in seen] == [True]
+
+
+@pytest.mark.parametrize("length", [3, 12])
+def test_truncation_of_known_length(spark, length):
+    rng = random.Random(length)
+    rows = [(i, [rng.choice([0.0, -1.0, 0.1, 2.5, float("nan"), 7.0]) for _ in range(length)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    both = df.select(windows.truncate_scene("v", 5.0).alias("a"), windows.truncate_scene("v", 5.0, length).alias("b"))
+    assert both.where("not (a <=> b)").count() == 0
+
+
 def test_unusable_rates_and_nulls(spark):
     rows = [(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (1, 2, 0.0, 0.0), (2, 0, 0.0, None), (2, 1, 1.0, None), (None, 1, 1.0, 1.0), (3, 0, 0.0, 0.01), (3, 1, 1.0, 0.01), (3, 2, 0.0, 0.01)]
     df = spark.createDataFrame(rows, "user long, frame int, value double, fps double")
