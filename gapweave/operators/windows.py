@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapweave.operators.signal import fits_one_chunk
-from gapweave.runtime import materialize
+from gapweave.runtime import materialize, release
 
 #: Frames per chunk. A group has at most one row per frame, so a chunk has at most so many rows.
 CHUNK = 1 << 18
@@ -135,4 +135,7 @@ def hash_windows(gaps: DataFrame, key: str, frame: str, hash_: str, length: int
     if scene_seconds is not None:
         rows = rows.withColumn("values", truncate_scene("values", scene_seconds, length))
     # Numbering takes a sample first, for which the windows would be formed a second time.
-    return number_items(materialize(rows, "windows"), [key, frame]).select("item", key, frame, "values")
+    formed = materialize(rows, "windows")
+    out = number_items(formed, [key, frame]).select("item", key, frame, "values")
+    release(gaps.sparkSession, known, formed)
+    return out

@@ -1,6 +1,7 @@
 """Peaks, windows and neighbours."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -84,12 +85,13 @@ def test_peaks_of_rows_in_order(spark, chunk, fps, seconds):
 
 
 def test_windows_are_formed_once(spark, monkeypatch):
-    """Numbering runs its input twice, so it must be given a written table."""
+    """Numbering runs its input twice, so it must be given a written table, which is deleted afterwards."""
     seen, number = [], windows.number_items
     monkeypatch.setattr(windows, "number_items", lambda df, order: seen.append(df) or number(df, order))
     df = spark.createDataFrame([(1, i, float(i % 4)) for i in range(30)], "f long, frame int, hash double")
     assert windows.hash_windows(df, "f", "frame", "hash", 6).count() == 24
     assert [hasattr(x, "_gapweave_path") for x in seen] == [True]
+    assert not Path(seen[0]._gapweave_path.removeprefix("file://")).exists()
 
 
 @pytest.mark.parametrize("length", [3, 12])
