@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapweave.operators import knn, signal, windows
+from gapweave.operators import groups, knn, signal, windows
+from gapweave.runtime import materialize
 
 
 def series_df(spark, series, fps=1.0):
@@ -217,3 +218,31 @@ def test_classes_of_vectors_off_the_lattice(spark):
     for backend in ("auto", "block"):
         assert pairs(knn.class_neighbours(df, "id", "v", 1.0, backend, 3, 2)) == [p for p in same if p[0] in firsts]
     assert knn.class_pairs(df.where("false"), "id", "v", 1.0, 3)[1].count() == 0
+
+
+def test_large_written_tables_are_not_broadcast_for_the_size_of_their_files(spark):
+    """The files of 150,000 such rows are below Spark's bound of 10 MB, their hash table in the driver is not."""
+    a, b = (materialize(spark.range(150_000).select("id", F.xxhash64("id", F.lit(i)).alias(f"x{i}")), "some") for i in (1, 2))
+    few = materialize(spark.range(30).select("id"), "few")
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    assert joins(a.join(b, "id")) == joins(a.join(b.groupBy("id").agg(F.max("x2")), "id", "left_semi")) == 0
+    assert joins(a.join(few, "id")) == joins(a.join(F.broadcast(b), "id")) == 1
+
+
+def test_all_pairs_by_classes(spark):
+    rng = np.random.default_rng(6)
+    v = 2.0 * rng.integers(0, 3, (80, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [0.0] * 4), (99, None)], "id long, v array<double>")
+    rows = lambda x: sorted((r.q, r.item, r.d2) for r in x.collect())
+    assert rows(knn.all_pairs(df, "id", "v", 3.0, 4)) == rows(knn.radius_pairs(df, "id", "v", 3.0))
+    assert rows(knn.all_pairs(df.where("false"), "id", "v", 3.0, 4)) == []
+
+
+def test_lowest_items_of_files_with_equal_vectors(spark):
+    """A file that repeats a vector stands once in a neighbourhood of classes, and its representatives stay the same."""
+    rng = np.random.default_rng(7)
+    v = 2.0 * rng.integers(0, 2, (60, 3))
+    df = spark.createDataFrame([(i, i // 20, 3 * i, x.tolist()) for i, x in enumerate(v)], "item long, file long, frame int, v array<double>")
+    near = [knn.class_pairs(df, "item", "v", 2.5, 3, 1, None, low)[1].withColumnRenamed("class", "q") for low in (None, ("file", "frame"))]
+    whole, low = (sorted(map(tuple, groups.neighbour_reps(x, df, "file").collect())) for x in near)
+    assert whole == low and near[1].count() < near[0].count()
