@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gapweave import runtime
 from gapweave.operators import groups, knn, signal, windows
 from gapweave.runtime import materialize
 
@@ -238,7 +239,7 @@ def test_all_pairs_by_classes(spark):
     assert rows(knn.all_pairs(df.where("false"), "id", "v", 3.0, 4)) == []
 
 
-def test_lowest_items_of_files_with_equal_vectors(spark):
+def test_lowest_items_of_files_with_equal_vectors(spark, monkeypatch):
     """A file that repeats a vector stands once in a neighbourhood of classes, and its representatives stay the same."""
     rng = np.random.default_rng(7)
     v = 2.0 * rng.integers(0, 2, (60, 3))
@@ -246,3 +247,8 @@ def test_lowest_items_of_files_with_equal_vectors(spark):
     near = [knn.class_pairs(df, "item", "v", 2.5, 3, 1, None, low)[1].withColumnRenamed("class", "q") for low in (None, ("file", "frame"))]
     whole, low = (sorted(map(tuple, groups.neighbour_reps(x, df, "file").collect())) for x in near)
     assert whole == low and near[1].count() < near[0].count()
+    monkeypatch.setattr(runtime, "PART_ROWS", 10)
+    again = knn.named(knn.class_pairs(df, "item", "v", 2.5, 3, lowest=("file", "frame"))[1])
+    assert again._gapweave_rows > 10
+    parts = groups.written_reps(again, df.withColumnRenamed("file", "filename_id"), "file")
+    assert sorted(map(tuple, parts.collect())) == whole and len(parts._gapweave_path) > 1
