@@ -252,3 +252,13 @@ def test_lowest_items_of_files_with_equal_vectors(spark, monkeypatch):
     assert again._gapweave_rows > 10
     parts = groups.written_reps(again, df.withColumnRenamed("file", "filename_id"), "file")
     assert sorted(map(tuple, parts.collect())) == whole and len(parts._gapweave_path) > 1
+
+
+def test_counts_of_files_do_not_move_the_files(spark, monkeypatch):
+    from gapweave.plans import event_queries
+
+    reps = spark.createDataFrame([(0, 1), (0, 2), (5, 1), (5, 3), (5, 4)], "q long, filename_id long")
+    monkeypatch.setattr(event_queries, "reps", lambda s, d: (spark.createDataFrame([(0, 0), (2, 0), (5, 5)], "q long, class long"), reps))
+    out = event_queries.file_counts(spark, "")
+    assert sorted(map(tuple, out.collect())) == [(0, 2), (2, 2), (5, 3)]
+    assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
